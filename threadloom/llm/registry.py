@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_trees
+from . import chat_trees, link_graph, shuffle_matrix
 
 QUERIES = {
     "op2_chat_trees": chat_trees.op2_chat_trees,
+    "op6_shuffle_matrix": shuffle_matrix.op6_shuffle_matrix,
+    "op8_link_graph": link_graph.op8_link_graph,
 }
 ORACLES = {
     "op2_chat_trees": chat_trees.ORACLE,
