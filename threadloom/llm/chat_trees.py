@@ -61,14 +61,11 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
             "tree_id", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("depth").alias("more"),
             F.col("score").alias("plus"), F.col("top_node").alias("far_top"),
         )
-        at = kept(
-            at.join(far, ["tree_id", "anc"], "left").select(
-                "tree_id", "node", F.col("far").alias("anc"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"),
-                F.coalesce("far_top", "top_node").alias("top_node"),
-            )
+        further = at.join(far, ["tree_id", "anc"]).select(  # nodes that have met their root take no further part
+            "tree_id", "node", F.col("far").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"),
+            (F.col("score") + F.col("plus")).alias("score"), F.col("far_top").alias("top_node"),
         )
+        at = kept(at.where("anc IS NULL").unionByName(further))
     done = at.where("anc IS NULL")
     inner = hops[0].select("tree_id", F.col("anc").alias("node")).distinct()
     order = Window.partitionBy("tree_id", "root").orderBy(F.desc("branch_score"), F.desc("leaf_depth"), "leaf")
