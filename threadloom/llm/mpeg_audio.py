@@ -85,7 +85,7 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
         at = stop + (10 if flags & 0x10 else 0)
     if len(data) - at >= 128 and data[-128:-125] == b"TAG":
         end -= 128
-        tags |= {k: v for k, v in (("v1_title", data[-125:-95]), ("v1_artist", data[-95:-65])) if (v := v.rstrip(b"\0 ").decode("latin-1"))}
+        tags |= {k: v.rstrip(b"\0 ").decode("latin-1") for k, v in (("v1_title", data[-125:-95]), ("v1_artist", data[-95:-65])) if v.rstrip(b"\0 ")}
     return tags, at, end
 
 
