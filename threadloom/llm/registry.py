@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, link_graph, mpeg_audio, packing, shuffle_matrix
+from . import chat_trees, decontaminate, link_graph, mpeg_audio, near_dup, packing, shuffle_matrix
 
 QUERIES = {
     "op2_chat_trees": chat_trees.op2_chat_trees,
     "op3_mpeg_audio": mpeg_audio.op3_mpeg_audio,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_near_dup": near_dup.op5_near_dup,
     "op6_shuffle_matrix": shuffle_matrix.op6_shuffle_matrix,
     "op8_link_graph": link_graph.op8_link_graph,
     "op9_packing": packing.op9_packing,
