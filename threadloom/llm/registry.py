@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, link_graph, mpeg_audio, near_dup, packing, shuffle_matrix, toxic_crf
+from . import chat_trees, decontaminate, link_graph, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, toxic_crf
 
 QUERIES = {
     "op2_chat_trees": chat_trees.op2_chat_trees,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_shuffle_matrix": shuffle_matrix.op6_shuffle_matrix,
+    "op7_secret_novelty": secret_novelty.op7_secret_novelty,
     "op8_link_graph": link_graph.op8_link_graph,
     "op9_packing": packing.op9_packing,
     "op10_toxic_crf": toxic_crf.op10_toxic_crf,

@@ -150,10 +150,10 @@ def _token_labels(texts: list[str], toxic: list[bool]) -> set[str]:
         x = k / (k + k0)
         return k * math.log(x / share) + (k0 * math.log((1 - x) / (1 - share)) if k0 else 0)
 
-    return {f for f, k in df[1].items() if (k + 0.5) / (n[1] + 1) >= 20 * (df[0][f] + 0.5) / (n[0] + 1) and surprise(k, df[0][f]) >= 12}
+    return {f for f, k in df[1].items() if (k + 0.5) / (n[1] + 1) >= 20 * (df[0][f] + 0.5) / (n[0] + 1) and surprise(k, df[0][f]) >= 8}
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 30, train_docs: int = 1500, rate: float = 0.3, ridge: float = 1e-4) -> Model:
+def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int = 1500, rate: float = 0.3, ridge: float = 1e-4) -> Model:
     """The field and the curve from labelled documents; ``train_docs`` of each kind train the field, all fit the curve."""
     model = Model(np.zeros(1 << BITS), -2.0, np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0]))
     y = np.array(toxic, bool)
