@@ -8,7 +8,8 @@ Candidates share a band key. Four centres of each bucket (the least id and three
 members, which is linear in the bucket; the best two by the collision-corrected estimate are confirmed on full sets.
 That already ties dense groups together. What may still be missing are links between different components: small
 buckets compare all such pairs by estimate, members of buckets over ``small`` are compared by a prefix filter, which
-is exact: two sets that are similar enough share one of their rarest shingles (the first n - ceil(t n) + 1). So no
+is exact: two sets that are similar enough share one of their rarest shingles (the first n - ceil(t n) + 1), with enough
+left after it. So no
 bucket is capped, and no group is expanded into all its pairs. All links are confirmed on full sets. A pair at the
 threshold misses all 25 bands of five minima with a chance below one in a million, an estimate errs by five deviations.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, table, written
 
-WORDS, BANDS, ROWS, PERMS, SMALL, PERCENT = 5, 25, 5, 128, 64, 85
+WORDS, BANDS, ROWS, PERMS, SMALL, PERCENT = 5, 25, 5, 128, 16, 85
 #: Pairs whose estimate is more than five standard deviations under the threshold are not confirmed.
 LEAST = 0.66
 SKETCH = "doc_id long, n long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -112,17 +113,17 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
 
-def estimate(a: str, b: str) -> Column:
-    """Collision-corrected similarity from the packed bits of two rows: two bits agree by chance in a quarter of cases."""
+def estimate(x: Column, y: Column) -> Column:
+    """Collision-corrected similarity from the packed bits of two sketches: two bits agree by chance in a quarter of cases."""
     apart = F.lit(0)
     for k in range(4):
-        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
-        apart = apart + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+        z = x[f"s{k}"].bitwiseXOR(y[f"s{k}"])
+        apart = apart + F.bit_count((z.bitwiseOR(F.shiftrightunsigned(z, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     return (1 - apart / F.lit(PERMS) - 0.25) / 0.75
 
 
-def near_in_size(a: str, b: str) -> Column:
-    return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * PERCENT) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * PERCENT)
+def near_in_size(x: Column, y: Column) -> Column:
+    return (x["n"] * 100 >= y["n"] * PERCENT) & (y["n"] * 100 >= x["n"] * PERCENT)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def prefixes(finalists: DataFrame, sets: DataFrame) -> DataFrame:
-    """(shingle, id): each set's rarest shingles, as many as the prefix filter needs; rarity is counted over all finalists."""
+    """(id, prefix): each set's rarest shingles, rarest first, as many as the filter needs; rarity is counted over all finalists."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,9 +172,9 @@ def prefixes(finalists: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = sets.join(finalists, "id", "left_semi").select("id", "found").mapInArrow(spread, "id long, shingle long")
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "shingle")
-    ranked = rows.join(common, "shingle").withColumn("r", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "id")
+    ranked = rows.join(common, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    n = F.size("all")
+    return ranked.select("id", F.slice("all.shingle", F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int")).alias("prefix"))
 
 
 def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
@@ -181,36 +182,41 @@ def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     all_ = written(sketch(docs))
     classes = all_.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "bands", "s0", "s1", "s2", "s3")).alias("r"))
     reps = written(classes.select("set_key", F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.s0", "r.s1", "r.s2", "r.s3"))
-    bits = reps.select("id", "n", "s0", "s1", "s2", "s3")
-    members = reps.select(F.explode("bands").alias("key"), "id")
-    chance = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"]
-    buckets = members.groupBy("key").agg(F.count("*").alias("m"), F.array(F.min("id"), chance(1), chance(2), chance(3)).alias("centres")).where("m > 1")
-    within = written(members.join(buckets, "key"))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with their estimate, without those that sizes or the estimate rule out."""
-        x = pairs.join(bits.select(F.col("id").alias("a"), F.struct("n", "s0", "s1", "s2", "s3").alias("x")), "a")
-        x = x.join(bits.select(F.col("id").alias("b"), F.struct("n", "s0", "s1", "s2", "s3").alias("y")), "b")
-        return x.where(near_in_size("x", "y")).withColumn("est", estimate("x", "y")).where(F.col("est") >= LEAST).select("a", "b", "est")
-
-    probes = within.select("id", F.explode(F.array_distinct("centres")).alias("c")).where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b")).distinct()
-    best = Window.partitionBy("a").orderBy(F.desc("est"), "b")
-    first = plausible(probes).withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b")
-    first = written(first)
+    sketch_ = F.struct("n", "s0", "s1", "s2", "s3").alias("x")
+    bits = reps.select("id", sketch_)
+    members = reps.select(F.posexplode("bands").alias("band", "key"), "id", sketch_)
+    chance = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "x"))
+    centre = lambda c: F.struct(c["id"].alias("id"), c["x"].alias("x"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "x")).alias("c0"), *(chance(k).alias(f"c{k}") for k in (1, 2, 3))).where("m > 1")
+    within = written(members.join(buckets.select("key", "m", F.array(*(centre(F.col(f"c{k}")) for k in range(4))).alias("centres")), "key"))
+    # a member's two likeliest centres over all its buckets; estimates are made row by row, no pair is emitted
+    near = F.filter("centres", lambda c: (c["id"] != F.col("id")) & near_in_size(c["x"], F.col("x")))
+    guess = F.transform(near, lambda c: F.struct(estimate(c["x"], F.col("x")).alias("est"), (-c["id"]).alias("c")))
+    probes = within.select("id", F.array_max(guess).alias("g")).where("g.est >= %s" % LEAST).groupBy("id", "g.c").agg(F.max("g.est").alias("est"))
+    best = Window.partitionBy("id").orderBy(F.desc("est"), F.desc("c"))
+    first = written(probes.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("id").alias("a"), (-F.col("c")).alias("b")))
     sets = written(_sets(docs, reps, within.select("id").distinct()))
     links = written(confirmed(first, sets))
     parts = components(links)
     # what is left: links between different components
-    tagged = written(within.select("key", "id", "m").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    tagged = written(within.select("band", "key", "id", "m", "x").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = tagged.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
     open_ = tagged.join(mixed, "key")
-    side = lambda df, name: df.join(bits, "id").alias(name)
-    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & near_in_size("x", "y") & (estimate("x", "y") >= LEAST)
-    few = open_.where(F.col("m") <= small)
-    rest = side(few, "x").join(side(few, "y"), (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    many = open_.where(F.col("m") > small).select("id", "component").distinct()
-    rare = prefixes(many.select("id"), sets).join(many, "id").withColumnRenamed("shingle", "key")
-    more = side(rare, "x").join(side(rare, "y"), (F.col("x.key") == F.col("y.key")) & apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    apart = (
+        (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
+        & near_in_size(F.col("p.x"), F.col("q.x")) & (estimate(F.col("p.x"), F.col("q.x")) >= LEAST)
+    )
+    pair = [F.col("p.id").alias("a"), F.col("q.id").alias("b")]
+    few = open_.where(F.col("m") <= small).join(reps.select("id", "bands"), "id")
+    shared = F.array_position(F.zip_with("p.bands", "q.bands", lambda x, y: x == y), True) == F.col("p.band") + 1  # their first common band
+    rest = few.alias("p").join(few.alias("q"), apart & shared).select(*pair)
+    many = open_.where(F.col("m") > small).select("id", "component", "x").distinct()
+    rare = written(prefixes(many.select("id"), sets).join(many, "id"))
+    rare = rare.select(F.posexplode("prefix").alias("at", "key"), "*")
+    rarest = F.element_at(F.array_intersect("p.prefix", "q.prefix"), 1) == F.col("p.key")
+    n_p, n_q = F.col("p.x.n"), F.col("q.x.n")  # all they can share stands at or after their rarest common shingle
+    enough = F.least(n_p - F.col("p.at"), n_q - F.col("q.at")) * (100 + PERCENT) >= (n_p + n_q) * PERCENT
+    more = rare.alias("p").join(rare.alias("q"), apart & enough & rarest).select(*pair)
     late = confirmed(rest.unionByName(more).distinct(), sets)
     groups = components(links.unionByName(written(late)))
     ids = reps.select("set_key", "id").join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
