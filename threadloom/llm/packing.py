@@ -5,7 +5,7 @@ are dealt by hash to groups of about ``group_rows``, and each group is packed on
 into the open window with the tightest room, found in a segment tree whose leaves are room sizes. A group leaves at
 most a window or so half filled, so padding falls with ``group_rows`` and no task grows with the input.
 
-Tokenising keeps a cache of white-space separated chunks (bounded, cleared when full): this tokenizer's pieces never
+Tokenising keeps a bounded cache of white-space separated chunks: this tokenizer's pieces never
 cross white space, so ids of a text are the ids of its chunks one after the other.
 
 Defined results: a null text is empty and yields the end id alone; repeated rows are packed as often as they come;
@@ -14,6 +14,7 @@ equal lengths stand by doc_id, then crc; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,30 +25,48 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-WINDOW, END, GROUP_ROWS, CACHE = 2048, 1, 4000, 400_000
+WINDOW, END, GROUP_ROWS, CACHE = 2048, 1, 4000, 600_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable stand-ins for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest for 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class ChunkIds:
-    """Little-endian 32-bit ids of texts, by way of a cache of chunks."""
+    """Little-endian 32-bit ids of texts, by way of a cache of chunks in two generations, the elder dropped when the younger is full."""
 
     def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.encoder, self.most, self.seen = Tokenizer.from_file(path), most, {}
+        self.encoder, self.most, self.seen, self.old = Tokenizer.from_file(path), most, {}, {}
+        self.model, self.letters = self.encoder.model, byte_letters()
 
     def _learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks)
-        for chunk, e in zip(new, self.encoder.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in new], add_special_tokens=False), strict=True):
-            self.seen[chunk] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        hard, seen = [], self.seen
+        for c in chunks:
+            if (known := self.old.get(c)) is not None:
+                seen[c] = known
+                continue
+            w = c.decode("utf-8", "surrogatepass")
+            if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w):  # one piece that no normaliser changes
+                seen[c] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(c.decode("latin-1").translate(self.letters))])
+            else:
+                hard.append((c, w))
+        if hard:
+            for (c, _), e in zip(hard, self.encoder.encode_batch_fast([w for _, w in hard], add_special_tokens=False), strict=True):
+                seen[c] = b"".join([i.to_bytes(4, "little") for i in e.ids])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        cut = [(t if b"<|" in t else t.lower()).split() for t in raw]  # special tokens are found before letters are lowered
+        if len(self.seen) > self.most:
+            self.old, self.seen = self.seen, {}
         new, parts = set().union(*cut) - self.seen.keys(), {}
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = set().union(*cut)
         for c in new:  # letters and a mark are two pieces, so most such chunks need no call
             if c[-1:] in (b".", b",") and (base := c[:-1]) and base.decode("utf-8", "surrogatepass").isalpha():
                 parts[c] = (base, c[-1:])
