@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, link_graph, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, toxic_crf
+from . import chat_trees, decontaminate, link_graph, lm_score, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, toxic_crf
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_chat_trees": chat_trees.op2_chat_trees,
     "op3_mpeg_audio": mpeg_audio.op3_mpeg_audio,
     "op4_decontaminate": decontaminate.op4_decontaminate,
