@@ -25,10 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT conv_id, CAST(min(turn + 1) AS BIGINT) AS start_msg_index, CAST(max(turn + 1) AS BIGINT) AS end_msg_index, count(*) AS message_count FROM conversations GROUP BY conv_id")
-def timeline_window_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range of message numbers and count of each window."""
-    index = F.col("turn") + 1
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.min(index).alias("start_msg_index"), F.max(index).alias("end_msg_index"), F.count("*").alias("message_count")
-    )
+from . import flow_queries, group_queries, relation_queries, text_queries  # noqa: E402, F401  they register themselves
