@@ -9,7 +9,8 @@ larger benchmark takes one scan of the documents per block, with hits merged. So
 
 Defined results: a null or wordless text has no words and no hits; null or wordless items match nothing; repeated items
 count once by item_id; an item whose id is null is ignored; tables may be empty; repeated documents are judged row by
-row; other columns of the documents stay in ``find_windows``' result and may have any name but the ones it adds.
+row; other columns stay, but for those that bear the
+name of a result column of ``find_windows``.
 """
 
 from __future__ import annotations
@@ -104,66 +105,86 @@ def _spans(data: bytes, hits: list) -> list:
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with n_words, n_hit, items (ids, sorted), hit_words (runs of word numbers) and hit_spans."""
-    patterns = written(item_windows(benchmark, window))
-    spark, out = docs.sparkSession, docs
-    done = False
+    """The documents with n_words, n_hit, items (ids, sorted), hit_words (runs of word numbers) and hit_spans, in place of columns of these names."""
+    patterns, out, again = written(item_windows(benchmark, window)), docs.drop(*(f.name for f in ADDED)), False
     for block in blocks_of(patterns, block_bytes):
-        out = _scan(written(out) if done else out, spark.sparkContext.broadcast((uuid.uuid4().hex, block)), done)
-        done = True
-    return out if done else _scan(out, spark.sparkContext.broadcast((uuid.uuid4().hex, [])), False)
+        out = _scan(written(out) if again else out, block, again)
+        again = True
+    return out if again else _scan(out, [], False)
 
 
-def _scan(docs: DataFrame, sent, again: bool) -> DataFrame:
-    names = [f.name for f in ADDED]
-    schema = docs.schema if again else T.StructType([*docs.schema.fields, *ADDED.fields])
-    keep, at = [i for i, n in enumerate(docs.columns) if not again or n not in names], docs.columns.index("text")
-    mine = {n: i for i, n in enumerate(docs.columns)} if again else {}
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any window of the benchmark, columns as before."""
+    patterns, out, again = written(item_windows(benchmark, window)), docs, False
+    for block in blocks_of(patterns, block_bytes):
+        out = _clean(written(out) if again else out, block)
+        again = True
+    return out
+
+
+def _sent(docs: DataFrame, block: list):
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+
+
+def _clean(docs: DataFrame, block: list) -> DataFrame:
+    """The documents without a match in this block of patterns."""
+    sent, at = _sent(docs, block), docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = sent.value
-        automaton = _automaton(key, block) if block else None
-        kinds = None
+        automaton = _automaton(*sent.value)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            out = {n: [] for n in names}
-            for k, t in enumerate(texts):
+            stay = []
+            for t in b.column(at).to_pylist():
                 w = words(t)
-                hits, items = [], set()
+                stay.append(not w or next(iter(automaton.iter(" " + b" ".join(w).decode("latin-1") + " ")), None) is None)
+            yield b.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _scan(docs: DataFrame, block: list, again: bool) -> DataFrame:
+    """One block of patterns: adds the result columns, or adds to those of the blocks before."""
+    sent, given, names = _sent(docs, block), list(docs.columns), [f.name for f in ADDED]
+    keep, at = [i for i, n in enumerate(given) if n not in names], given.index("text")
+    schema = T.StructType([*(docs.schema[i] for i in keep), *ADDED.fields])
+    mine = {n: given.index(n) for n in names} if again else {}
+    span = lambda a, z: pa.list_(pa.struct([(a, pa.int64()), (z, pa.int64())]))
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.int64()), "hit_words": span("first", "last"), "hit_spans": span("start", "end")}
+
+    def hits_of(t: str | None, automaton) -> tuple[int, list, set]:
+        """Word count, spans of matched words and item ids of a text."""
+        w, hits, items = words(t), [], set()
+        found = list(automaton.iter(" " + b" ".join(w).decode("latin-1") + " ")) if w and automaton is not None else []
+        if found:
+            ends, n = [], 0  # where the blank after each word stands
+            for x in w:
+                n += len(x) + 1
+                ends.append(n)
+            for end, (size, ids) in found:
+                last = bisect.bisect_left(ends, end)
+                hits.append([last - size + 1, last])
+                items.update(ids)
+        return len(w), hits, items
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, patterns = sent.value
+        automaton = _automaton(key, patterns) if patterns else None
+        for b in batches:
+            out = {n: [] for n in names}
+            for k, t in enumerate(b.column(at).to_pylist()):
+                n, hits, items = hits_of(t, automaton)
                 if again:
-                    hits = [[h["first"], h["last"]] for h in b.column(mine["hit_words"])[k].as_py()]
-                    items = set(b.column(mine["items"])[k].as_py())
-                if w and automaton is not None:
-                    found = list(automaton.iter(" " + b" ".join(w).decode("latin-1") + " "))
-                    if found:
-                        ends, n = [], 0  # where the blank after each word stands
-                        for x in w:
-                            n += len(x) + 1
-                            ends.append(n)
-                        for end, (size, ids) in found:
-                            last = bisect.bisect_left(ends, end)
-                            hits.append([last - size + 1, last])
-                            items.update(ids)
+                    hits += [[h["first"], h["last"]] for h in b.column(mine["hit_words"])[k].as_py()]
+                    items |= set(b.column(mine["items"])[k].as_py())
                 hits = _merged(hits)
-                out["n_words"].append(len(w))
-                out["n_hit"].append(sum(y - x + 1 for x, y in hits))
-                out["items"].append(sorted(items))
-                out["hit_words"].append([{"first": x, "last": y} for x, y in hits])
-                out["hit_spans"].append(_spans(t.encode("utf-8", "surrogatepass"), hits) if hits else [])
-            if kinds is None:
-                span = lambda a, z: pa.list_(pa.struct([(a, pa.int64()), (z, pa.int64())]))
-                kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.int64()), "hit_words": span("first", "last"), "hit_spans": span("start", "end")}
-            columns = [*(b.column(i) for i in keep), *(pa.array(out[n], kinds[n]) for n in names)]
-            yield pa.RecordBatch.from_arrays(columns, [*(b.schema.field(i).name for i in keep), *names])
+                row = (n, sum(y - x + 1 for x, y in hits), sorted(items), [{"first": x, "last": y} for x, y in hits], _spans(t.encode("utf-8", "surrogatepass"), hits) if hits else [])
+                for name, v in zip(names, row, strict=True):
+                    out[name].append(v)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *(pa.array(out[n], kinds[n]) for n in names)], [*(given[i] for i in keep), *names])
 
     return docs.mapInArrow(scan, schema)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any window of the benchmark, columns as before."""
-    return find_windows(docs, benchmark, window).where("n_hit = 0").select(*docs.columns)
-
-
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")

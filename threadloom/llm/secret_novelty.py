@@ -9,7 +9,7 @@ Texts are scanned whole, in one pass without a shuffle; each row depends on itse
 repeated rows matter.
 
 Defined results: a null or empty text has no spans; equal texts have equal spans; an empty table gives an empty result;
-``scan`` keeps all columns and adds ``spans``; ``redacted`` returns the columns it was given.
+``scan`` keeps all columns but one named ``spans``; ``redacted`` returns the columns it was given.
 """
 
 from __future__ import annotations
@@ -97,28 +97,42 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("marginal_bytes", pa.int64())]))
 
 
-def scan(docs: DataFrame, redact: str | None = None, drop_text: bool = False) -> DataFrame:
-    """The documents with ``spans``; with ``redact`` given, text and n_chars are replaced where spans were found."""
-    names = [n for n in docs.columns if not (drop_text and n == "text")]
-    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField("spans", SPAN)])
-    given, at = list(docs.columns), docs.columns.index("text")
+def scan(docs: DataFrame, drop_text: bool = False) -> DataFrame:
+    """The documents with ``spans``, in place of a column of that name."""
+    given = docs.drop("spans")
+    names = [n for n in given.columns if not (drop_text and n == "text")]
+    at, keep = given.columns.index("text"), [given.columns.index(n) for n in names]
+    schema = T.StructType([*(given.schema[n] for n in names), T.StructField("spans", SPAN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
         for b in batches:
-            texts = b.column(at).to_pylist()
-            found = [find_spans(t, novelty) for t in texts]
-            columns = {n: b.column(i) for i, n in enumerate(given) if n in names}
-            if redact is not None:
-                clean = [_without(t, s, redact) if s else t for t, s in zip(texts, found, strict=True)]
-                columns["text"] = pa.array(clean, pa.string())
-                if "n_chars" in columns:
-                    before = columns["n_chars"].to_pylist()
-                    columns["n_chars"] = pa.array([len(c) if s else n for c, s, n in zip(clean, found, before, strict=True)], columns["n_chars"].type)
+            found = [find_spans(t, novelty) for t in b.column(at).to_pylist()]
             spans = pa.array([[{"kind": k, "start": x, "end": y, "marginal_bytes": z} for x, y, k, z in s] for s in found], SPAN_ARROW)
-            yield pa.RecordBatch.from_arrays([*(columns[n] for n in names), spans], [*names, "spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), spans], [*names, "spans"])
+
+    return given.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
+
+def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """All documents and columns as before, with every span replaced by ``mark`` in text, and n_chars (if there) to match."""
+    names = list(docs.columns)
+    at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty()
+        for b in batches:
+            texts, columns = b.column(at).to_pylist(), list(b.columns)
+            found = [find_spans(t, novelty) for t in texts]
+            if any(found):
+                clean = [_without(t, s, mark) if s else t for t, s in zip(texts, found, strict=True)]
+                if length is not None:
+                    before = columns[length].to_pylist()
+                    columns[length] = pa.array([len(c) if s else n for c, s, n in zip(clean, found, before, strict=True)], columns[length].type)
+                columns[at] = pa.array(clean, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _without(text: str, spans: list, mark: str) -> str:
@@ -130,11 +144,6 @@ def _without(text: str, spans: list, mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """All documents, with every span replaced by ``mark`` in text."""
-    return scan(docs, mark).select(*docs.columns)
-
-
 def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")

@@ -245,10 +245,21 @@ def _offsets(text: str, odds: np.ndarray) -> list[dict]:
 
 
 def tag(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
-    """The documents with score, predicted and the offending spans (code points, end exclusive)."""
+    """The documents with score, predicted and the offending spans (code points, end exclusive), in place of columns of these names."""
+    added = [f.name for f in ADDED.fields[: None if with_spans else 2]]
+    return _mapped(docs.drop(*added), model, added)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents that are not rejected, columns as before."""
+    return _mapped(docs, model, [])
+
+
+def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
+    """The documents with the named columns added, or only those that stay if none are named."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, *ADDED.fields[: None if with_spans else 2]])
+    at, names, with_spans = docs.columns.index("text"), list(docs.columns), "spans" in added
+    schema = T.StructType([*docs.schema.fields, *(ADDED[n] for n in added)])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,23 +269,21 @@ def tag(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFrame:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 texts = [t or "" for t in part.column(at).to_pylist()]
-                u, closes, ends = index.of([re.findall(r"\S+", t) for t in texts] if with_spans else [t.split() for t in texts])
+                u, closes, ends = index.of([t.split() for t in texts])
                 odds = marginals(u, *sequences(closes, ends), m.moves)[0]
                 score = 1 / (1 + np.exp(-np.clip(evidence(odds, ends) @ m.curve, -30, 30)))
+                if not added:
+                    yield part.filter(pa.array(score < THRESHOLD))
+                    continue
                 more = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
                 if with_spans:
                     begins = np.concatenate([[0], ends[:-1]])
                     more.append(pa.array([_offsets(t, odds[i:j]) if (odds[i:j] > 0).any() else [] for t, i, j in zip(texts, begins, ends, strict=True)], span))
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *(f.name for f in ADDED.fields[: len(more)])])
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not rejected, columns as before."""
-    return tag(docs, model, with_spans=False).where("predicted = 0").select(*docs.columns)
-
-
 def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = tag(docs, train(docs, table(spark, sf_dir, "labels")), with_spans=False)
