@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .near_dup import WordHashes, minima, shingles
+from .near_dup import WordHashes, shingles
 
 BITS, LONGEST, THRESHOLD = 18, 64, 0.3
 ADDED = T.StructType([
@@ -134,15 +134,14 @@ def evidence(odds: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _token_labels(texts: list[str], toxic: list[bool]) -> set[str]:
     """Features that are far commoner in toxic documents; near copies (equal least shingle hash) count once."""
-    seen, hashes, df, n = set(), WordHashes(), (Counter(), Counter()), [0, 0]
+    seen, hashes, kept = set(), WordHashes(), ([], [])
     for text, y in zip(texts, toxic, strict=True):
         found = shingles(text, hashes)
-        key = (bool(y), int(minima(found[:4096])[0])) if len(found) else None
-        if key in seen:
-            continue
-        seen.add(key)
-        n[y] += 1
-        df[y].update({f for w in set(text.split()) for f in features(w)})
+        key = (y, int((found[:4096] * np.uint64(0x9E3779B97F4A7C15)).min())) if len(found) else None
+        if key not in seen:
+            seen.add(key)
+            kept[y].append(text)
+    n = (len(kept[0]), len(kept[1]))
     share = n[1] / max(1, n[0] + n[1])
 
     def surprise(k: int, k0: int) -> float:
@@ -150,10 +149,17 @@ def _token_labels(texts: list[str], toxic: list[bool]) -> set[str]:
         x = k / (k + k0)
         return k * math.log(x / share) + (k0 * math.log((1 - x) / (1 - share)) if k0 else 0)
 
-    return {f for f, k in df[1].items() if (k + 0.5) / (n[1] + 1) >= 20 * (df[0][f] + 0.5) / (n[0] + 1) and surprise(k, df[0][f]) >= 8}
+    df = [Counter(), Counter()]
+    for text in kept[1]:
+        df[1].update({f for w in set(text.split()) for f in features(w)})
+    maybe = {f: k for f, k in df[1].items() if surprise(k, 0) >= 8}  # the others cannot pass, whatever clean documents hold
+    del df[1]
+    for text in kept[0]:
+        df[0].update({f for w in set(text.split()) for f in features(w) if f in maybe})
+    return {f for f, k in maybe.items() if (k + 0.5) / (n[1] + 1) >= 20 * (df[0][f] + 0.5) / (n[0] + 1) and surprise(k, df[0][f]) >= 8}
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int = 1500, rate: float = 0.3, ridge: float = 1e-4) -> Model:
+def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int = 500, rate: float = 0.3, ridge: float = 1e-4) -> Model:
     """The field and the curve from labelled documents; ``train_docs`` of each kind train the field, all fit the curve."""
     model = Model(np.zeros(1 << BITS), -2.0, np.zeros((2, 2)), np.array([-30.0, 0.0, 0.0]))
     y = np.array(toxic, bool)
@@ -169,8 +175,9 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int =
     marked = np.array([any(f in bad for f in features(w)) for w in words], bool)
     where = np.repeat(y[chosen], [len(d) for d in docs])
     tags = marked[ids] & where
-    lists = [slots(w) for w in words]
-    slot, of_word = np.fromiter((s for x in lists for s in x), np.int64), np.repeat(np.arange(len(words)), [len(x) for x in lists])
+    sizes = np.array([len(features(w)) for w in words])
+    slot, of_word = np.fromiter((s for w in words for s in slots(w)), np.int64, int(sizes.sum())), np.repeat(np.arange(len(words)), sizes)
+    del docs, words
     start, length = sequences(closes, ends)
     joined = np.ones(len(ids), bool)
     joined[start] = False
@@ -182,13 +189,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int =
     scale = max(1, tags.sum())
     for step in range(1, rounds + 1):
         weights, bias, moves = params
-        u = (np.bincount(of_word, weights[slot], len(words)) + bias[0])[ids]
+        u = (np.bincount(of_word, weights[slot], len(sizes)) + bias[0])[ids]
         odds, fore, back = marginals(u, start, length, moves)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        miss = np.bincount(ids, tags - p, len(words))
+        miss = np.bincount(ids, tags - p, len(sizes))
         f, b = fore[right - 1], np.exp(np.clip(u[right], -30, 30)) * back[right]
-        joint = np.array([[np.ones(len(f)), b], [f, f * b]]) * np.exp(moves)[:, :, None]
-        pairs = (joint / joint.sum((0, 1))).sum(2)
+        a = np.exp(moves)
+        whole = a[0, 0] + a[0, 1] * b + a[1, 0] * f + a[1, 1] * f * b
+        pairs = a * np.array([[(1 / whole).sum(), (b / whole).sum()], [(f / whole).sum(), (f * b / whole).sum()]])
         grads = [np.bincount(slot, miss[of_word], len(weights)) / scale - ridge * weights, np.array([miss.sum()]) / scale, (real - pairs) / scale]
         for k, g in enumerate(grads):  # Adam
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -227,7 +235,7 @@ def sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean:
     return [r[1] for r in rows], [int(r[2]) for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 2000, sample_clean: int = 6000, sample_chars: int = 60_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1000, sample_clean: int = 3000, sample_chars: int = 12_000_000) -> Model:
     return fit(*sample(docs, labels, sample_toxic, sample_clean, sample_chars))
 
 
