@@ -4,7 +4,7 @@
 pointer doubling, a self-join on (tree_id, node) for each power of two, so a thread of a thousand replies takes
 ten joins instead of a thousand; only ids travel through these joins, texts are joined once at the end.
 
-Defined results: a null role or text is empty; a parent that does not exist makes a root; repeated (tree_id, node)
+Defined results: a null role or text is empty; messages whose tree_id is null are left out (``as_tree`` wraps its ids); a parent that does not exist makes a root; repeated (tree_id, node)
 rows keep the least (parent, role, text); equal scores go to the longer, then to the smaller leaf; an empty table gives
 an empty result; other columns of the input are ignored whatever their names. Messages on a cycle reach no root and
 form no path. A formatted conversation is one string, so the messages of one chosen path meet in one row by nature.
@@ -115,8 +115,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def as_tree(conversations: DataFrame) -> DataFrame:
-    """Conversations by turn as trees: each row replies to the one before; equal turns stand by role, then text."""
-    rows = conversations.select(F.col("conv_id").alias("tree_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """Conversations by turn as trees: each row replies to the one before; equal turns stand by role, then text.
+
+    The tree_id is a struct around conv_id, so that rows without one form a conversation too (a null key joins nothing).
+    """
+    rows = conversations.select(F.struct("conv_id").alias("tree_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.row_number().over(Window.partitionBy("tree_id").orderBy("turn", "role", "text"))
     return rows.select("tree_id", n.cast("long").alias("node"), "role", "text").select(
         "tree_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.length("text").alias("score")
@@ -130,7 +133,7 @@ def op2_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read_back(format_paths(reply_paths(messages), messages))
     turns = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
     return out.select(
-        F.col("tree_id").alias("conv_id"), F.size("roles").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.col("tree_id.conv_id").alias("conv_id"), F.size("roles").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that make a context sensitive, and runs that may be keys: 20 characters or more, a digit or mixed case among them.
 CONTEXT = re.compile(r"(?i:passw|secret|token|api.?key|credential|private|auth|bearer|signature|access.?key|client.?id)", re.ASCII)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
-REACH, BEFORE, LEAST = 48, 512, 0.72
+REACH, BEFORE, LEAST = 48, 512, 0.95
 #: Common code and identifier words that the compressor knows beforehand.
 WORDS = """
  access account action address admin agent alias allow amount answer api app append apply argument array assert async attribute auth await backend base batch bearer begin binary block body
@@ -51,6 +51,9 @@ WORDS = """
  source spec split stack start state static status step stop storage store stream string struct style submit subscribe success super switch symbol sync system table tag target task template
  test text theme this thread throw time timeout timestamp title token tool total trace transaction transform trigger true try tuple type undefined union unique unit unknown update upload url
  user username util valid validate value var vector verify version view visible void wait while width window with worker wrapper write xml yield zone
+ application attempt authorization bytes certificate characters clients credentials customer days default_value development directory_name domain_name email_address encryption environment_name factory
+ function_name hours identifier instance_id interval keys maximum metrics milliseconds minimum minutes monitoring names notification numbers organization parameter parameters period production provider_id
+ refresh region_name requests responses results retries retry seconds secrets settings staging subscription success temporary timestamps tokens total_count users values version_number webhook workspace
 """
 
 
@@ -62,7 +65,7 @@ class Novelty:
 
         raw = " ".join(WORDS.split())
         raw = f"{raw} {raw.title()} {raw.upper()}".encode()
-        self.pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.pack = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, before: str, found: str) -> int:
         head = before.encode("utf-8", "surrogatepass")
