@@ -29,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def light_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The frame, after the session's Arrow batches are set to ``rows`` rows if they have Spark's default of 10,000: whole
+    texts travel in them, and a batch stands in the executor and in its worker at once. A session's own number stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame, computed once, written to the shared folder and read back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import light_batches, table, written
 
 #: Bytes of words: digits, letters, all of UTF-8's others; A-Z become a-z, the rest is a blank.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -139,7 +139,7 @@ def _clean(docs: DataFrame, block: list) -> DataFrame:
                 stay.append(not w or next(iter(automaton.iter(" " + b" ".join(w).decode("latin-1") + " ")), None) is None)
             yield b.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return light_batches(docs).mapInArrow(scan, docs.schema)
 
 
 def _scan(docs: DataFrame, block: list, again: bool) -> DataFrame:
@@ -182,7 +182,7 @@ def _scan(docs: DataFrame, block: list, again: bool) -> DataFrame:
                     out[name].append(v)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *(pa.array(out[n], kinds[n]) for n in names)], [*(given[i] for i in keep), *names])
 
-    return docs.mapInArrow(scan, schema)
+    return light_batches(docs).mapInArrow(scan, schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

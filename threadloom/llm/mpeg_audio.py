@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import light_batches, table
 
 #: Fixed values of the format: kbit/s by (MPEG-1?, layer), Hz by version bits.
 BITRATES = {
@@ -213,7 +213,7 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * len(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, keep, strict=True)], [n for n, _ in keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, ", ".join(SCHEMA.split(", ")[: len(keep)]))
+    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(make, ", ".join(SCHEMA.split(", ")[: len(keep)]))
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, table, written
+from .common import kept, light_batches, table, written
 
 WORDS, BANDS, ROWS, PERMS, SMALL, PERCENT = 5, 25, 5, 128, 16, 85
 #: Pairs whose estimate is more than five standard deviations under the threshold are not confirmed.
@@ -110,7 +110,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n", "set_key", "bands", "s0", "s1", "s2", "s3"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
 
 def estimate(x: Column, y: Column) -> Column:

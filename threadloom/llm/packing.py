@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import light_batches, table, written
 
 WINDOW, END, GROUP_ROWS, CACHE = 2048, 1, 4000, 600_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -122,11 +122,11 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece: full windows and a remainder."""
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, cache: int = CACHE) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens of each piece: full windows and a remainder. ``cache``: chunks in a generation, about 200 bytes each; any number gives the same ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = ChunkIds(tokenizer), END.to_bytes(4, "little")
+        ids_of, end = ChunkIds(tokenizer, cache), END.to_bytes(4, "little")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, out = b.slice(at, 256), [[], [], [], [], []]
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
+    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
 
 
 def packed(cut: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:

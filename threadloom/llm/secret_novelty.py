@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import light_batches, table
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns of the contract; the lengths are those that matches need to count.
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, drop_text: bool = False) -> DataFrame:
             spans = pa.array([[{"kind": k, "start": x, "end": y, "marginal_bytes": z} for x, y, k, z in s] for s in found], SPAN_ARROW)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), spans], [*names, "spans"])
 
-    return given.mapInArrow(run, schema)
+    return light_batches(given).mapInArrow(run, schema)
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -135,7 +135,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 columns[at] = pa.array(clean, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return light_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _without(text: str, spans: list, mark: str) -> str:

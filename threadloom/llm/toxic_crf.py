@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import light_batches, table
 from .near_dup import WordHashes, shingles
 
 BITS, LONGEST, THRESHOLD = 18, 64, 0.3
@@ -289,7 +289,7 @@ def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
                     more.append(pa.array([_offsets(t, odds[i:j]) if (odds[i:j] > 0).any() else [] for t, i, j in zip(texts, begins, ends, strict=True)], span))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return light_batches(docs).mapInArrow(run, schema)
 
 
 def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
