@@ -40,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(packing.pieces(docs, packing.tokenizer_path()))
+    return packing.packed(packing.pieces(docs, packing.tokenizer_path(), cache=200_000))  # the workers hold what the stages before have left, too
 
 
 STAGES = [
