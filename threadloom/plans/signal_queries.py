@@ -50,7 +50,7 @@ def chunk_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", plan.alias("plan")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT user_id, round(0.6 * max(CAST(event_type = 'click' AS INT)) + 0.25 * max(CAST(event_type = 'view' AS INT)) + 0.15 * max(CAST(value > 50 AS INT)), 4) AS score FROM events GROUP BY user_id)
+@query("""WITH s AS (SELECT user_id, round(0.6 * max(CAST(event_type = 'click' AS INT)) + 0.25 * max(CAST(event_type = 'view' AS INT)) + 0.15 * max(CAST(value > 50 AS INT)), 4)::DOUBLE AS score FROM events GROUP BY user_id)
   SELECT user_id, score, CASE WHEN score >= 0.72 THEN 'strong' WHEN score >= 0.4 THEN 'partial' WHEN score > 0 THEN 'weak' ELSE 'none' END AS class FROM s""")
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of each kind of evidence, weighted."""
