@@ -327,6 +327,23 @@ def test_op7_against_patterns(spark, odd, sf_dir):
         assert got == want
 
 
+def test_novelty_of_random_keys():
+    rng, n = random.Random(7), secret_novelty.Novelty()
+    prose = " ".join(rng.choice(["the", "house", "of", "every", "reader", "stands", "near", "a", "river", "and", "waits"]) for _ in range(300))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {"base64": letters + letters.upper() + "0123456789+/", "HEX": "0123456789ABCDEF", "alnum": letters + letters.upper() + "0123456789", "lower": letters + "0123456789", "mixed case": letters + letters.upper()}
+    for kind, alphabet in kinds.items():
+        for size, before in itertools.product((20, 24, 32, 40, 64, 128, 256), (0, 60, 512)):
+            at, hits = rng.randrange(200), 0
+            head = f"{prose[at : at + before]} Authorization: Bearer "
+            for _ in range(25):
+                key = "".join(rng.choice(alphabet) for _ in range(size))
+                hits += any(a <= len(head) + (key[0] in "+/") and b >= len(head) + size for a, b, *_ in secret_novelty.find_spans(f"{head}{key} end", n))
+            assert hits >= 24, (kind, size, before, hits)
+    for words in ("connection_pool_manager_factory1", "HeaderAuthFlightServer", "AuthenticationTokenProviderFactory", "test_utf8_normalization", "s3_private_bucket_with_data", "BooleanOptionalAction"):
+        assert secret_novelty.find_spans(f"auth {words} end", n) == [], words
+
+
 def test_novelty_and_redaction(spark, odd):
     n = secret_novelty.Novelty()
     found = secret_novelty.find_spans("auth Zx9Qw7Lk3Vb8Nm2Hp5Rt1Yc6 end", n)

@@ -1,9 +1,12 @@
 """Secret scan by dictionary-primed zstandard novelty, beside three fixed patterns.
 
 Patterns (assign, access, hex) give the base spans. Then every other long run of key-like characters that stands within
-``REACH`` characters after a sensitive word is a candidate: its marginal size is the compressed length of the text before
-it plus the candidate, less that of the text before it alone, with a dictionary of common code and identifier words. A
-candidate whose marginal size is at least ``LEAST`` of its length is new to both and reported as ``novel``.
+``REACH`` characters after a sensitive word is a candidate: its own size is its compressed length after a dictionary of
+common code and identifier words and of the text before it. A candidate is reported as ``novel`` if its own size reaches
+``LEAST`` of what random characters of its alphabet need (base64 codes at six bits a character, hex at four), and its letter
+pairs are as improbable among those words as random ones are. ``marginal_bytes`` of a span is the compressed length of the
+text before it plus the span, less that of the text before it alone; it jumps where a short head starts to be entropy-coded,
+which is why it is not what decides.
 
 Texts are scanned whole, in one pass without a shuffle; each row depends on itself alone, so neither hot keys nor
 repeated rows matter.
@@ -15,7 +18,9 @@ Defined results: a null or empty text has no spans; equal texts have equal spans
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +37,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that make a context sensitive, and runs that may be keys: 20 characters or more, a digit or mixed case among them.
 CONTEXT = re.compile(r"(?i:passw|secret|token|api.?key|credential|private|auth|bearer|signature|access.?key|client.?id)", re.ASCII)
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9]|[A-Z+/_=-]*[a-z][a-z+/_=-]*[A-Z]|[a-z+/_=-]*[A-Z][A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}")
 REACH, BEFORE, LEAST = 48, 512, 0.95
+#: Bits a letter pair must have on average; of random keys of 20 mixed-case letters, the least sure kind, one in a few hundred has less.
+SURPRISE = 4.4
+#: Sizes of the alphabets that a key may come from.
+ALPHABETS = (("0-9", 10), ("0-9a-f", 16), ("0-9A-F", 16), ("a-z", 26), ("A-Z", 26), ("0-9a-z", 36), ("0-9A-Z", 36), ("A-Za-z", 52), ("0-9A-Za-z", 62), ("0-9A-Za-z+/=_-", 64))
+OF_ALPHABET = [(re.compile(f"[{chars}]+"), math.log2(n)) for chars, n in ALPHABETS]
+CASE, DIGIT, OTHER = re.compile("(?<=[a-z])(?=[A-Z])"), re.compile("[0-9]"), re.compile("[^a-z0]+")
 #: Common code and identifier words that the compressor knows beforehand.
 WORDS = """
  access account action address admin agent alias allow amount answer api app append apply argument array assert async attribute auth await backend base batch bearer begin binary block body
@@ -64,13 +75,42 @@ class Novelty:
         import zstandard
 
         raw = " ".join(WORDS.split())
-        raw = f"{raw} {raw.title()} {raw.upper()}".encode()
+        pairs = Counter(zip(f"_{_symbols(raw)}", _symbols(raw), strict=False))
+        first = Counter(a for a, _ in pairs.elements())
+        self.cost = {(a, b): math.log2((first[a] + 14) / (pairs[a, b] + 0.5)) for a in SYMBOLS for b in SYMBOLS}
+        self.raw = raw = f"{raw} {raw.title()} {raw.upper()}".encode()
         self.pack = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, before: str, found: str) -> int:
         head = before.encode("utf-8", "surrogatepass")
         return len(self.pack.compress(head + found.encode("utf-8", "surrogatepass"))) - len(self.pack.compress(head))
 
+    def own(self, before: str, found: str) -> int:
+        """Compressed bytes of a string, where what stands before it is part of the dictionary."""
+        import zstandard
+
+        known = zstandard.ZstdCompressionDict(self.raw + b" " + before.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        pack = zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(pack.compress(found.encode())) - len(self.pack.compress(b""))
+
+    def surprise(self, found: str) -> float:
+        """Bits of a letter after the one before it, on average, from the pairs of the dictionary's words."""
+        s = _symbols(found)
+        return sum(map(self.cost.__getitem__, zip(f"_{s}", s, strict=False))) / len(s)
+
+    def is_key(self, before: str, found: str) -> bool:
+        if self.surprise(found) < SURPRISE:
+            return False
+        return 8 * self.own(before, found) >= LEAST * len(found) * next(bits for chars, bits in OF_ALPHABET if chars.fullmatch(found))
+
+
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0_"
+
+
+def _symbols(text: str) -> str:
+    """Lower case, 0 for every digit, _ between words and where an upper-case letter follows a lower-case one."""
+    return OTHER.sub("_", DIGIT.sub("0", CASE.sub("_", text).lower()))
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12] if "=" in text or ":" in text else []
@@ -78,19 +118,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
+def _is_open(start: int, end: int, base: list[tuple[int, int, str]]) -> bool:
+    """Whether base spans leave a run to be judged: an assignment takes it whole, lower-case hex within it only itself."""
+    over = [(max(a, start), min(b, end), kind) for a, b, kind in base if a < end and start < b]
+    return all(kind == "hex" for *_, kind in over) and end - start - sum(b - a for a, b, _ in over) >= (8 if over else 1)
+
+
 def find_spans(text: str | None, novelty: Novelty) -> list[tuple[int, int, str, int]]:
     """(start, end, kind, marginal bytes), by start, then kind."""
     if not text:
         return []
-    out = base_spans(text)
+    base = base_spans(text)
+    out = list(base)
     sensitive = [m.end() for m in CONTEXT.finditer(text)]
     if sensitive:
         k = -1  # the last sensitive word before a run
         for m in RUN.finditer(text):
             while k + 1 < len(sensitive) and sensitive[k + 1] <= m.start():
                 k += 1
-            if k >= 0 and m.start() - sensitive[k] <= REACH and not any(a < m.end() and m.start() < b for a, b, _ in out):
-                if novelty(text[max(0, m.start() - BEFORE) : m.start()], m[0]) >= LEAST * len(m[0]):
+            if k >= 0 and m.start() - sensitive[k] <= REACH and _is_open(*m.span(), base):
+                if novelty.is_key(text[max(0, m.start() - BEFORE) : m.start()], m[0]):
                     out.append((*m.span(), "novel"))
     out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return [(a, b, kind, novelty(text[max(0, a - BEFORE) : a], text[a:b])) for a, b, kind in out]
