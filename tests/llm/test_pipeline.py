@@ -4,6 +4,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from threadloom.llm import near_dup  # noqa: E402
+
 from .test_llm import brute_groups, brute_windows, empty, odd, rows_of  # noqa: E402, F401
 
 
@@ -31,6 +33,21 @@ def test_stages(spark, odd, tmp_path):  # noqa: F811
     assert key(before) == key(after)
 
 
+def test_near_duplicates_at_80(spark, empty):  # noqa: F811
+    docs, alike = [], []
+    for k in range(60):  # 200 words: m new ones at the end leave 196 - m of 196 + m shingles
+        m = 14 + k % 12
+        base = [f"g{k}w{i}" for i in range(200)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: 200 - m], *(f"x{k}n{i}" for i in range(m))]))]
+        alike.append(100 * (196 - m) >= 80 * (196 + m))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, empty).collect()}
+    assert left == {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if not alike[k]} and 0 < sum(alike) < 60
+    assert [near_dup.bands_of(p) for p in (80, 85)] == [(28, 4), (25, 5)]
+    groups = near_dup.near_duplicates(frame).where("doc_id <> component_id").collect()
+    assert {r["doc_id"] for r in groups} == {2 * k + 1 for k in range(60) if 100 * (182 - k % 12) >= 85 * (210 + k % 12)}
+
+
 def test_run(spark, sf_dir, empty):  # noqa: F811
     assert corpus_pipeline.run(spark, empty).count() == 0
     out = corpus_pipeline.run(spark, sf_dir)

@@ -10,8 +10,11 @@ That already ties dense groups together. What may still be missing are links bet
 buckets compare all such pairs by estimate, members of buckets over ``small`` are compared by a prefix filter, which
 is exact: two sets that are similar enough share one of their rarest shingles (the first n - ceil(t n) + 1), with enough
 left after it. So no
-bucket is capped, and no group is expanded into all its pairs. All links are confirmed on full sets. A pair at the
-threshold misses all 25 bands of five minima with a chance below one in a million, an estimate errs by five deviations.
+bucket is capped, and no group is expanded into all its pairs. All links are confirmed on full sets.
+
+The similarity that links two documents is a parameter in per cent; op5 asks for 85, the pipeline's stage for 80. The bands
+and the least estimate that is worth confirming follow from it: a pair at the threshold misses all bands with a chance below
+one in a million (25 bands of five minima at 85, 28 of four at 80), an estimate errs by five deviations.
 
 Components come from alternating star contraction over the confirmed links, one checkpoint per round.
 
@@ -23,6 +26,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, light_batches, table, written
 
-WORDS, BANDS, ROWS, PERMS, SMALL, PERCENT = 5, 25, 5, 128, 16, 85
-#: Pairs whose estimate is more than five standard deviations under the threshold are not confirmed.
-LEAST = 0.66
+WORDS, PERMS, SMALL, MISSED = 5, 128, 16, 5e-7
 SKETCH = "doc_id long, n long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 _U = np.uint64
 #: Odd 64-bit multipliers, from a seed.
@@ -42,6 +44,21 @@ _ODD = np.random.default_rng(20).integers(0, 2**63, PERMS + 2 * WORDS, dtype=np.
 _PERM, _MIX, _BAND = _ODD[:PERMS], _ODD[PERMS : PERMS + WORDS], _ODD[PERMS + WORDS :]
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """(bands, minima in each): the longest bands with which a pair at the threshold misses all of them in ``MISSED`` of cases."""
+    for rows in range(WORDS, 0, -1):
+        for bands in range(1, PERMS // rows + 1):
+            if (1 - (percent / 100) ** rows) ** bands <= MISSED:
+                return bands, rows
+    raise ValueError(f"{PERMS} minima do not find pairs of {percent} %")
+
+
+def least_of(percent: int) -> float:
+    """The estimate five standard deviations under the threshold; pairs below it are not confirmed."""
+    agree = 0.25 + 0.75 * percent / 100
+    return percent / 100 - 5 * math.sqrt(agree * (1 - agree) / PERMS) / 0.75
+
+
 class WordHashes(dict):
     """64-bit hashes of words; cleared when it has grown large."""
 
@@ -82,10 +99,12 @@ def minima(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n, set_key, bands and the packed low bits of each document."""
     import hashlib
 
+    n_bands, rows = bands_of(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, shift = WordHashes(), np.arange(0, 64, 2, dtype=np.uint64)
         for b in batches:
@@ -97,13 +116,13 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 if len(found):
                     mins[i] = minima(found)
-            bands = np.zeros((b.num_rows, BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = _mixed(bands + mins[:, r : BANDS * ROWS : ROWS] * _BAND[r] + np.arange(BANDS, dtype=np.uint64), r)
+            bands = np.zeros((b.num_rows, n_bands), np.uint64)
+            for r in range(rows):
+                bands = _mixed(bands + mins[:, r : n_bands * rows : rows] * _BAND[r] + np.arange(n_bands, dtype=np.uint64), r)
             low = (_mixed(mins, 1) >> _U(62)).reshape(b.num_rows, 4, 32)
             packed = np.bitwise_or.reduce(low << shift, axis=2).view(np.int64)
             some = np.array(ns) > 0
-            offsets = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(some * n_bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(bands[some]).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), lists, *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(4))],
@@ -122,11 +141,11 @@ def estimate(x: Column, y: Column) -> Column:
     return (1 - apart / F.lit(PERMS) - 0.25) / 0.75
 
 
-def near_in_size(x: Column, y: Column) -> Column:
-    return (x["n"] * 100 >= y["n"] * PERCENT) & (y["n"] * 100 >= x["n"] * PERCENT)
+def near_in_size(x: Column, y: Column, percent: int) -> Column:
+    return (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +154,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for i in range(b.num_rows):
                 x, y = np.frombuffer(a_[i].as_py(), np.uint64), np.frombuffer(b_[i].as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("id").alias("a"), F.col("found").alias("found_a")), sets.select(F.col("id").alias("b"), F.col("found").alias("found_b"))
@@ -161,7 +180,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def prefixes(finalists: DataFrame, sets: DataFrame) -> DataFrame:
+def prefixes(finalists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(id, prefix): each set's rarest shingles, rarest first, as many as the filter needs; rarity is counted over all finalists."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +193,13 @@ def prefixes(finalists: DataFrame, sets: DataFrame) -> DataFrame:
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"))
     ranked = rows.join(common, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("all"))
     n = F.size("all")
-    return ranked.select("id", F.slice("all.shingle", F.lit(1), (n - F.ceil(n * PERCENT / 100) + 1).cast("int")).alias("prefix"))
+    return ranked.select("id", F.slice("all.shingle", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int")).alias("prefix"))
 
 
-def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of documents (doc_id, text)."""
-    all_ = written(sketch(docs))
+def near_duplicates(docs: DataFrame, small: int = SMALL, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of documents (doc_id, text); ``percent`` links two of them."""
+    enough_alike = least_of(percent)
+    all_ = written(sketch(docs, percent))
     classes = all_.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "bands", "s0", "s1", "s2", "s3")).alias("r"))
     reps = written(classes.select("set_key", F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.s0", "r.s1", "r.s2", "r.s3"))
     sketch_ = F.struct("n", "s0", "s1", "s2", "s3").alias("x")
@@ -190,13 +210,13 @@ def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     buckets = members.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "x")).alias("c0"), *(chance(k).alias(f"c{k}") for k in (1, 2, 3))).where("m > 1")
     within = written(members.join(buckets.select("key", "m", F.array(*(centre(F.col(f"c{k}")) for k in range(4))).alias("centres")), "key"))
     # a member's two likeliest centres over all its buckets; estimates are made row by row, no pair is emitted
-    near = F.filter("centres", lambda c: (c["id"] != F.col("id")) & near_in_size(c["x"], F.col("x")))
+    near = F.filter("centres", lambda c: (c["id"] != F.col("id")) & near_in_size(c["x"], F.col("x"), percent))
     guess = F.transform(near, lambda c: F.struct(estimate(c["x"], F.col("x")).alias("est"), (-c["id"]).alias("c")))
-    probes = within.select("id", F.array_max(guess).alias("g")).where("g.est >= %s" % LEAST).groupBy("id", "g.c").agg(F.max("g.est").alias("est"))
+    probes = within.select("id", F.array_max(guess).alias("g")).where(F.col("g.est") >= enough_alike).groupBy("id", "g.c").agg(F.max("g.est").alias("est"))
     best = Window.partitionBy("id").orderBy(F.desc("est"), F.desc("c"))
     first = written(probes.withColumn("r", F.row_number().over(best)).where("r <= 2").select(F.col("id").alias("a"), (-F.col("c")).alias("b")))
     sets = written(_sets(docs, reps, within.select("id").distinct()))
-    links = written(confirmed(first, sets))
+    links = written(confirmed(first, sets, percent))
     parts = components(links)
     # what is left: links between different components
     tagged = written(within.select("band", "key", "id", "m", "x").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -204,20 +224,20 @@ def near_duplicates(docs: DataFrame, small: int = SMALL) -> DataFrame:
     open_ = tagged.join(mixed, "key")
     apart = (
         (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
-        & near_in_size(F.col("p.x"), F.col("q.x")) & (estimate(F.col("p.x"), F.col("q.x")) >= LEAST)
+        & near_in_size(F.col("p.x"), F.col("q.x"), percent) & (estimate(F.col("p.x"), F.col("q.x")) >= enough_alike)
     )
     pair = [F.col("p.id").alias("a"), F.col("q.id").alias("b")]
     few = open_.where(F.col("m") <= small).join(reps.select("id", "bands"), "id")
     shared = F.array_position(F.zip_with("p.bands", "q.bands", lambda x, y: x == y), True) == F.col("p.band") + 1  # their first common band
     rest = few.alias("p").join(few.alias("q"), apart & shared).select(*pair)
     many = open_.where(F.col("m") > small).select("id", "component", "x").distinct()
-    rare = written(prefixes(many.select("id"), sets).join(many, "id"))
+    rare = written(prefixes(many.select("id"), sets, percent).join(many, "id"))
     rare = rare.select(F.posexplode("prefix").alias("at", "key"), "*")
     rarest = F.element_at(F.array_intersect("p.prefix", "q.prefix"), 1) == F.col("p.key")
     n_p, n_q = F.col("p.x.n"), F.col("q.x.n")  # all they can share stands at or after their rarest common shingle
-    enough = F.least(n_p - F.col("p.at"), n_q - F.col("q.at")) * (100 + PERCENT) >= (n_p + n_q) * PERCENT
+    enough = F.least(n_p - F.col("p.at"), n_q - F.col("q.at")) * (100 + percent) >= (n_p + n_q) * percent
     more = rare.alias("p").join(rare.alias("q"), apart & enough & rarest).select(*pair)
-    late = confirmed(rest.unionByName(more).distinct(), sets)
+    late = confirmed(rest.unionByName(more).distinct(), sets, percent)
     groups = components(links.unionByName(written(late)))
     ids = reps.select("set_key", "id").join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     return all_.join(ids, "set_key", "left").select(
@@ -246,12 +266,12 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, found binary").dropDuplicates(["id"])
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents that stay, one of each group, columns as before."""
-    stay = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc_id_")).distinct()
+    stay = near_duplicates(docs, percent=percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc_id_")).distinct()
     held = docs.join(stay, docs["doc_id"] == stay["doc_id_"], "left_semi").dropDuplicates(["doc_id"])
     return held.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
