@@ -31,3 +31,18 @@ def test_query(spark, sf_dir, duck, name):
         return
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
     assert plain(got) == plain(want)
+
+
+def test_no_caps(spark, tmp_path):
+    spellings = ["".join(c.upper() if i >> k & 1 else c for k, c in enumerate("abcdefghijklmn")) for i in range(10_050)]
+    spark.createDataFrame([(1, 0, ",".join(spellings)), (1, 1, ",".join(f"t{i}" for i in range(1200)))], "conv_id long, turn long, text string").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    letters = "".join(chr(0x4E00 + i) for i in range(10_050))
+    spark.createDataFrame([(1, letters), (2, letters[5000:])], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("conversations", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("token_identities", "neighbour_dice"):
+        df = QUERIES[name](spark, f"file://{tmp_path}")
+        columns = sorted(df.columns)
+        want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+        assert plain([tuple(r) for r in df.select(*columns).collect()]) == plain(want), name

@@ -47,21 +47,25 @@ def tokens(c: Column | str, pattern: str) -> Column:
     return F.filter(F.transform(F.split(safe_text(c), pattern), safe_text), lambda x: x != "")
 
 
-def distinct_compact(xs: Column, most: int = 999) -> Column:
+def _at_most(xs: Column, most: int | None) -> Column:
+    return xs if most is None else F.slice(xs, 1, most)
+
+
+def distinct_compact(xs: Column, most: int | None = 999) -> Column:
     """Ordered distinct by compact form, first spelling kept."""
     step = lambda acc, x: F.when(F.exists(acc, lambda y: compact(y) == compact(x)) | (safe_text(x) == ""), acc).otherwise(F.concat(acc, F.array(safe_text(x))))
-    return F.slice(F.aggregate(xs, F.array().cast("array<string>"), step), 1, most)
+    return _at_most(F.aggregate(xs, F.array().cast("array<string>"), step), most)
 
 
-def distinct_exact(xs: Column, most: int = 999) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(xs, safe_text), lambda x: x != "")), 1, most)
+def distinct_exact(xs: Column, most: int | None = 999) -> Column:
+    return _at_most(F.array_distinct(F.filter(F.transform(xs, safe_text), lambda x: x != "")), most)
 
 
-def ngrams(c: Column, n: int, most: int = 256) -> Column:
-    """The first ``most`` distinct character n-grams; a shorter text is its own."""
+def ngrams(c: Column, n: int, most: int | None = 256) -> Column:
+    """The first ``most`` (all if None) distinct character n-grams; a shorter text is its own."""
     whole = F.filter(F.array(c), lambda x: x != "")
     grams = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) >= n, F.slice(F.array_distinct(grams), 1, most)).otherwise(whole)
+    return F.when(F.length(c) >= n, _at_most(F.array_distinct(grams), most)).otherwise(whole)
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -38,8 +38,8 @@ def token_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, and their two identities."""
     xs = text.tokens("text", r"[,.\n]")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", xs.alias("xs")).select(
-        "conv_id", "turn", F.size("xs").cast("long").alias("n_tokens"), F.size(text.distinct_exact(F.col("xs"), 9999)).cast("long").alias("n_exact"),
-        F.size(text.distinct_compact(F.col("xs"), 9999)).cast("long").alias("n_compact"), F.coalesce(F.get("xs", F.lit(0)), F.lit("")).alias("head"),
+        "conv_id", "turn", F.size("xs").cast("long").alias("n_tokens"), F.size(text.distinct_exact(F.col("xs"), None)).cast("long").alias("n_exact"),
+        F.size(text.distinct_compact(F.col("xs"), None)).cast("long").alias("n_compact"), F.coalesce(F.get("xs", F.lit(0)), F.lit("")).alias("head"),
     )
 
 
@@ -50,7 +50,7 @@ def token_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM n a JOIN n b ON b.item_id = a.item_id + 1""")
 def neighbour_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bigram sets and their Dice similarity, each item with the next."""
-    n = table(spark, sf_dir, "benchmark").select("item_id", text.ngrams(text.compact("text"), 2, 9999).alias("grams"))
+    n = table(spark, sf_dir, "benchmark").select("item_id", text.ngrams(text.compact("text"), 2, None).alias("grams"))
     a, b = n.select(F.col("item_id").alias("a_id"), F.col("grams").alias("x")), n.select((F.col("item_id") - 1).alias("a_id"), F.col("grams").alias("y"))
     return a.join(b, "a_id").select("a_id", (F.col("a_id") + 1).alias("b_id"), F.size("x").cast("long").alias("n_grams"), F.round(text.dice(F.col("x"), F.col("y")), 6).alias("dice"))
 
