@@ -100,7 +100,7 @@ def test_op1_scores(spark, odd, sf_dir, which):
 
     def p(v, u, w):
         q = (c[w] + 1) / (total + types + 1)
-        if ctx[u] and c[u] < lm_score.FREQUENT * total:
+        if ctx[u]:
             q = (succ[u, w] + types_u[u] * q) / (ctx[u] + types_u[u])
         return (c3[v, u, w] + types_vu[v, u] * q) / (pairs[v, u] + types_vu[v, u]) if pairs[v, u] else q
 
@@ -117,6 +117,34 @@ def test_op1_scores(spark, odd, sf_dir, which):
         assert g[6] == pytest.approx(w[6], abs=2e-4 * w[2] + 1e-6)
 
 
+def test_op1_equal_blocks_and_partitions(spark):
+    """Equal rows in equal blocks count each, and scores depend neither on partitions nor on shards."""
+    docs = [(1, "one two three one two"), (1, "one two three one two"), (2, "three two one"), (9, None)]
+    found = []
+    for n, width in ((1, 2), (2, 3), (4, 16)):
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(n)
+        spark.conf.set("spark.sql.shuffle.partitions", str(width))
+        try:
+            found.append(sorted(map(str, lm_score.scores(frame).collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] == found[2] and len(found[0]) == 4
+    one = spark.createDataFrame(docs[:1], "doc_id long, text string")
+    twice = lm_score.scores(one.union(one)).collect()  # two partitions with equal contents
+    held = [lm_score.held_out_of(1)] * 2
+    assert [r["held_out"] for r in twice] == held and twice[0] == twice[1]
+    total = 0 if held[0] else 12
+    c = {w: 0 if held[0] else n for w, n in (("one", 4), ("two", 4), ("three", 2), ("END", 2))}
+    want = sum(math.log10((c[w] + 1) / (total + (0 if held[0] else 4) + 1)) for w in ["one", "two", "three", "one", "two", "END"])
+    assert twice[0]["base_score"] == pytest.approx(want) and twice[0]["train_tokens"] == total
+
+
+def test_op1_without_training_rows(spark):
+    out = next(i for i in range(100) if lm_score.held_out_of(i))
+    r = lm_score.scores(spark.createDataFrame([(out, "a b a b")], "doc_id long, text string")).first()
+    assert (r["train_tokens"], r["n_known"], r["n_tokens"], r["base_score"], r["score"]) == (0, 0, 5, 0.0, 0.0)
+
+
 # 2
 
 
@@ -169,6 +197,18 @@ def test_op3_round_trip(spark, odd):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_mpeg_payloads_that_look_like_tags():
+    for size in (192, 384, 1536):
+        for at in range(0, size - 2):
+            payload = b" " * at + b"TAG" + b" " * (size - at - 3)
+            media = mpeg_audio.store(payload)
+            assert mpeg_audio.load(media) == payload, (size, at)
+    for at in range(0, 190, 3):
+        for mark in (b"ID3\x04\x00\x00\x00\x00\x00\x7f", b"Xing", b"VBRI", b"\xff\xfb\x90\x00"):
+            payload = (b" " * at + mark).ljust(192)[:192]
+            assert mpeg_audio.load(mpeg_audio.store(payload)) == payload
+
+
 def test_mpeg_damage_tags_and_tables():
     payload = random.Random(1).randbytes(192 * 30)
     media = mpeg_audio.store(payload)
@@ -266,6 +306,26 @@ def test_op5_against_brute_force(spark, odd, sf_dir):
                 assert (r["n_shingles"], r["component_id"], r["kept"]) == (*want[r["doc_id"]], want[r["doc_id"]][1] == r["doc_id"])
 
 
+def test_op5_at_a_thousand_documents(spark):
+    path = "/root/testdata/sf0.01"
+    want = brute_groups(rows_of(spark, path))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in registry.QUERIES["op5_near_dup"](spark, path).collect()}
+    assert got == want and sum(d != c for d, (_, c) in want.items()) > 20
+
+
+def test_near_dup_rows_of_one_id(spark):
+    """Rows that share a doc_id are judged by their own texts, and none is lost."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, text("a"), 1), (1, text("b"), 2), (2, text("b"), 3), (3, text("a"), 4), (4, text("c"), 5), (4, text("c"), 5), (5, "", 6), (5, None, 7), (5, "", 8), (None, text("a"), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key long")
+    left = near_dup.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.where("text <> ''").collect()) == sorted([("1", text("a")), ("1", text("b")), ("4", text("c")), ("None", text("a"))])
+    assert sorted(str(r["text"]) for r in left.where("doc_id = 5").collect()) == ["", "None"]
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in near_dup.near_duplicates(docs.where("doc_id < 4")).collect())
+    assert got == [("1", 1), ("1", 1), ("2", 1), ("3", 1)]
+
+
 def test_near_dup_large_buckets(spark):
     """Many variants of one text: every bucket is large, so the prefix filter has to find what the centres missed."""
     rng = random.Random(3)
@@ -344,6 +404,39 @@ def test_novelty_of_random_keys():
         assert secret_novelty.find_spans(f"auth {words} end", n) == [], words
 
 
+def test_op7_novel_spans_against_brute_force(spark, odd, sf_dir):
+    """The whole query's spans: base patterns, and every run after a sensitive word judged by a compressor of its own."""
+    import zstandard
+
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    twice = key(32)
+    texts = [f"the private one is {twice} and again auth {twice} end", f"bearer {key(40)}", "auth connection_pool_manager_factory1", f"plain {key(40)}", "token 0123456789abcdef0123456789abcdef", None, ""]
+    n = secret_novelty.Novelty()
+
+    def brute(text):
+        text = text or ""
+        base = secret_novelty.base_spans(text)
+        out = [(a, secret_novelty.KINDS.index(k), b, k) for a, b, k in base]
+        for m in secret_novelty.RUN.finditer(text):
+            near = [c.end() for c in secret_novelty.CONTEXT.finditer(text) if c.end() <= m.start()]
+            if near and m.start() - max(near) <= 48 and secret_novelty._is_open(*m.span(), base):
+                around = f" {text[m.end() : m.end() + 512]} {text[max(0, m.start() - 512) : m.start()]}".replace(m[0], "")
+                known = zstandard.ZstdCompressionDict(n.raw + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                size = len(zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress(m[0].encode()))
+                bits = next(b for chars, b in secret_novelty.OF_ALPHABET if chars.fullmatch(m[0]))
+                if n.surprise(m[0]) >= 4.4 and 8 * (size - len(n.pack.compress(b""))) >= 0.95 * len(m[0]) * bits:
+                    out.append((m.start(), 3, m.end(), "novel"))
+        return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out)), sum(k == "novel" for *_, k in out)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: sum(s["kind"] == "novel" for s in r["spans"]) for r in secret_novelty.scan(docs).collect()}
+    assert got == {0: 2, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0} == {i: brute(t)[1] for i, t in enumerate(texts)}
+    for path in (odd, sf_dir):
+        rows = registry.QUERIES["op7_secret_novelty"](spark, path).collect()
+        assert Counter((r["doc_id"], r["spans"], r["n_novel"]) for r in rows) == Counter((d, *brute(t)) for d, t in rows_of(spark, path))
+
+
 def test_novelty_and_redaction(spark, odd):
     n = secret_novelty.Novelty()
     found = secret_novelty.find_spans("auth Zx9Qw7Lk3Vb8Nm2Hp5Rt1Yc6 end", n)
@@ -441,6 +534,32 @@ def test_marginals_against_enumeration():
         assert odds[s : s + n] == pytest.approx(np.log(mass[:, 1] / mass[:, 0]))
 
 
+def test_marginals_of_long_sequences():
+    """Sequences beyond the steps that go together have the same marginals as a plain loop over one sequence."""
+    rng = np.random.default_rng(4)
+    u, moves = rng.normal(size=400), rng.normal(size=(2, 2))
+    start, length = np.array([100, 0, 390]), np.array([290, 100, 10])
+    odds = toxic_crf.marginals(u, start, length, moves)[0]
+    for s, n in zip(start, length):
+        f, b = np.zeros((n, 2)), np.zeros((n, 2))
+        f[0] = 0, u[s]
+        for t in range(1, n):
+            f[t] = [np.logaddexp(*(f[t - 1] + moves[:, y])) + y * u[s + t] for y in (0, 1)]
+        for t in range(n - 2, -1, -1):
+            b[t] = [np.logaddexp(*(moves[x] + np.array([0, u[s + t + 1]]) + b[t + 1])) for x in (0, 1)]
+        assert odds[s : s + n] == pytest.approx((f + b)[:, 1] - (f + b)[:, 0])
+
+
+def test_sample_is_bounded_by_rows_and_characters(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * (i % 7)) for i in range(60)] * 5 + [(0, "longer than the other"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, toxic int")
+    texts, toxic = toxic_crf.sample(docs, labels, 4, 6, 10_000)
+    assert (len(texts), sum(toxic)) == (10, 4) and all(int(t.split()[0]) % 2 == y for t, y in zip(texts, toxic))
+    texts, _ = toxic_crf.sample(docs, labels, 30, 30, 20)
+    assert 0 < sum(map(len, texts)) <= 20
+    assert toxic_crf.sample(docs, labels, 30, 30, 0) == ([], [])
+
+
 def test_op10_learns_and_keeps_rows(spark, odd, tmp_path):
     rng = random.Random(6)
     docs, labels = [], []

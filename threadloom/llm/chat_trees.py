@@ -55,7 +55,9 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     )
     most = at.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
     hops = []  # hops[k]: each node's ancestor 2**k steps up
-    for _ in range(max(1, math.ceil(math.log2(max(2, most))))):
+    for _ in range(max(1, math.ceil(math.log2(max(2, most))))):  # a cycle never ends by itself, a tree ends with its depth
+        if hops and at.where("anc IS NOT NULL").isEmpty():
+            break
         hops.append(at.where("anc IS NOT NULL").select("tree_id", "node", "anc"))
         far = at.select(
             "tree_id", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("depth").alias("more"),
@@ -117,7 +119,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def as_tree(conversations: DataFrame) -> DataFrame:
     """Conversations by turn as trees: each row replies to the one before; equal turns stand by role, then text.
 
-    The tree_id is a struct around conv_id, so that rows without one form a conversation too (a null key joins nothing).
+    One conversation's turns are numbered in one task, which sorts ids and roles by way of spilling; they meet in one row
+    at the end anyway. The tree_id is a struct around conv_id, so that rows without one form a conversation too (a null key joins nothing).
     """
     rows = conversations.select(F.struct("conv_id").alias("tree_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.row_number().over(Window.partitionBy("tree_id").orderBy("turn", "role", "text"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,6 +43,45 @@ def light_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def sliced(batch: pa.RecordBatch, at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts (column ``at``) have about ``most`` bytes together, one row at least: what a worker
+    holds follows from that and from its longest text, not from the number of rows in a batch."""
+    ends = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of the texts (as bytes), the number of each word among them in order, and how many words each text has.
+
+    Words are what ASCII white space parts, as in ``bytes.split``; A-Z are lowered if asked; a null text has none.
+    """
+    texts = texts.fill_null("")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    found = cut.flatten().dictionary_encode()
+    words, numbers, offsets = found.dictionary, found.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    blank = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)  # what stands before a leading and after a trailing blank
+    if len(blank):
+        keep = numbers != blank[0]
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        numbers = numbers[keep]
+    kind = pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()
+    return words.cast(kind).to_numpy(zero_copy_only=False), numbers, np.diff(offsets)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all lower-cased words of the texts, and how many words each text has."""
+    import xxhash
+
+    words, numbers, lengths = words_of(texts)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[numbers], lengths
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame, computed once, written to the shared folder and read back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession

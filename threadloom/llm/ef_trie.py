@@ -5,7 +5,7 @@ its successors w (level two, with p(w | u)) and to the words v seen before it (w
 w); each pair (v, u) points to its successors (level three, with p(w | v, u)). Successors on level three are stored
 as ranks in u's own list, which is shorter than the vocabulary by far. All pointers are monotone, and so are the ids of
 a level once each range starts from the last value of the one before; both are Elias-Fano coded. A look-up is a successor
-search from the base of its context's range. Values are quantised to 16 bits between a level's extremes.
+search from the base of its context's range. Values are log probabilities quantised to 16 bits with one step for the model.
 """
 
 from __future__ import annotations
@@ -156,20 +156,10 @@ class Ranges:
         return self.starts[owner]
 
 
-class Codes:
-    """Numbers quantised to 16 bits between their extremes."""
-
-    def __init__(self, least: float, step: float, codes: np.ndarray):
-        self.least, self.step, self.codes = least, step, codes
-
-    @classmethod
-    def of(cls, x: np.ndarray) -> Codes:
-        least, most = (float(x.min()), float(x.max())) if len(x) else (0.0, 0.0)
-        step = (most - least) / 65535 or 1.0
-        return cls(least, step, np.rint((x - least) / step).astype(np.uint16))
-
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return self.least + self.step * self.codes[i]
+def quantised(log_p: np.ndarray, step: float) -> np.ndarray:
+    """Log probabilities (none above 0) as 16-bit multiples of ``-step``. The step is the same for all shards and levels, so
+    codes add up exactly, in any order."""
+    return np.minimum(np.rint(log_p / -step), 65535).astype(np.uint16)
 
 
 class Trie:
@@ -180,13 +170,14 @@ class Trie:
         self.p2, self.left2, self.p3, self.left3 = p2, left2, p3, left3
 
     @classmethod
-    def build(cls, u: np.ndarray, v: np.ndarray, w: np.ndarray, log_p1: np.ndarray, alone: np.ndarray) -> Trie:
-        """From training n-grams (v, u, w), one row per occurrence, with log10 p(w) and whether u may stand alone as a context.
+    def build(cls, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray, low: np.ndarray, given: np.ndarray, step: float) -> Trie:
+        """From training n-grams (v, u, w) with their counts (one may stand there several times). ``low`` is the code of p(w | u)
+        where that is ``given``, and of p(w) where p(w | u) is made here.
 
         Witten-Bell: a context keeps the share types / (types + tokens) for the order below it.
         """
         order = np.argsort(u << 32 | w)
-        u, v, w, log_p1, alone = u[order], v[order], w[order], log_p1[order], alone[order]
+        u, v, w, count, low, given = u[order], v[order], w[order], count[order], low[order], given[order]
         n = len(u)
         new_u = np.ones(n, bool)
         new_u[1:] = u[1:] != u[:-1]
@@ -197,34 +188,34 @@ class Trie:
         iw = np.cumsum(new_w) - 1  # index of (u, w)
         at = np.flatnonzero(new_w)
         owner = iu[at]
-        c_u, c_uw = np.bincount(iu, minlength=k), np.bincount(iw, minlength=len(at))
+        c_u, c_uw = np.bincount(iu, count, k), np.bincount(iw, count, len(at))
         types = np.bincount(owner, minlength=k)
-        p1 = 10.0 ** log_p1[at]
-        single = alone[np.flatnonzero(new_u)] if n else np.zeros(0, bool)
-        p2 = np.where(single[owner], (c_uw + types[owner] * p1) / (c_u + types)[owner], p1)
+        below = 10.0 ** (low[at] * -step)
+        single = ~given[np.flatnonzero(new_u)] if n else np.zeros(0, bool)
+        p2 = np.where(single[owner], (c_uw + types[owner] * below) / (c_u + types)[owner], below)
         left2 = np.where(single, np.log10(types / np.maximum(1, types + c_u)), 0.0)
         successors = Ranges.of(owner, w[at], k)
         rank = iw - np.concatenate([[0], np.cumsum(types)])[iu]  # of w in u's list
         pair = np.argsort(iu << 32 | v)
-        step = np.ones(n, bool)
-        step[1:] = (iu[pair][1:] != iu[pair][:-1]) | (v[pair][1:] != v[pair][:-1])
+        turn = np.ones(n, bool)
+        turn[1:] = (iu[pair][1:] != iu[pair][:-1]) | (v[pair][1:] != v[pair][:-1])
         of_pair = np.empty(n, np.int64)
-        of_pair[pair] = np.cumsum(step) - 1
+        of_pair[pair] = np.cumsum(turn) - 1
         order = np.argsort(of_pair << 32 | rank)
-        iu3, v3, r3, iw3, iv = iu[order], v[order], rank[order], iw[order], of_pair[order]  # iv: index of (u, v)
+        iu3, v3, r3, iw3, iv, count = iu[order], v[order], rank[order], iw[order], of_pair[order], count[order]  # iv: index of (u, v)
         new_v = np.ones(n, bool)
         new_v[1:] = iv[1:] != iv[:-1]
         new_3 = new_v.copy()
         new_3[1:] |= r3[1:] != r3[:-1]
         at_v, at_3 = np.flatnonzero(new_v), np.flatnonzero(new_3)
         befores = Ranges.of(iu3[at_v], v3[at_v], k)
-        c_v, owner3 = np.bincount(iv, minlength=len(at_v)), iv[at_3]
-        c_3 = np.bincount(np.cumsum(new_3) - 1, minlength=len(at_3))
+        c_v, owner3 = np.bincount(iv, count, len(at_v)), iv[at_3]
+        c_3 = np.bincount(np.cumsum(new_3) - 1, count, len(at_3))
         types3 = np.bincount(owner3, minlength=len(at_v))
         p3 = (c_3 + types3[owner3] * p2[iw3[at_3]]) / (c_v + types3)[owner3]
         left3 = np.log10(types3 / np.maximum(1, types3 + c_v))
         thirds = Ranges.of(owner3, r3[at_3], len(at_v))
-        return cls(EliasFano.of(words), successors, befores, thirds, *(Codes.of(x) for x in (np.log10(p2), left2, np.log10(p3), left3)))
+        return cls(EliasFano.of(words), successors, befores, thirds, *(quantised(x, step) for x in (np.log10(p2), left2, np.log10(p3), left3)))
 
     def mapped(self, folder: str) -> Trie:
         n = 0
@@ -239,28 +230,29 @@ class Trie:
         for s in (self.words, *(e for r in (self.successors, self.befores, self.thirds) for e in (r.starts, r.ids))):
             for part in EliasFano.PARTS:
                 setattr(s, part, put(getattr(s, part)))
-        for c in (self.p2, self.left2, self.p3, self.left3):
-            c.codes = put(c.codes)
+        for name in ("p2", "left2", "p3", "left3"):
+            setattr(self, name, put(getattr(self, name)))
         return self
 
-    def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, log_p1: np.ndarray) -> np.ndarray:
-        """log10 p(w | v, u) of each n-gram; a word or pair that was never a context leaves the order below as it is."""
+    def score(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The code of p(w | v, u) of each n-gram, ``low`` being as in ``build``; a word or pair that was never a context leaves
+        the order below as it is."""
         only, back = np.unique(u, return_inverse=True)
         iu = self.words.successor(only)
         there = iu < self.words.n
         there[there] = self.words[iu[there]] == only[there]
         iu = np.where(there, iu, -1)[back]
-        out = log_p1.copy()
+        out = low.astype(np.int64)
         known = np.flatnonzero(iu >= 0)
         if not len(known):
             return out
         iw, iv = self.successors.find(iu[known], w[known]), self.befores.find(iu[known], v[known])
-        low = out[known] + self.left2[iu[known]]
-        low[iw >= 0] = self.p2[iw[iw >= 0]]
+        code = out[known] + self.left2[iu[known]]
+        code[iw >= 0] = self.p2[iw[iw >= 0]]
         rank = np.where(iw >= 0, iw - self.successors.first(iu[known]), -1)
         i3 = self.thirds.find(iv, rank)
         ctx = iv >= 0
-        low[ctx] += self.left3[iv[ctx]]
-        low[i3 >= 0] = self.p3[i3[i3 >= 0]]
-        out[known] = low
+        code[ctx] += self.left3[iv[ctx]]
+        code[i3 >= 0] = self.p3[i3[i3 >= 0]]
+        out[known] = code
         return out

@@ -1,27 +1,32 @@
 """Trigram scores of whole texts from Elias-Fano tries, one per shard of contexts.
 
-Three exchanges of packed columns, each dealt by a hash and none through the driver:
+Exchanges of packed columns, each dealt by a hash and none through the driver:
 1. Texts become tokens; every task sends the distinct words of a block with their training counts to word shards, which
    add them up and send back dense ids (falling by count within the shard) and counts. The tokens wait in a written table.
-2. A block of documents meets its ids and counts. The base score is made there; its n-grams (v, u, w) go to the shard of
-   their last context word u, or of the pair (v, u) if u is frequent, with log p(w) at hand.
-3. A shard builds its trie from the training n-grams, maps it from files of its own temporary folder, and looks up all
-   n-grams; the sums per document go back to the block and are added.
-
-The model: p(w) = (c + 1) / (N + V + 1); Witten-Bell interpolation for p(w | u) and p(w | v, u). Words that make up
-``FREQUENT`` or more of the training tokens are no context on their own (p(w | u) is p(w)) but in pairs only; that is a
-property of the model at every size, and keeps any one word from filling a shard. The first token is scored by p(w).
-
-There is a shard for every ``SHARD_TOKENS`` training tokens; a single word pair of a large share still lands in one shard,
-in compressed blocks.
-
-Defined results: a null or empty text is its end token alone; without training tokens every token has probability
-1 / (N + V + 1) = 1; repeated rows are scored each, and count each in training; a null doc_id counts as an empty text of
-the id; an empty table gives an empty result; other columns are ignored.
+2. Words that make up ``FREQUENT`` or more of the training tokens (at most 1 / FREQUENT of them) would fill a shard with
+   their successors. Blocks count their distinct pairs (u, w) and deal them by a hash of the pair; totals come back, and
+   the numbers of tokens and types after u, so that p(w | u) is known without one shard for u.
+3. A block of documents meets its ids and counts. The base score is made there; its *distinct* n-grams (v, u, w), with
+   their training counts, go to the shard of their last context word u, or of the pair (v, u) if u is frequent, with
+   log p(w), or log p(w | u), at hand.
+4. A shard builds its trie from the training n-grams, maps it from files of its own temporary folder, and looks up all
+   n-grams; their codes go back to the block, which adds them up by document.
+
+The model: p(w) = (c + 1) / (N + V + 1); Witten-Bell interpolation for p(w | u) and p(w | v, u), for all words u and pairs
+at every size. The first token is scored by p(w). Log probabilities are multiples of one step, so scores do not depend on
+the number of blocks, shards or partitions.
+
+There is a shard for every ``SHARD_TOKENS`` training tokens. A word of just under ``FREQUENT``, or a pair of words, still has
+all its n-grams in one shard: once for each block at most, however often a block repeats them.
+
+Defined results: a null or empty text is its end token alone; very long texts are blocks of their own; without training
+tokens every token has probability 1 / (N + V + 1) = 1; repeated rows are scored each, and count each in training; a null
+doc_id counts as an empty text of the id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -32,9 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, table, width, written
-from .ef_trie import Trie
-from .near_dup import WordHashes
+from .common import light_batches, sliced, table, width, word_hashes, written
+from .ef_trie import Trie, quantised
 
 BLOCK_TOKENS, SHARD_TOKENS, FREQUENT = 2_000_000, 800_000, 0.002
 END, START = 0x9E3779B97F4A7C15, 0xFFFFFFFE  # hash of the end token; id of what stands before the first
@@ -70,49 +74,51 @@ def held_out_of(doc_id: int | None) -> bool:
 
 
 def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
-    """(block, shard, blob): shard -1 has a block's documents and tokens, the others its distinct words and their training counts."""
+    """(block, shard, blob, words): shard -1 has a block's documents and tokens, and its distinct words; the others have the
+    words of a shard and their training counts. A block's number is its task's and its own within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        from pyspark import TaskContext
+
+        number, end = TaskContext.get().partitionId() << 32, np.array([END], np.uint64)
         ids, tokens, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(t) for t in tokens], np.uint32)
-            flat = np.concatenate(tokens)
-            words, local = np.unique(flat, return_inverse=True)
+            words, local = np.unique(np.concatenate(tokens), return_inverse=True)
             shard = (words % np.uint64(word_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")  # local numbers run through the word shards in turn
-            number = np.empty(len(order), np.uint32)
-            number[order] = np.arange(len(order), dtype=np.uint32)
-            local = number[local]
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            local, words = place[local], words[order]
             out = np.array([held_out_of(i) for i in ids], bool)
             counts = np.bincount(local[np.repeat(~out, lengths)], minlength=len(words)).astype(np.uint32)
             known = np.array([i is not None for i in ids], bool)
             doc = np.array([i or 0 for i in ids], np.int64)
-            body = _pack(doc, known.view(np.uint8), out.view(np.uint8), lengths, local)
-            block = int.from_bytes(zlib.crc32(body).to_bytes(4, "big") + zlib.adler32(body).to_bytes(4, "big"), "big", signed=True)
-            ends = np.searchsorted(shard[order], np.arange(word_shards + 1))
-            sorted_words = words[order]
-            rows = [(block, -1, body)] + [(block, s, _pack(sorted_words[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["block", "shard", "blob"])
-
-        for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                t = np.append(hashes.of((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()), np.uint64(END))
-                ids.append(doc.as_py())
-                tokens.append(t)
-                size += len(t)
+            rows = [(number, -1, _pack(doc, known.view(np.uint8), out.view(np.uint8), lengths, local), words.tobytes())]
+            ends = np.searchsorted(shard[order], np.arange(word_shards + 1)).tolist()
+            rows += [(number, s, _pack(words[a:b], counts[a:b]), None) for s, (a, b) in enumerate(itertools.pairwise(ends)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "shard", "blob", "words"])
+
+        for b in (part for batch in batches for part in sliced(batch, 1)):
+            hashes, lengths = word_hashes(b.column(1))
+            ends = np.cumsum(lengths)
+            for doc, n, to in zip(b.column(0).to_pylist(), lengths.tolist(), ends.tolist(), strict=True):
+                ids.append(doc)
+                tokens.append(np.concatenate([hashes[to - n : to], end]))
+                size += n + 1
                 if size >= BLOCK_TOKENS:
                     yield from flush()
-                    ids, tokens, size = [], [], 0
+                    ids, tokens, size, number = [], [], 0, number + 1
         if ids:
             yield from flush()
 
-    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, shard long, blob binary")
+    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, shard long, blob binary, words binary")
 
 
 def word_ids(cut: DataFrame, word_shards: int) -> DataFrame:
-    """(block, shard, blob): ids and counts of each block's words; shard -1: a shard's training tokens and types."""
+    """(block, shard, blob): ids and counts of each block's words; shard -1: a shard's training tokens and types, and the
+    hashes and counts of those words that may be frequent (they are so in their shard; at most 1 / FREQUENT)."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x) for x in pdf["blob"]]
@@ -124,103 +130,201 @@ def word_ids(cut: DataFrame, word_shards: int) -> DataFrame:
         ids = rank * word_shards + key[0]
         at = np.split(back, np.cumsum(sizes)[:-1])
         rows = [(b, key[0], _pack(ids[i], c[i])) for b, i in zip(pdf["block"], at, strict=True)]
-        return pd.DataFrame([*rows, (0, -1, _pack(np.array([c.sum(), (c > 0).sum()])))], columns=["block", "shard", "blob"])
+        often = c >= max(1, FREQUENT * c.sum())
+        return pd.DataFrame([*rows, (0, -1, _pack(np.array([c.sum(), (c > 0).sum()]), words[often], c[often]))], columns=["block", "shard", "blob"])
+
+    return cut.where("shard >= 0").select("block", "shard", "blob").groupBy("shard").applyInPandas(run, "block long, shard long, blob binary")
+
+
+def _totals(ids: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Training tokens, types, and the sorted hashes of frequent words other than the end, of which there are at most 1 / FREQUENT."""
+    rows = [_unpack(bytes(r[0])) for r in ids.where("shard < 0").select("blob").collect()]  # one row for each word shard
+    total = int(sum(r[0][0] for r in rows))
+    often = np.concatenate([r[1][r[2] >= FREQUENT * total] for r in rows]) if rows else np.zeros(0, np.uint64)
+    return total, int(sum(r[0][1] for r in rows)), np.sort(often[often != np.uint64(END)])
+
 
-    return cut.where("shard >= 0").groupBy("shard").applyInPandas(run, "block long, shard long, blob binary")
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths.astype(np.int64))
+    return ends - lengths
 
 
-def _totals(ids: DataFrame) -> tuple[int, int]:
-    rows = ids.where("shard < 0").select("blob").collect()  # one small row for each word shard
-    both = [_unpack(bytes(r[0]))[0] for r in rows]
-    return int(sum(b[0] for b in both)), int(sum(b[1] for b in both))
+def _followers(local: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all tokens but the first of each document."""
+    some = np.ones(len(local), bool)
+    some[_begins(lengths)] = False
+    return np.flatnonzero(some)
+
+
+def _frequent_pairs(local: np.ndarray, lengths: np.ndarray, words: np.ndarray, often: np.ndarray, shards: int) -> tuple:
+    """The distinct pairs (u, w) of a block whose u is frequent, in the order in which they are dealt: local numbers of u and w
+    as one key, which frequent word u is, hash, where each shard ends; and places of their second words with the pair of each."""
+    where = np.minimum(np.searchsorted(often, words), max(0, len(often) - 1))
+    which = np.where(often[where] == words, where, -1) if len(often) else np.full(len(words), -1)
+    at = _followers(local, lengths)
+    at = at[which[local[at - 1]] >= 0]
+    keys, back = np.unique(local[at - 1].astype(np.int64) << 32 | local[at], return_inverse=True)
+    u, w = keys >> 32, keys & 0xFFFFFFFF
+    mixed = (words[w] ^ words[u] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys[order], which[u[order]], mixed[order], np.searchsorted(shard[order], np.arange(shards + 1)).tolist(), at, place[back]
+
+
+def pair_counts(cut: DataFrame, often: np.ndarray, shards: int) -> DataFrame:
+    """(block, shard, blob): training counts of each block's pairs with a frequent first word; shard -1: tokens and types after
+    each frequent word, of one shard of pairs."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, blob, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, _, out, lengths, local = _unpack(blob)
+                keys, which, mixed, ends, at, of_pair = _frequent_pairs(local, lengths, np.frombuffer(words, np.uint64), often, shards)
+                train = ~np.repeat(out == 1, lengths)[at]
+                counts = np.bincount(of_pair[train], minlength=len(keys)).astype(np.uint32)
+                rows = [(block, s, _pack(mixed[i:j], counts[i:j], which[i:j].astype(np.uint16))) for s, (i, j) in enumerate(itertools.pairwise(ends)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["block", "shard", "blob"])
+
+    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unpack(x) for x in pdf["blob"]]
+        pairs, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        c = np.bincount(back, np.concatenate([p[1] for p in parts]), len(pairs)).astype(np.int64)
+        which = np.concatenate([p[2] for p in parts])[first]
+        at = np.split(back, np.cumsum([len(p[0]) for p in parts])[:-1])
+        rows = [(b, key[0], _pack(c[i])) for b, i in zip(pdf["block"], at, strict=True)]
+        after = np.bincount(which, c, len(often)).astype(np.int64), np.bincount(which[c > 0], minlength=len(often))
+        return pd.DataFrame([*rows, (0, -1, _pack(*after))], columns=["block", "shard", "blob"])
+
+    sent = cut.where("shard < 0").select("block", "blob", "words").mapInArrow(deal, "block long, shard long, blob binary")
+    return sent.groupBy("shard").applyInPandas(add, "block long, shard long, blob binary")
+
+
+def _distinct(local: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, ...]:
+    """The distinct n-grams (u, v, w) of a block as local numbers (``n_words``: the start), the places of their last words, and
+    the n-gram at each place."""
+    at, begins = _followers(local, lengths), _begins(lengths)
+    x = local.astype(np.int64)
+    u, w, v = x[at - 1], x[at], x[at - 2]
+    second = np.zeros(len(x), bool)
+    second[begins[lengths > 1] + 1] = True
+    v[second[at]] = n_words
+    bits = max(1, int(n_words).bit_length())
+    if 3 * bits <= 63:
+        keys, back = np.unique(u << 2 * bits | v << bits | w, return_inverse=True)
+        mask = (1 << bits) - 1
+        return keys >> 2 * bits, keys >> bits & mask, keys & mask, at, back
+    order = np.lexsort((w, v, u))  # a block with more than two million distinct words
+    u, v, w = u[order], v[order], w[order]
+    new = np.ones(len(u), bool)
+    new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+    back = np.empty(len(u), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return u[new], v[new], w[new], at, back
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    word_shards = width(docs)
+    word_shards = max(width(docs), docs.rdd.getNumPartitions() // 8)  # grows with the input's splits
     cut = written(blocks(docs, word_shards))
     ids = written(word_ids(cut, word_shards))
-    total, types = _totals(ids)
+    total, types, often = _totals(ids)
     shards = max(word_shards, -(-total // SHARD_TOKENS))
     unit = np.log10(total + types + 1)
+    step = (unit + np.log10(2)) / 65535  # no stored probability is below 1 / (2 N) or 1 / (N + V + 1)
+    pairs = written(pair_counts(cut, often, word_shards))
+    after = [_unpack(bytes(r[0])) for r in pairs.where("shard < 0").select("blob").collect()]  # 1 / FREQUENT numbers for each word shard
+    tokens_after, types_after = (sum((a[k] for a in after), np.zeros(len(often), np.int64)) for k in range(2))
 
     def spread(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = [_unpack(x) for x in right.sort_values("shard")["blob"]]
+        right = right.sort_values("shard")
+        words = right["shard"].to_numpy() < word_shards
+        known = [_unpack(x) for x in right["blob"][words]]
         word, c = np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])
-        rows = []
-        for blob in left["blob"]:  # one, unless two blocks have equal contents
-            doc, some, out, lengths, local = _unpack(blob)
-            ends = np.cumsum(lengths.astype(np.int64))
-            begins = ends - lengths
-            w, cw = word[local], c[local]
-            p1 = np.log10(cw + 1) - unit
-            u, v = np.empty_like(w), np.empty_like(w)
-            u[1:], v[2:] = w[:-1], w[:-2]
-            u[begins], v[begins] = START, START
-            second = begins[lengths > 1] + 1
-            v[second] = START
-            d = np.repeat(np.arange(len(doc)), lengths)
-            base = np.add.reduceat(p1, begins)
-            rows.append((-1, key[0], _pack(doc, some, out, lengths, np.add.reduceat((cw > 0).astype(np.int64), begins), base, p1[begins])))
-            ctx = np.ones(len(w), bool)
-            ctx[begins] = False
-            at = np.flatnonzero(ctx)
-            alone = c[local[at - 1]] < FREQUENT * total
-            mixed = (u[at] * 0x9E3779B1 + np.where(alone, 0, v[at] + 1) * 0x85EBCA77) & 0x7FFFFFFF
-            shard = mixed * 40503 % 2147483647 % shards
-            order = np.argsort(shard << 34 | u[at], kind="stable")
-            at, alone, shard = at[order], alone[order], shard[order]
-            codes = np.rint(p1 / -unit * 65535).astype(np.uint16)
-            flags = alone.astype(np.uint8) | (out[d[at]] << 1)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    i = at[a:b]
-                    seen, one, nth = np.unique(w[i], return_index=True, return_inverse=True)  # each successor's id and log p(w) travel once
-                    nth = nth.astype(np.uint16 if len(seen) <= 1 << 16 else np.uint32)
-                    rows.append((s, key[0], _pack(u[i].astype(np.uint32), v[i].astype(np.uint32), np.diff(seen, prepend=0).astype(np.uint32), codes[i][one], nth, flags[a:b], d[i].astype(np.uint32))))
+        doc, some, out, lengths, local = _unpack(left["blob"].iloc[0])
+        begins, cw = _begins(lengths), c[local]
+        p1 = np.log10(c + 1) - unit  # by local number
+        base = np.add.reduceat(p1[local], begins)
+        rows = [(-1, key[0], _pack(doc, some, out, lengths, np.add.reduceat((cw > 0).astype(np.int64), begins), base, p1[local[begins]]))]
+        u, v, w, at, back = _distinct(local, lengths, len(word))
+        train = ~np.repeat(out == 1, lengths)[at]
+        counts = np.bincount(back[train], minlength=len(u)).astype(np.uint32)
+        plain = quantised(p1, step)[w]
+        low = plain.astype(np.uint32)
+        hashes = np.frombuffer(left["words"].iloc[0], np.uint64)
+        keys, which, *_ = _frequent_pairs(local, lengths, hashes, often, word_shards)
+        given = np.zeros(len(word), bool)
+        if len(keys):
+            c2 = np.concatenate([_unpack(x)[0] for x in right["blob"][~words]])
+            many, kinds = tokens_after[which], types_after[which]
+            p2 = np.log10((c2 + kinds * 10.0 ** p1[keys & 0xFFFFFFFF]) / np.maximum(1, many + kinds))
+            p2 = np.rint(p2 / -step).astype(np.uint32)  # unseen pairs are beyond 16 bits; the trie stores seen ones only
+            given[keys >> 32] = True
+            order = np.argsort(keys)
+            fixed = given[u]
+            low[fixed] = p2[order[np.searchsorted(keys[order], u[fixed] << 32 | w[fixed])]]
+        ids_ = np.append(word, START)
+        given, u, v, w = given[u], ids_[u], ids_[v], word[w]
+        mixed = (u * 0x9E3779B1 + np.where(given, v + 1, 0) * 0x85EBCA77) & 0x7FFFFFFF
+        shard = mixed * 40503 % 2147483647 % shards
+        order = np.argsort(shard, kind="stable")
+        for s, i in zip(*_runs(shard[order]), strict=True):
+            i = order[i]
+            seen, one, nth = np.unique(w[i], return_index=True, return_inverse=True)  # a successor's id and log p(w) travel once
+            nth, g = nth.astype(np.uint16 if len(seen) <= 1 << 16 else np.uint32), given[i]
+            rows.append((s, key[0], _pack(np.diff(i, prepend=0).astype(np.uint32), u[i].astype(np.uint32), v[i].astype(np.uint32), np.diff(seen, prepend=0).astype(np.uint32), plain[i][one], nth, counts[i], g.view(np.uint8), low[i][g])))
         return pd.DataFrame(rows, columns=["shard", "block", "blob"])
 
     def look_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return pdf[["block", "blob"]].assign(shard=-1)
-        parts = [_unpack(x) for x in pdf["blob"]]
-        u, v = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in range(2))
-        w = np.concatenate([np.cumsum(p[2], dtype=np.int64)[p[4]] for p in parts])
-        p1 = np.concatenate([p[3][p[4]] for p in parts]) / 65535 * -unit
-        flags = np.concatenate([p[5] for p in parts])
-        parts = [p[6] for p in parts]
-        train = flags < 2
-        trie = Trie.build(u[train], v[train], w[train], p1[train], (flags[train] & 1) == 1)
+        places, columns = [], []
+        for blob in pdf["blob"]:
+            place, u, v, seen, code, nth, count, g, exact = _unpack(blob)
+            g, low = g == 1, code[nth].astype(np.uint32)
+            low[g] = exact
+            places.append(place)
+            columns.append((u.astype(np.int64), v.astype(np.int64), np.cumsum(seen, dtype=np.int64)[nth], count, low, g))
+        u, v, w, count, low, g = (np.concatenate(c) for c in zip(*columns, strict=True))
+        del columns
+        t = count > 0
+        trie = Trie.build(u[t], v[t], w[t], count[t], low[t], g[t], step)
         with tempfile.TemporaryDirectory() as folder:
-            found = trie.mapped(folder).score(u, v, w, p1)
+            found = trie.mapped(folder).score(u, v, w, low).astype(np.uint32)
             del trie
-        rows, at = [], 0
-        for block, p in zip(pdf["block"], parts, strict=True):
-            docs_, back = np.unique(p, return_inverse=True)
-            rows.append((block, _pack(np.diff(docs_, prepend=docs_.dtype.type(0)), np.bincount(back, found[at : at + len(back)]).astype(np.float32)), key[0]))
-            at += len(back)
-        return pd.DataFrame(rows, columns=["block", "blob", "shard"])
-
-    def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        heads = [_unpack(x) for x in pdf.loc[pdf["shard"] < 0, "blob"]]
-        sums = np.zeros(len(heads[0][0]))
-        for blob in pdf.loc[pdf["shard"] >= 0, "blob"]:
+        parts = np.split(found, np.cumsum([len(p) for p in places])[:-1])
+        return pd.DataFrame([(b, _pack(p, x), key[0]) for b, p, x in zip(pdf["block"], places, parts, strict=True)], columns=["block", "blob", "shard"])
+
+    def add_up(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        head = right["shard"].to_numpy() < 0
+        doc, some, held, lengths, known, base, first = _unpack(right["blob"][head].iloc[0])
+        *_, local = _unpack(left["blob"].iloc[0])
+        *_, w, at, back = _distinct(local, lengths, int(local.max()) + 1)  # words are numbered without gaps
+        codes = np.zeros(len(w), np.int64)
+        for blob in right["blob"][~head]:
             steps, x = _unpack(blob)
-            sums[np.cumsum(steps, dtype=np.int64)] += x
-        for doc, some, held, lengths, known, base, first in heads:
-            share = sums / len(heads)
-            out.append(pd.DataFrame({"doc_id": pd.array(np.where(some == 1, doc, 0), "Int64"), "held_out": held == 1, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": total, "base_score": base, "score": first + share}))
-            out[-1].loc[some == 0, "doc_id"] = pd.NA
-        return pd.concat(out)
-
-    docs_rows = cut.where("shard < 0").groupBy("block")
-    sent = docs_rows.cogroup(ids.where("shard >= 0").groupBy("block")).applyInPandas(spread, "shard long, block long, blob binary")
-    # sums go home by block; the heads of all blocks are dealt one by one, not as one shard
+            codes[np.cumsum(steps, dtype=np.int64)] = x
+        by_token = np.zeros(len(local), np.int64)
+        by_token[at] = codes[back]
+        out = pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "held_out": held == 1, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": total, "base_score": base, "score": first - step * np.add.reduceat(by_token, _begins(lengths))})
+        out.loc[some == 0, "doc_id"] = pd.NA
+        return out
+
+    tokens = cut.where("shard < 0").select("block", "blob", "words")
+    asked = ids.where("shard >= 0").unionByName(pairs.where("shard >= 0").withColumn("shard", F.col("shard") + word_shards))
+    sent = tokens.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(spread, "shard long, block long, blob binary")
+    # codes go home by block; the heads of all blocks are dealt one by one, not as one shard
     dealt = sent.withColumn("part", F.when(F.col("shard") < 0, -1 - F.pmod("block", F.lit(shards))).otherwise(F.col("shard")))
     back = dealt.groupBy("part").applyInPandas(look_up, "block long, blob binary, shard long")
-    return back.groupBy("block").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return tokens.select("block", "blob").groupBy("block").cogroup(back.groupBy("block")).applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[slice]]:
+    """The values of a sorted array and where each stands."""
+    cuts = np.flatnonzero(np.diff(x)) + 1 if len(x) else np.zeros(0, np.int64)
+    bounds = [0, *cuts.tolist(), len(x)] if len(x) else []
+    return x[bounds[:-1]].tolist(), [slice(a, b) for a, b in itertools.pairwise(bounds)]
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

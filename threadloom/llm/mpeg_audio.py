@@ -3,12 +3,15 @@
 ``inspect`` reads any MPEG-1/2/2.5 layer I-III stream: it skips ID3v2, finds the first header that a second one
 confirms, walks from frame to frame, resynchronises after damage, verifies CRC-16 of protected frames (layer III),
 and reads Xing/Info and VBRI tables. ``store`` puts a payload into the ancillary bytes of silent layer III frames: an
-ID3v2 tag with the payload's size, a Xing frame with frame count, byte count and seek table, then full frames and one
-last frame of the least bitrate that holds the rest. ``load`` reads the payload back from the parsed frames.
+ID3v2 tag with the payload's size, a Xing frame with frame count, byte count and seek table, then full frames, one
+frame of the least bitrate that holds the rest, and a closing frame without payload: it is longer than an ID3v1 tag, so
+no payload stands where a parser looks for one. ``load`` reads the payload back from the parsed frames.
 
 Work is per row inside Arrow batches; nothing is shuffled.
 
-Defined results: a null text is empty; its payload is one block of blanks; equal texts give equal bytes; a stream
+Layers I and II are walked and timed, but their checksums are not verified: only layer III covers a fixed number of bytes.
+
+Defined results: a null text is empty; a very long text is one file in the memory of one task; its payload is one block of blanks; equal texts give equal bytes; a stream
 without frames has no duration and no offsets; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, table
+from .common import light_batches, sliced, table
 
 #: Fixed values of the format: kbit/s by (MPEG-1?, layer), Hz by version bits.
 BITRATES = {
@@ -146,7 +149,7 @@ def inspect(data: bytes) -> dict:
 
 
 #: Frames that are written: MPEG-1 layer III, protected, 48 kHz, mono; whole bytes at each bitrate.
-HZ, HEAD = 48000, 4 + 2 + 17
+HZ, HEAD, CLOSING = 48000, 4 + 2 + 17, 4  # the closing frame's 56 kbit/s make 168 bytes
 ROOM = [(3 * k - HEAD, i + 1) for i, k in enumerate(BITRATES[True, 3])]
 
 
@@ -167,6 +170,7 @@ def store(payload: bytes) -> bytes:
         part = payload[k : k + full]
         room, rate = next(x for x in ROOM if x[0] >= len(part))
         parts.append(_head(rate) + part + bytes(room - len(part)))
+    parts.append(_head(CLOSING) + bytes(3 * BITRATES[True, 3][CLOSING - 1] - HEAD))
     total, rate = sum(map(len, parts)), 5  # 64 kbit/s hold the table
     n = len(parts)
     seek = bytes(min(255, 256 * (i * n // 100) * len(parts[0]) // total) for i in range(100))
@@ -202,8 +206,8 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):  # bounded output batches
-                part, rows = b.slice(at, 512), []
+            for part in sliced(b, 1):
+                rows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     media = store(raw + bytes([PAD]) * (BLOCK - len(raw) if len(raw) < BLOCK else -len(raw) % BLOCK))

@@ -20,13 +20,15 @@ Components come from alternating star contraction over the confirmed links, one
 
 Defined results: a null, empty or blank text has no shingles and is its own component; fewer than five words are one
 shingle, the whole sequence; repeated rows share a class; rows without a doc_id take no part and are kept; doc_ids are
-expected to name one text (rows that share one are judged by their own texts); an empty table gives an empty result;
+expected to name one text (rows that share one are judged each by its own text); very long texts are read whole, a slice of
+about 4 MB of text or one document at a time; an empty table gives an empty result;
 other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, light_batches, table, written
+from .common import kept, light_batches, sliced, table, word_hashes, written
 
 WORDS, PERMS, SMALL, MISSED = 5, 128, 16, 5e-7
-SKETCH = "doc_id long, n long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+SKETCH = "doc_id long, row_key long, n long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 _U = np.uint64
 #: Odd 64-bit multipliers, from a seed.
 _ODD = np.random.default_rng(20).integers(0, 2**63, PERMS + 2 * WORDS, dtype=np.uint64) * _U(2) + _U(1)
@@ -59,30 +61,14 @@ def least_of(percent: int) -> float:
     return percent / 100 - 5 * math.sqrt(agree * (1 - agree) / PERMS) / 0.75
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; cleared when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def _mixed(x: np.ndarray, by: int = 0) -> np.ndarray:
     x = x ^ (x >> _U(31))
     x = x * _MIX[by]
     return x ^ (x >> _U(29))
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    a = hashes.of((text or "").encode("utf-8", "surrogatepass").lower().split())
+def shingles(a: np.ndarray) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text, from the hashes of its words."""
     if not len(a):
         return a
     n = max(1, len(a) - WORDS + 1)
@@ -92,6 +78,13 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text."""
+    hashes, lengths = word_hashes(texts)
+    ends = np.cumsum(lengths)
+    return (shingles(hashes[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True))
+
+
 def minima(found: np.ndarray) -> np.ndarray:
     out = np.full(PERMS, ~_U(0))
     for k in range(0, len(found), 2048):
@@ -100,18 +93,16 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, set_key, bands and the packed low bits of each document."""
+    """doc_id, row_key (a hash of the text), n, set_key, bands and the packed low bits of each document."""
     import hashlib
 
     n_bands, rows = bands_of(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, shift = WordHashes(), np.arange(0, 64, 2, dtype=np.uint64)
-        for b in batches:
-            texts = b.column(1)
+        shift = np.arange(0, 64, 2, dtype=np.uint64)
+        for b in (part for batch in batches for part in sliced(batch, 1)):
             ns, keys, mins = [], [], np.zeros((b.num_rows, PERMS), np.uint64)
-            for i in range(b.num_rows):
-                found = shingles(texts[i].as_py(), hashes)
+            for i, found in enumerate(shingle_sets(b.column(1))):
                 ns.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 if len(found):
@@ -125,11 +116,11 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(some * n_bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(bands[some]).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), lists, *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(4))],
-                ["doc_id", "n", "set_key", "bands", "s0", "s1", "s2", "s3"],
+                [b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), lists, *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(4))],
+                ["doc_id", "row_key", "n", "set_key", "bands", "s0", "s1", "s2", "s3"],
             )
 
-    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return light_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, SKETCH)
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -196,14 +187,17 @@ def prefixes(finalists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select("id", F.slice("all.shingle", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int")).alias("prefix"))
 
 
-def near_duplicates(docs: DataFrame, small: int = SMALL, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of documents (doc_id, text); ``percent`` links two of them."""
+def _grouped(docs: DataFrame, small: int, percent: int) -> DataFrame:
+    """doc_id, row_key, n, least (doc_id of the group) and group (null without shingles or doc_id) of every row.
+
+    Classes of equal sets have numbers of their own, so that rows of one doc_id and different texts are told apart.
+    """
     enough_alike = least_of(percent)
     all_ = written(sketch(docs, percent))
     classes = all_.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "bands", "s0", "s1", "s2", "s3")).alias("r"))
-    reps = written(classes.select("set_key", F.col("r.doc_id").alias("id"), "r.n", "r.bands", "r.s0", "r.s1", "r.s2", "r.s3"))
+    number = F.monotonically_increasing_id()  # written at once, so it stays as it is
+    reps = written(classes.select("set_key", number.alias("id"), "r.doc_id", "r.n", "r.bands", "r.s0", "r.s1", "r.s2", "r.s3"))
     sketch_ = F.struct("n", "s0", "s1", "s2", "s3").alias("x")
-    bits = reps.select("id", sketch_)
     members = reps.select(F.posexplode("bands").alias("band", "key"), "id", sketch_)
     chance = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), "id", "x"))
     centre = lambda c: F.struct(c["id"].alias("id"), c["x"].alias("x"))
@@ -239,10 +233,20 @@ def near_duplicates(docs: DataFrame, small: int = SMALL, percent: int = 85) -> D
     more = rare.alias("p").join(rare.alias("q"), apart & enough & rarest).select(*pair)
     late = confirmed(rest.unionByName(more).distinct(), sets, percent)
     groups = components(links.unionByName(written(late)))
-    ids = reps.select("set_key", "id").join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    return all_.join(ids, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = reps.select("id", "doc_id").join(groups, "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    grouped = groups.join(least, "component")
+    ids = reps.select("set_key", "id", F.col("doc_id").alias("own")).join(grouped, "id", "left").select(
+        "set_key", F.coalesce("component", "id").alias("group"), F.coalesce("least", "own").alias("least")
+    )
+    judged = all_.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "row_key", "n", "set_key").join(ids, "set_key")
+    alone = all_.where("n = 0 OR doc_id IS NULL").select("doc_id", "row_key", "n", F.col("doc_id").alias("least"), F.lit(None).cast("long").alias("group"))
+    return judged.select("doc_id", "row_key", "n", "least", "group").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, small: int = SMALL, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of documents (doc_id, text); ``percent`` links two of them."""
+    rows = _grouped(docs, small, percent)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
 
 
 def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -250,26 +254,29 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part, ids, out = b.slice(at, 200), [], []
-                for i, t, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    found = shingles(t, hashes)
+            for part in sliced(b, 1):
+                ids, out = [], []
+                for i, key, found in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1)), strict=True):
                     if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == key:
                         ids.append(i)
                         out.append(found.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "found"])
 
-    need = reps.select("id", "set_key").join(wanted, "id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(need, "id").select("id", "text", "set_key")
+    need = reps.select("id", "doc_id", "set_key").join(wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(need, "doc_id").select("id", "text", "set_key")
     return texts.mapInArrow(run, "id long, found binary").dropDuplicates(["id"])
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each group, columns as before."""
-    stay = near_duplicates(docs, percent=percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("doc_id_")).distinct()
-    held = docs.join(stay, docs["doc_id"] == stay["doc_id_"], "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, columns as before: of each group the row of the least (doc_id, hash of its text), and of
+    those without shingles one row of each (doc_id, text); rows without a doc_id all stay."""
+    rows = _grouped(docs.select("doc_id", "text"), SMALL, percent).where("doc_id IS NOT NULL")
+    first = rows.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.*")
+    stay = first.unionByName(rows.where("group IS NULL").select("doc_id", "row_key")).select(F.col("doc_id").alias("doc_id_"), F.col("row_key").alias("row_key_")).distinct()
+    names, key = docs.columns, f"row_key_{uuid.uuid4().hex[:8]}"
+    held = docs.withColumn(key, F.xxhash64("text"))
+    held = held.join(stay, (held["doc_id"] == stay["doc_id_"]) & (held[key] == stay["row_key_"]), "left_semi").dropDuplicates(["doc_id", key]).select(*names)
     return held.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -6,7 +6,7 @@ into the open window with the tightest room, found in a segment tree whose leave
 most a window or so half filled, so padding falls with ``group_rows`` and no task grows with the input.
 
 Tokenising keeps a bounded cache of white-space separated chunks: this tokenizer's pieces never
-cross white space, so ids of a text are the ids of its chunks one after the other.
+cross white space, so ids of a text are the ids of its chunks one after the other. A very long text is tokenised whole.
 
 Defined results: a null text is empty and yields the end id alone; repeated rows are packed as often as they come;
 equal lengths stand by doc_id, then crc; an empty table gives an empty result; other columns are ignored.
@@ -14,18 +14,25 @@ equal lengths stand by doc_id, then crc; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import itertools
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, table, written
+from .common import light_batches, sliced, table, words_of, written
 
-WINDOW, END, GROUP_ROWS, CACHE = 2048, 1, 4000, 600_000
+WINDOW, END, GROUP_ROWS, CACHE = 2048, 1, 4000, 250_000
+#: A comma or full stop at the end of a word; it is a piece of its own, and words without it are fewer.
+MARK = r"(\p{L})([.,])([ \t\n\v\f\r]|$)"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECE + ", sequence_id long, offset long"
 
@@ -38,42 +45,60 @@ def byte_letters() -> dict[int, str]:
 
 
 class ChunkIds:
-    """Little-endian 32-bit ids of texts, by way of a cache of chunks in two generations, the elder dropped when the younger is full."""
+    """Ids of texts. Words are told apart and counted off in Arrow; only the distinct ones of a slice are looked up, in a
+    cache of two generations of which the elder is dropped when the younger is full."""
 
     def __init__(self, path: str, most: int = CACHE):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder, self.most, self.seen, self.old = Tokenizer.from_file(path), most, {}, {}
         self.model, self.letters = self.encoder.model, byte_letters()
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        hard, seen = [], self.seen
+    def _learn(self, chunks: list[bytes]) -> None:
+        seen, easy, hard, ids, ends = self.seen, [], [], [], []
         for c in chunks:
             if (known := self.old.get(c)) is not None:
                 seen[c] = known
-                continue
-            w = c.decode("utf-8", "surrogatepass")
-            if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w):  # one piece that no normaliser changes
-                seen[c] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(c.decode("latin-1").translate(self.letters))])
+            elif (w := c.decode("utf-8", "surrogatepass")).isalpha() and w == w.lower() and (w.isascii() or unicodedata.is_normalized("NFC", w)):
+                easy.append(c)  # one piece that no normaliser changes
             else:
-                hard.append((c, w))
-        if hard:
-            for (c, _), e in zip(hard, self.encoder.encode_batch_fast([w for _, w in hard], add_special_tokens=False), strict=True):
-                seen[c] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        cut = [(t if b"<|" in t else t.lower()).split() for t in raw]  # special tokens are found before letters are lowered
+                hard.append(c)
+        for c in easy:
+            ids += [t.id for t in self.model.tokenize(c.decode("latin-1").translate(self.letters))]
+            ends.append(4 * len(ids))
+        for e in self.encoder.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in hard], add_special_tokens=False) if hard else ():
+            ids += e.ids
+            ends.append(4 * len(ids))
+        flat = np.array(ids, "<u4").tobytes()
+        seen.update(zip(easy + hard, (flat[a:b] for a, b in itertools.pairwise([0, *ends])), strict=True))
+
+    def of_words(self, words: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each of some distinct words."""
         if len(self.seen) > self.most:
             self.old, self.seen = self.seen, {}
-        new, parts = set().union(*cut) - self.seen.keys(), {}
-        for c in new:  # letters and a mark are two pieces, so most such chunks need no call
-            if c[-1:] in (b".", b",") and (base := c[:-1]) and base.decode("utf-8", "surrogatepass").isalpha():
-                parts[c] = (base, c[-1:])
-        self._learn((new - parts.keys()) | {x for p in parts.values() for x in p if x not in self.seen})
-        for c, (a, b) in parts.items():
-            self.seen[c] = self.seen[a] + self.seen[b]
-        return [b"".join(map(self.seen.__getitem__, c)) for c in cut]
+        self._learn([w for w in words if w not in self.seen])
+        return list(map(self.seen.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each text has."""
+        texts = texts.fill_null("")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens are found before letters are lowered
+        texts = pc.replace_substring_regex(texts, MARK, r"\1 \2\3")
+        words, numbers, lengths = words_of(texts, lower=False)
+        ids = self.of_words(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[numbers]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(starts[numbers] - ends[:-1], n) + np.arange(ends[-1])]
+        return out, np.diff(ends[np.concatenate([[0], np.cumsum(lengths)])])
+
+
+@lru_cache(1)
+def chunk_ids(path: str, most: int) -> ChunkIds:
+    """One for a worker process: its tasks go on with the words that those before have met."""
+    return ChunkIds(path, most)
 
 
 class TightestRoom:
@@ -126,18 +151,18 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, cache: int = C
     """doc_id, start, length, ids_crc32, doc_tokens of each piece: full windows and a remainder. ``cache``: chunks in a generation, about 200 bytes each; any number gives the same ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = ChunkIds(tokenizer, cache), END.to_bytes(4, "little")
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), [[], [], [], [], []]
-                for doc, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        piece = ids[4 * start : 4 * (start + window)]
-                        for column, v in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids_of, end = chunk_ids(tokenizer, cache), END.to_bytes(4, "little")
+        for part in (p for b in batches for p in sliced(b, 1)):
+            out = [[], [], [], [], []]
+            flat, sizes = ids_of(part.column(1))
+            flat, at = flat.tobytes(), 0
+            for doc, size in zip(part.column(0).to_pylist(), sizes.tolist(), strict=True):
+                ids, n, at = flat[4 * at : 4 * (at + size)] + end, size + 1, at + size
+                for start in range(0, n, window):
+                    piece = ids[4 * start : 4 * (start + window)]
+                    for column, v in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
 
@@ -147,8 +172,7 @@ def packed(cut: DataFrame, window: int = WINDOW, group_rows: int = GROUP_ROWS) -
     cut = written(cut)
     rest = cut.where(F.col("length") < window)
     groups = max(1, -(-rest.count() // group_rows))
-    seed = F.xxhash64("doc_id", "ids_crc32", "start")
-    whole = cut.where(F.col("length") == window).select("*", F.pmod(seed, F.lit(groups)).alias("g"))
+    whole = cut.where(F.col("length") == window)
     salted = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.monotonically_increasing_id()), F.lit(groups)))
 
     def place(key, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,8 @@
 
 Patterns (assign, access, hex) give the base spans. Then every other long run of key-like characters that stands within
 ``REACH`` characters after a sensitive word is a candidate: its own size is its compressed length after a dictionary of
-common code and identifier words and of the text before it. A candidate is reported as ``novel`` if its own size reaches
+common code and identifier words and of the ``AROUND`` characters on both sides of it (less copies of itself, so that a
+key that stands there twice is found twice). A candidate is reported as ``novel`` if its own size reaches
 ``LEAST`` of what random characters of its alphabet need (base64 codes at six bits a character, hex at four), and its letter
 pairs are as improbable among those words as random ones are. ``marginal_bytes`` of a span is the compressed length of the
 text before it plus the span, less that of the text before it alone; it jumps where a short head starts to be entropy-coded,
@@ -11,7 +12,8 @@ which is why it is not what decides.
 Texts are scanned whole, in one pass without a shuffle; each row depends on itself alone, so neither hot keys nor
 repeated rows matter.
 
-Defined results: a null or empty text has no spans; equal texts have equal spans; an empty table gives an empty result;
+Defined results: a null or empty text has no spans; a very long text is scanned whole, only the compressor's view of a
+candidate's surroundings is bounded; equal texts have equal spans; an empty table gives an empty result;
 ``scan`` keeps all columns but one named ``spans``; ``redacted`` returns the columns it was given.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import light_batches, table
+from .common import light_batches, sliced, table
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns of the contract; the lengths are those that matches need to count.
@@ -38,7 +40,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: Words that make a context sensitive, and runs that may be keys: 20 characters or more, a digit or mixed case among them.
 CONTEXT = re.compile(r"(?i:passw|secret|token|api.?key|credential|private|auth|bearer|signature|access.?key|client.?id)", re.ASCII)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9]|[A-Z+/_=-]*[a-z][a-z+/_=-]*[A-Z]|[a-z+/_=-]*[A-Z][A-Z+/_=-]*[a-z])[A-Za-z0-9+/_=-]{20,}")
-REACH, BEFORE, LEAST = 48, 512, 0.95
+REACH, AROUND, LEAST = 48, 512, 0.95
 #: Bits a letter pair must have on average; of random keys of 20 mixed-case letters, the least sure kind, one in a few hundred has less.
 SURPRISE = 4.4
 #: Sizes of the alphabets that a key may come from.
@@ -85,11 +87,11 @@ class Novelty:
         head = before.encode("utf-8", "surrogatepass")
         return len(self.pack.compress(head + found.encode("utf-8", "surrogatepass"))) - len(self.pack.compress(head))
 
-    def own(self, before: str, found: str) -> int:
-        """Compressed bytes of a string, where what stands before it is part of the dictionary."""
+    def own(self, before: str, found: str, after: str = "") -> int:
+        """Compressed bytes of a string, where what stands around it is part of the dictionary."""
         import zstandard
 
-        known = zstandard.ZstdCompressionDict(self.raw + b" " + before.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known = zstandard.ZstdCompressionDict(self.raw + f" {after} {before}".replace(found, "").encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         pack = zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
         return len(pack.compress(found.encode())) - len(self.pack.compress(b""))
 
@@ -98,10 +100,10 @@ class Novelty:
         s = _symbols(found)
         return sum(map(self.cost.__getitem__, zip(f"_{s}", s, strict=False))) / len(s)
 
-    def is_key(self, before: str, found: str) -> bool:
+    def is_key(self, before: str, found: str, after: str = "") -> bool:
         if self.surprise(found) < SURPRISE:
             return False
-        return 8 * self.own(before, found) >= LEAST * len(found) * next(bits for chars, bits in OF_ALPHABET if chars.fullmatch(found))
+        return 8 * self.own(before, found, after) >= LEAST * len(found) * next(bits for chars, bits in OF_ALPHABET if chars.fullmatch(found))
 
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0_"
@@ -137,10 +139,10 @@ def find_spans(text: str | None, novelty: Novelty) -> list[tuple[int, int, str,
             while k + 1 < len(sensitive) and sensitive[k + 1] <= m.start():
                 k += 1
             if k >= 0 and m.start() - sensitive[k] <= REACH and _is_open(*m.span(), base):
-                if novelty.is_key(text[max(0, m.start() - BEFORE) : m.start()], m[0]):
+                if novelty.is_key(text[max(0, m.start() - AROUND) : m.start()], m[0], text[m.end() : m.end() + AROUND]):
                     out.append((*m.span(), "novel"))
     out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    return [(a, b, kind, novelty(text[max(0, a - BEFORE) : a], text[a:b])) for a, b, kind in out]
+    return [(a, b, kind, novelty(text[max(0, a - AROUND) : a], text[a:b])) for a, b, kind in out]
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("marginal_bytes", T.LongType())]))
@@ -156,7 +158,7 @@ def scan(docs: DataFrame, drop_text: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch, at)):
             found = [find_spans(t, novelty) for t in b.column(at).to_pylist()]
             spans = pa.array([[{"kind": k, "start": x, "end": y, "marginal_bytes": z} for x, y, k, z in s] for s in found], SPAN_ARROW)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), spans], [*names, "spans"])
@@ -171,7 +173,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for b in batches:
+        for b in (part for batch in batches for part in sliced(batch, at)):
             texts, columns = b.column(at).to_pylist(), list(b.columns)
             found = [find_spans(t, novelty) for t in texts]
             if any(found):

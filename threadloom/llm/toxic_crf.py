@@ -1,39 +1,42 @@
 """Toxic spans by a linear-chain conditional random field; marginals make document scores and offending offsets.
 
 Two tags, toxic or not. A token's potential is the sum of hashed weights of its lower-cased form without outer marks
-and of that form's beginnings (3 to 6 letters); a 2 x 2 matrix joins neighbours. A sequence is a sentence (a token that
-ends in . ! ? closes it), cut after 64 tokens. Labels mark documents, so token labels are made first: in labelled toxic
+and of that form's beginnings (3 to 6 letters); a 2 x 2 matrix joins neighbours. Tokens are what ASCII white space parts; a
+sequence is a sentence of any length (a token that ends in . ! ? closes it, and so does the text's end). Labels mark documents, so token labels are made first: in labelled toxic
 documents a token counts as toxic if one of its features is far commoner, by documents, in toxic than in clean ones (20 times, and beyond chance).
 The field is then trained by its likelihood on those tokens, and a logistic curve from the marginals to the label.
 
 The fit uses a bounded sample of labelled rows: at most ``sample_toxic`` and ``sample_clean`` documents in order of a
-hash of doc_id, whole texts of ``sample_chars`` characters in all. Near copies in the sample count once. What is sent to
-the executors is the model: 2**18 weights whatever the input. Scoring is one pass without a shuffle.
+hash of doc_id, one row of each doc_id, whole texts of ``sample_chars`` characters in all; at most ``train_docs`` of each
+kind train the field. Near copies in the sample count once. What is sent to the executors is the model: 2**18 weights
+whatever the input. Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts get the score of a text without any toxic token; labels without documents, null
 labels and null ids are ignored, a document labelled twice is toxic if any label says so; without labels of both kinds
-all scores are 0; repeated rows are scored alike; an empty table gives an empty result. ``tag`` keeps all columns and
-adds score, predicted and spans.
+all scores are 0; repeated rows are scored alike, and count once in the fit; a null doc_id has the checksum of an empty
+text; very long texts are scored whole; an empty table gives an empty result. ``tag`` adds score, predicted and spans in
+place of columns of these names and keeps all others.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import light_batches, table
-from .near_dup import WordHashes, shingles
+from .common import light_batches, sliced, table, words_of
+from .near_dup import shingle_sets
 
-BITS, LONGEST, THRESHOLD = 18, 64, 0.3
+BITS, THRESHOLD, CACHE, STEPS = 18, 0.3, 200_000, 64
 ADDED = T.StructType([
     T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -60,27 +63,28 @@ def slots(token: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(f) >> (64 - BITS) for f in features(token)]
 
 
-class Potentials(dict):
-    """Tokens to numbers, with the potential of each and whether it closes a sentence; cleared when large."""
+class Potentials:
+    """The potential of tokens, and whether they close a sentence, by way of a cache that is cleared when it has grown."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.u, self.closes = model, [], []
+        self.model, self.seen = model, {}
 
-    def __missing__(self, token: str) -> int:
-        n = self[token] = len(self.u)
-        self.u.append(float(self.model.weights[slots(token)].sum()) + self.model.bias)
-        self.closes.append(token[-1] in ".!?")
-        return n
+    def _learn(self, tokens: list[bytes]) -> None:
+        found = [slots(t.decode("utf-8", "surrogatepass")) for t in tokens]
+        sizes = np.array([len(f) for f in found])
+        total = np.bincount(np.repeat(np.arange(len(found)), sizes), self.model.weights[np.fromiter((s for f in found for s in f), np.int64, int(sizes.sum()))], len(found)) + self.model.bias
+        self.seen.update(zip(tokens, ((u, t[-1:] in (b".", b"!", b"?")) for t, u in zip(tokens, total.tolist(), strict=True)), strict=True))
 
-    def of(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Potentials of all tokens, sentence closings, and where documents end."""
-        if len(self) > 400_000:
-            self.clear()
-            self.u, self.closes = [], []
-        lengths = np.array([len(d) for d in docs], np.int64)
-        ids = np.fromiter((i for d in docs for i in map(self.__getitem__, d)), np.int64, int(lengths.sum()))
-        return np.array(self.u)[ids], np.array(self.closes, bool)[ids], np.cumsum(lengths)
+        tokens, numbers, lengths = words_of(texts, lower=False)
+        if len(self.seen) > CACHE:
+            self.seen = {}
+        if new := [t for t in tokens if t not in self.seen]:
+            self._learn(new)
+        both = list(map(self.seen.__getitem__, tokens))
+        u, closes = np.array([b[0] for b in both], float), np.array([b[1] for b in both], bool)
+        return u[numbers], closes[numbers], np.cumsum(lengths)
 
 
 def sequences(closes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,25 +96,38 @@ def sequences(closes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     last[ends[ends > 0] - 1] = True
     last[-1] = True
     stops = np.flatnonzero(last) + 1
-    starts = np.concatenate([[0], stops[:-1]])
-    parts = -(-(stops - starts) // LONGEST)
-    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = np.repeat(starts, parts) + nth * LONGEST
-    length = np.minimum(LONGEST, np.repeat(stops, parts) - start)
+    start = np.concatenate([[0], stops[:-1]])
+    length = stops - start
     order = np.argsort(-length, kind="stable")
     return start[order], length[order]
 
 
 def marginals(u: np.ndarray, start: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log odds of toxic for each token, and the forward and backward odds; forward-backward over all sequences at once."""
+    """Log odds of toxic for each token, and the forward and backward odds, by forward-backward.
+
+    The first ``STEPS`` tokens of all sequences go together, step by step; what longer ones have left goes one by one.
+    """
     a, e = np.exp(moves), np.exp(np.clip(u, -30, 30))
     fore, back = np.ones(len(u)), np.ones(len(u))
-    longest = int(length[0]) if len(length) else 0
+    longest = min(STEPS, int(length[0])) if len(length) else 0
     active = [int(np.searchsorted(-length, -t)) for t in range(longest + 1)]  # sequences longer than t
     for t in range(longest):
         at = start[: active[t]] + t
         r = fore[at - 1] if t else None
         fore[at] = e[at] if r is None else e[at] * (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0])
+    (a00, a01), (a10, a11) = a.tolist()
+    for first, n in zip(start[: active[longest]].tolist(), length[: active[longest]].tolist(), strict=True):
+        r, tail = float(fore[first + longest - 1]), e[first + longest : first + n].tolist()
+        out = []
+        for x in tail:
+            r = x * (a01 + r * a11) / (a00 + r * a10)
+            out.append(r)
+        fore[first + longest : first + n] = out
+        x, out = 1.0, []
+        for y in reversed(tail):  # back of the token before y
+            x = (a10 + a11 * y * x) / (a00 + a01 * y * x)
+            out.append(x)
+        back[first + longest - 1 : first + n - 1] = out[::-1]
     for t in range(longest - 2, -1, -1):
         at = start[: active[t + 1]] + t
         x = e[at + 1] * back[at + 1]
@@ -134,9 +151,9 @@ def evidence(odds: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def _token_labels(texts: list[str], toxic: list[bool]) -> set[str]:
     """Features that are far commoner in toxic documents; near copies (equal least shingle hash) count once."""
-    seen, hashes, kept = set(), WordHashes(), ([], [])
+    seen, kept = set(), ([], [])
     for text, y in zip(texts, toxic, strict=True):
-        found = shingles(text, hashes)
+        found = next(shingle_sets(pa.array([text], pa.string())))
         key = (y, int((found[:4096] * np.uint64(0x9E3779B97F4A7C15)).min())) if len(found) else None
         if key not in seen:
             seen.add(key)
@@ -167,17 +184,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int =
         return model
     bad = _token_labels(texts, y.tolist())
     chosen = [*np.flatnonzero(y)[:train_docs], *np.flatnonzero(~y)[:train_docs]]
-    index = Potentials(model)
-    docs = [texts[i].split() for i in chosen]
-    _, closes, ends = index.of(docs)
-    ids = np.fromiter((index[w] for d in docs for w in d), np.int64, len(closes))
-    words = list(index)
+    words, ids, lengths = words_of(pa.array([texts[i] for i in chosen], pa.string()), lower=False)
+    words, ends = [w.decode("utf-8", "surrogatepass") for w in words], np.cumsum(lengths)
+    closes = np.array([w[-1:] in (".", "!", "?") for w in words], bool)[ids]
     marked = np.array([any(f in bad for f in features(w)) for w in words], bool)
-    where = np.repeat(y[chosen], [len(d) for d in docs])
-    tags = marked[ids] & where
+    tags = marked[ids] & np.repeat(y[chosen], lengths)
     sizes = np.array([len(features(w)) for w in words])
     slot, of_word = np.fromiter((s for w in words for s in slots(w)), np.int64, int(sizes.sum())), np.repeat(np.arange(len(words)), sizes)
-    del docs, words
+    del words
     start, length = sequences(closes, ends)
     joined = np.ones(len(ids), bool)
     joined[start] = False
@@ -205,7 +219,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int =
     model.weights, model.bias, model.moves = params[0].astype(np.float32), float(params[1][0]), params[2]
     index, rows = Potentials(model), []
     for k in range(0, len(texts), 500):
-        u, closes, ends = index.of([t.split() for t in texts[k : k + 500]])
+        u, closes, ends = index.of(pa.array(texts[k : k + 500], pa.string()))
         rows.append(evidence(marginals(u, *sequences(closes, ends), model.moves)[0], ends))
     x, c = np.concatenate(rows), np.array([-3.0, 0.3, 1.0])
     for _ in range(50):  # Newton steps with a small ridge around the start
@@ -216,33 +230,40 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, train_docs: int =
     return model
 
 
+def checksum(doc_id: Column) -> Column:
+    """crc32 of the id as text; a null id is an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
 def sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int, sample_chars: int) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of training rows (crc32 of doc_id mod 4 is not 2), bounded as the arguments say."""
-    train = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """Whole texts and labels of training rows (crc32 of doc_id mod 4 is not 2), bounded as the arguments say: no more rows
+    than documents asked for, as a doc_id gives one text (the shortest, then the least), and no text that does not fit."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.pmod(checksum(F.col("doc_id")), F.lit(4)) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda t, n: known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, sample_toxic).unionByName(pick(0, sample_clean)).select(F.col("doc_id").alias("id_"), "toxic")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).where("text IS NOT NULL")  # at most sample_toxic + sample_clean ids
-    rows, left = [], sample_chars
-    sizes = sorted((r[1], r[0], r[2]) for r in texts.select("doc_id", F.xxhash64("doc_id"), F.length("text")).collect())
-    fits = []
-    for _, doc, size in sizes:
-        if size <= left:
-            left -= size
-            fits.append(doc)
-    short = texts.where(F.col("doc_id").isin(fits)) if len(fits) < len(sizes) else texts
-    rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in short.select("doc_id", "text", "toxic").collect()), key=lambda r: (r[0], r[1]))
+    sizes = texts.groupBy("id_").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("r")).select("id_", "r.n", "r.h").collect()
+    fits, left = [], sample_chars
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r["id_"]).encode()), r["id_"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            fits.append((r["id_"], r["h"]))
+    if not fits:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame(fits, "id_ long, h long")
+    one = texts.join(F.broadcast(wanted), ["id_"]).where(F.xxhash64("text") == F.col("h")).groupBy("id_").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = sorted(((r["id_"], r["text"], r["toxic"]) for r in one.collect()), key=lambda r: r[0])
     return [r[1] for r in rows], [int(r[2]) for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1000, sample_clean: int = 3000, sample_chars: int = 12_000_000) -> Model:
-    return fit(*sample(docs, labels, sample_toxic, sample_clean, sample_chars))
+def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = 1000, sample_clean: int = 3000, sample_chars: int = 12_000_000, train_docs: int = 500) -> Model:
+    return fit(*sample(docs, labels, sample_toxic, sample_clean, sample_chars), train_docs=train_docs)
 
 
 def _offsets(text: str, odds: np.ndarray) -> list[dict]:
     """Runs of tokens that are likelier toxic than not, as offsets in the text."""
     out, before = [], False
-    for m, o in zip(re.finditer(r"\S+", text), odds, strict=True):
+    for m, o in zip(re.finditer(r"[^\x20\x09-\x0D]+", text), odds, strict=True):
         if o > 0:
             if before:
                 out[-1]["end"] = m.end()
@@ -274,10 +295,8 @@ def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
         m = sent.value
         index = Potentials(m)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                u, closes, ends = index.of([t.split() for t in texts])
+            for part in sliced(b, at):
+                u, closes, ends = index.of(part.column(at))
                 odds = marginals(u, *sequences(closes, ends), m.moves)[0]
                 score = 1 / (1 + np.exp(-np.clip(evidence(odds, ends) @ m.curve, -30, 30)))
                 if not added:
@@ -286,7 +305,7 @@ def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
                 more = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
                 if with_spans:
                     begins = np.concatenate([[0], ends[:-1]])
-                    more.append(pa.array([_offsets(t, odds[i:j]) if (odds[i:j] > 0).any() else [] for t, i, j in zip(texts, begins, ends, strict=True)], span))
+                    more.append(pa.array([_offsets(t, odds[i:j]) if (odds[i:j] > 0).any() else [] for t, i, j in zip(part.column(at).to_pylist(), begins, ends, strict=True)], span))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
 
     return light_batches(docs).mapInArrow(run, schema)
@@ -295,5 +314,5 @@ def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
 def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = tag(docs, train(docs, table(spark, sf_dir, "labels")), with_spans=False)
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = F.pmod(checksum(F.col("doc_id")), F.lit(4)) == 2
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
