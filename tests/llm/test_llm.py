@@ -461,24 +461,63 @@ def test_op8_rules_and_flow(spark, odd):
     assert got[2] == ("www.example.com", "/en/", "www.example.com/en/", "allow")
     assert got[3] == ("", "", None, "allow") and got[4] == ("", "", None, "allow")
     assert got[5][2:] == ("net/es/", "block")
-    assert got[6] == ("t.org", "", None, "block")  # it links to the blocked, and little trust reaches it
+    assert got[6] == ("t.org", "", None, "allow")  # trust reaches it by way of example.com, and more than distrust does
     assert got[7][2] is None and got[8] == ("com", "", None, "allow")
 
 
-def test_propagation_against_matrix(spark):
-    edges = [("a", "b", 2.0), ("b", "c", 1.0), ("b", "a", 3.0), ("d", "a", 1.0)]
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in link_graph.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double"), rounds=5).collect()}
-    names = "abcd"
-    w = np.zeros((4, 4))
+def brute_flow(edges, seeds):
+    """trust and distrust of each host at the fixed point, by solving the linear system."""
+    names = sorted({h for e in edges for h in e[:2]} | set(seeds))
+    w = np.zeros((len(names), len(names)))
     for s, d, x in edges:
-        w[names.index(s), names.index(d)] = x
+        w[names.index(s), names.index(d)] += x
     safe = lambda m: np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=m.sum(1, keepdims=True) > 0)
-    t, b = np.array([1.0, 0, 0, 0]), np.array([0, 0, 1.0, 0])
-    t0, b0 = t, b
-    for _ in range(5):
-        t, b = 0.85 * t @ safe(w) + 0.15 * t0, 0.85 * b @ safe(w.T) + 0.15 * b0
-    for i, h in enumerate(names):
-        assert got.get(h, (0, 0)) == pytest.approx((t[i], b[i]))
+    out = []
+    for k, m in ((0, safe(w)), (1, safe(w.T))):
+        s = np.array([seeds.get(h, (0, 0))[k] for h in names], float)
+        x = np.linalg.solve(np.eye(len(names)) - 0.85 * m.T, s)
+        out.append(x / x.sum() if x.sum() else x)
+    return {h: (out[0][i], out[1][i]) for i, h in enumerate(names)}
+
+
+def test_propagation_against_matrix(spark):
+    chain = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(20)]
+    edges = [("a", "b", 2.0), ("b", "c", 1.0), ("b", "a", 3.0), ("d", "a", 1.0), *chain, ("h20", "b", 1.0), *(("a", f"leaf{i}", 1.0) for i in range(7))]
+    seeds = {"a": (0.5, 0.0), "h0": (0.5, 0.0), "c": (0.0, 0.5), "h20": (0.0, 0.5)}
+    frame = spark.createDataFrame(edges, "src string, dst string, weight double")
+    start = spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, trust double, distrust double")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in link_graph.propagate(frame, start, tolerance=1e-4, part_edges=2).collect()}
+    for h, x in brute_flow(edges, seeds).items():
+        assert got.get(h, (0, 0)) == pytest.approx(x, abs=6e-4)
+
+
+def test_op8_against_brute_force(spark, sf_dir):
+    """The whole query: hosts, paths, the longest rule, and verdicts by the flow over links and kinship."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    links, parted = Counter(), []
+    for r in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r["url"] or "")
+        host, path = (low(m[1]), m[2]) if m else ("", "")
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in link_graph.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        parted.append((r["page_id"], host, path, *(max(fits)[1:] if fits else (None, None))))
+        for to in {low(x) for x in re.findall(link_graph.LINK, r["html"] or "")}:
+            if host and host != to:
+                links[host, to] += 1
+    for host in {p[1] for p in parted}:
+        if host.count(".") > 1:
+            above = host.split(".", 1)[1]
+            links[host, above] += 1
+            links[above, host] += 1
+    good, bad = (Counter(p[1] for p in parted if p[4] == v) for v in ("allow", "block"))
+    seeds = {h: (good[h] / max(1, good.total()), bad[h] / max(1, bad.total())) for h in good.keys() | bad.keys()}
+    flow = brute_flow([(s, d, n) for (s, d), n in links.items()], seeds)
+    got = {r["page_id"]: tuple(r) for r in registry.QUERIES["op8_link_graph"](spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for page, host, path, rule, given in parted:
+        t, d = flow.get(host, (0, 0))
+        assert got[page][:4] == (page, host, path, rule)
+        if given or abs(d - 0.5 * (t + d)) > 0.01 * (t + d) or t + d == 0:
+            assert got[page][4] == (given or ("block" if d > 0.5 * (t + d) else "allow"))
 
 
 # 9

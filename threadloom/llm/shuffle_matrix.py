@@ -1,18 +1,20 @@
 """Exact uniform shuffle into shards by a hypergeometric communication matrix.
 
-Rows fall into source buckets by a hash of their contents. How many rows each bucket gives to each shard is drawn
+Rows fall into source buckets by a hash. How many rows each bucket gives to each shard is drawn
 from the multivariate hypergeometric law with the exact shard sizes as margins; each bucket is permuted and cut by
 those counts, the pieces are exchanged, and every shard is permuted again. Shard sizes differ by at most one.
 
-The permutations are orders of seeded hashes of a row's contents, so a recomputed task deals the same rows to the
-same places. Large shards are permuted in blocks (a hash range each), so that no task holds a whole shard.
+The permutations are orders of seeded hashes of a row's contents and of its number in a checkpoint, so a recomputed task
+deals the same rows to the same places, and repeated rows, were they a third of all, are spread like others. Large shards are permuted in blocks (a hash range each), so that no task holds a whole shard.
 
-Defined results: null texts have no bytes and checksum 0; equal rows share a hash and are told apart only by their
-place in the order, which are interchangeable; an empty table gives an empty result; other columns are ignored.
+Defined results: null texts have no bytes and checksum 0; equal rows are told apart by their numbers only, and are
+interchangeable; very long texts travel as their hash and size; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 import random
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, table
 
-BUCKET_ROWS = 200_000
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 4096
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -65,27 +67,21 @@ def communication_matrix(sizes: list[int], shards: list[int], seed: int) -> list
 def deal(rows: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``shard`` and ``slot`` to rows that carry ``row_hash``, a 64-bit hash of their contents.
 
-    The matrix has one row for each ``bucket_rows`` rows of input (64 at least) and ``shards`` columns; that is all
-    that the driver draws and all that is broadcast.
+    The matrix has one row for each ``bucket_rows`` rows of input, 64 at least and ``MOST_BUCKETS`` at most, and ``shards``
+    columns; that is all that the driver draws and all that is broadcast (1.3 MB at most for 40 shards). Larger inputs have
+    larger buckets, which are sorted by way of spilling.
     """
-    base = kept(rows)
+    base = kept(rows.withColumn("nth_", F.monotonically_increasing_id()))  # kept, so a row's number stays as it is
     n = base.count()
-    buckets = max(64, math.ceil(n / bucket_rows))
-    base = base.withColumn("bucket_", F.pmod(F.xxhash64("row_hash", F.lit(seed)), F.lit(buckets)))
+    buckets = min(MOST_BUCKETS, max(64, math.ceil(n / bucket_rows)))
+    base = base.withColumn("bucket_", F.pmod(F.xxhash64("row_hash", "nth_", F.lit(seed)), F.lit(buckets)))
     sizes = {r["bucket_"]: r["count"] for r in base.groupBy("bucket_").count().collect()}  # at most ``buckets`` rows
     ids = sorted(sizes)
     wanted = [n // shards + (j < n % shards) for j in range(shards)]
-    cuts = []
-    for b, row in zip(ids, communication_matrix([sizes[b] for b in ids], wanted, seed), strict=True):
-        total, ends = 0, []
-        for k in row:
-            total += k
-            ends.append(total)
-        cuts.append((b, ends))
-    spark = rows.sparkSession
-    values = ", ".join(f"({b}L, array({', '.join(f'{e}L' for e in ends)}))" for b, ends in cuts) or f"(0L, array({', '.join(['0L'] * shards)}))"
-    matrix = spark.sql(f"SELECT * FROM VALUES {values} AS t(bucket_, ends_)")
-    local = F.row_number().over(Window.partitionBy("bucket_").orderBy(F.xxhash64(F.lit(seed + 1), "row_hash"), "row_hash"))
+    drawn = communication_matrix([sizes[b] for b in ids], wanted, seed)
+    text = json.dumps([{"bucket_": b, "ends_": list(itertools.accumulate(row))} for b, row in zip(ids, drawn, strict=True)])
+    matrix = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<bucket_: long, ends_: array<long>>>")))
+    local = F.row_number().over(Window.partitionBy("bucket_").orderBy(F.xxhash64(F.lit(seed + 1), "row_hash", "nth_"), "row_hash"))
     sent = (
         base.withColumn("place_", local)
         .join(F.broadcast(matrix), "bucket_")
@@ -93,7 +89,7 @@ def deal(rows: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCKET_
         .drop("ends_", "place_", "bucket_")
     )
     blocks = max(8, math.ceil(n / shards / bucket_rows))
-    order = F.xxhash64(F.lit(seed + 2), "row_hash")
+    order = F.xxhash64(F.lit(seed + 2), "row_hash", "nth_")
     sent = kept(sent.withColumn("order_", order).withColumn("block_", F.floor((order / 2.0**64 + 0.5) * blocks)))
     ahead = sent.groupBy("shard", "block_").agg(F.count("*").alias("rows_")).withColumn(
         "start_", F.sum("rows_").over(Window.partitionBy("shard").orderBy("block_")) - F.col("rows_")
@@ -101,7 +97,7 @@ def deal(rows: DataFrame, shards: int, seed: int = 0, bucket_rows: int = BUCKET_
     again = F.row_number().over(Window.partitionBy("shard", "block_").orderBy("order_", "row_hash"))
     return (
         sent.withColumn("place_", again).join(ahead, ["shard", "block_"])
-        .withColumn("slot", F.col("start_") + F.col("place_") - 1).drop("order_", "block_", "place_", "start_")
+        .withColumn("slot", F.col("start_") + F.col("place_") - 1).drop("order_", "block_", "place_", "start_", "nth_")
     )
 
 
