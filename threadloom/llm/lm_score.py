@@ -8,16 +8,17 @@ Exchanges of packed columns, each dealt by a hash and none through the driver:
    the numbers of tokens and types after u, so that p(w | u) is known without one shard for u.
 3. A block of documents meets its ids and counts. The base score is made there; its *distinct* n-grams (v, u, w), with
    their training counts, go to the shard of their last context word u, or of the pair (v, u) if u is frequent, with
-   log p(w), or log p(w | u), at hand.
+   log p(w), or log p(w | u), at hand, and the list of documents that each n-gram is met in.
 4. A shard builds its trie from the training n-grams, maps it from files of its own temporary folder, and looks up all
-   n-grams; their codes go back to the block, which adds them up by document.
+   n-grams; the sums of their codes go back to the block by document and are added.
 
 The model: p(w) = (c + 1) / (N + V + 1); Witten-Bell interpolation for p(w | u) and p(w | v, u), for all words u and pairs
 at every size. The first token is scored by p(w). Log probabilities are multiples of one step, so scores do not depend on
 the number of blocks, shards or partitions.
 
 There is a shard for every ``SHARD_TOKENS`` training tokens. A word of just under ``FREQUENT``, or a pair of words, still has
-all its n-grams in one shard: once for each block at most, however often a block repeats them.
+all its n-grams in one shard: once for each block at most, however often a block repeats them, with four bytes for each
+occurrence beside.
 
 Defined results: a null or empty text is its end token alone; very long texts are blocks of their own; without training
 tokens every token has probability 1 / (N + V + 1) = 1; repeated rows are scored each, and count each in training; a null
@@ -74,8 +75,8 @@ def held_out_of(doc_id: int | None) -> bool:
 
 
 def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
-    """(block, shard, blob, words): shard -1 has a block's documents and tokens, and its distinct words; the others have the
-    words of a shard and their training counts. A block's number is its task's and its own within the task."""
+    """(block, blob, words): a block's documents and tokens, and the hashes of its distinct words, by word shard. A block's
+    number is its task's and its own within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,13 +93,10 @@ def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
             place[order] = np.arange(len(order), dtype=np.uint32)
             local, words = place[local], words[order]
             out = np.array([held_out_of(i) for i in ids], bool)
-            counts = np.bincount(local[np.repeat(~out, lengths)], minlength=len(words)).astype(np.uint32)
             known = np.array([i is not None for i in ids], bool)
             doc = np.array([i or 0 for i in ids], np.int64)
-            rows = [(number, -1, _pack(doc, known.view(np.uint8), out.view(np.uint8), lengths, local), words.tobytes())]
-            ends = np.searchsorted(shard[order], np.arange(word_shards + 1)).tolist()
-            rows += [(number, s, _pack(words[a:b], counts[a:b]), None) for s, (a, b) in enumerate(itertools.pairwise(ends)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "shard", "blob", "words"])
+            row = number, _pack(doc, known.view(np.uint8), out.view(np.uint8), lengths, local), words.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "blob", "words"])
 
         for b in (part for batch in batches for part in sliced(batch, 1)):
             hashes, lengths = word_hashes(b.column(1))
@@ -113,7 +111,14 @@ def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
         if ids:
             yield from flush()
 
-    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, shard long, blob binary, words binary")
+    return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, blob binary, words binary")
+
+
+PARTS = "block long, shard long, blob binary"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["block", "shard", "blob"])
 
 
 def word_ids(cut: DataFrame, word_shards: int) -> DataFrame:
@@ -133,7 +138,16 @@ def word_ids(cut: DataFrame, word_shards: int) -> DataFrame:
         often = c >= max(1, FREQUENT * c.sum())
         return pd.DataFrame([*rows, (0, -1, _pack(np.array([c.sum(), (c > 0).sum()]), words[often], c[often]))], columns=["block", "shard", "blob"])
 
-    return cut.where("shard >= 0").select("block", "shard", "blob").groupBy("shard").applyInPandas(run, "block long, shard long, blob binary")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, blob, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, _, out, lengths, local = _unpack(blob)
+                words = np.frombuffer(words, np.uint64)
+                counts = np.bincount(local[np.repeat(out == 0, lengths)], minlength=len(words)).astype(np.uint32)
+                ends = np.searchsorted((words % np.uint64(word_shards)).astype(np.int64), np.arange(word_shards + 1)).tolist()
+                yield _rows([(block, s, _pack(words[i:j], counts[i:j])) for s, (i, j) in enumerate(itertools.pairwise(ends)) if j > i])
+
+    return cut.mapInArrow(deal, PARTS).groupBy("shard").applyInPandas(run, PARTS)
 
 
 def _totals(ids: DataFrame) -> tuple[int, int, np.ndarray]:
@@ -156,49 +170,46 @@ def _followers(local: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.flatnonzero(some)
 
 
-def _frequent_pairs(local: np.ndarray, lengths: np.ndarray, words: np.ndarray, often: np.ndarray, shards: int) -> tuple:
-    """The distinct pairs (u, w) of a block whose u is frequent, in the order in which they are dealt: local numbers of u and w
-    as one key, which frequent word u is, hash, where each shard ends; and places of their second words with the pair of each."""
-    where = np.minimum(np.searchsorted(often, words), max(0, len(often) - 1))
-    which = np.where(often[where] == words, where, -1) if len(often) else np.full(len(words), -1)
+def _pairs_after(frequent: np.ndarray, local: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (u, w) of a block whose u is frequent, as u << 32 | w of local numbers in order; places of their second
+    words, and the pair at each."""
     at = _followers(local, lengths)
-    at = at[which[local[at - 1]] >= 0]
-    keys, back = np.unique(local[at - 1].astype(np.int64) << 32 | local[at], return_inverse=True)
-    u, w = keys >> 32, keys & 0xFFFFFFFF
-    mixed = (words[w] ^ words[u] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
-    shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return keys[order], which[u[order]], mixed[order], np.searchsorted(shard[order], np.arange(shards + 1)).tolist(), at, place[back]
+    at = at[frequent[local[at - 1]]]
+    return *np.unique(local[at - 1].astype(np.int64) << 32 | local[at], return_inverse=True), at
 
 
 def pair_counts(cut: DataFrame, often: np.ndarray, shards: int) -> DataFrame:
-    """(block, shard, blob): training counts of each block's pairs with a frequent first word; shard -1: tokens and types after
-    each frequent word, of one shard of pairs."""
+    """(block, shard, blob): which of a block's pairs with a frequent first word a shard has, their training counts, and the number
+    of the first word among frequent ones; shard -1: types after each frequent word, of one shard of pairs."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, blob, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 _, _, out, lengths, local = _unpack(blob)
-                keys, which, mixed, ends, at, of_pair = _frequent_pairs(local, lengths, np.frombuffer(words, np.uint64), often, shards)
-                train = ~np.repeat(out == 1, lengths)[at]
+                words = np.frombuffer(words, np.uint64)
+                which = np.minimum(np.searchsorted(often, words), max(0, len(often) - 1))
+                keys, of_pair, at = _pairs_after(often[which] == words if len(often) else np.zeros(len(words), bool), local, lengths)
+                u, w = keys >> 32, keys & 0xFFFFFFFF
+                mixed = (words[w] ^ words[u] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+                train = np.repeat(out == 0, lengths)[at]
                 counts = np.bincount(of_pair[train], minlength=len(keys)).astype(np.uint32)
-                rows = [(block, s, _pack(mixed[i:j], counts[i:j], which[i:j].astype(np.uint16))) for s, (i, j) in enumerate(itertools.pairwise(ends)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["block", "shard", "blob"])
+                shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+                order, rows = np.argsort(shard, kind="stable"), []
+                for s, i in zip(*_runs(shard[order]), strict=True):
+                    i = order[i]
+                    rows.append((block, s, _pack(np.diff(i, prepend=0).astype(np.uint32), mixed[i], counts[i], which[u[i]].astype(np.uint16))))
+                yield _rows(rows)
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x) for x in pdf["blob"]]
-        pairs, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-        c = np.bincount(back, np.concatenate([p[1] for p in parts]), len(pairs)).astype(np.int64)
-        which = np.concatenate([p[2] for p in parts])[first]
+        pairs, first, back = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+        c = np.bincount(back, np.concatenate([p[2] for p in parts]), len(pairs)).astype(np.uint32)
+        which = np.concatenate([p[3] for p in parts])[first]
         at = np.split(back, np.cumsum([len(p[0]) for p in parts])[:-1])
-        rows = [(b, key[0], _pack(c[i])) for b, i in zip(pdf["block"], at, strict=True)]
-        after = np.bincount(which, c, len(often)).astype(np.int64), np.bincount(which[c > 0], minlength=len(often))
-        return pd.DataFrame([*rows, (0, -1, _pack(*after))], columns=["block", "shard", "blob"])
+        rows = [(b, key[0], _pack(p[0], c[i], p[3])) for b, i, p in zip(pdf["block"], at, parts, strict=True)]
+        return pd.DataFrame([*rows, (0, -1, _pack(np.bincount(which[c > 0], minlength=len(often))))], columns=["block", "shard", "blob"])
 
-    sent = cut.where("shard < 0").select("block", "blob", "words").mapInArrow(deal, "block long, shard long, blob binary")
-    return sent.groupBy("shard").applyInPandas(add, "block long, shard long, blob binary")
+    return cut.mapInArrow(deal, PARTS).groupBy("shard").applyInPandas(add, PARTS)
 
 
 def _distinct(local: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.ndarray, ...]:
@@ -234,8 +245,8 @@ def scores(docs: DataFrame) -> DataFrame:
     unit = np.log10(total + types + 1)
     step = (unit + np.log10(2)) / 65535  # no stored probability is below 1 / (2 N) or 1 / (N + V + 1)
     pairs = written(pair_counts(cut, often, word_shards))
-    after = [_unpack(bytes(r[0])) for r in pairs.where("shard < 0").select("blob").collect()]  # 1 / FREQUENT numbers for each word shard
-    tokens_after, types_after = (sum((a[k] for a in after), np.zeros(len(often), np.int64)) for k in range(2))
+    after = [_unpack(bytes(r[0]))[0] for r in pairs.where("shard < 0").select("blob").collect()]  # 1 / FREQUENT numbers for each word shard
+    types_after = sum(after, np.zeros(len(often), np.int64))
 
     def spread(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("shard")
@@ -248,76 +259,79 @@ def scores(docs: DataFrame) -> DataFrame:
         base = np.add.reduceat(p1[local], begins)
         rows = [(-1, key[0], _pack(doc, some, out, lengths, np.add.reduceat((cw > 0).astype(np.int64), begins), base, p1[local[begins]]))]
         u, v, w, at, back = _distinct(local, lengths, len(word))
-        train = ~np.repeat(out == 1, lengths)[at]
-        counts = np.bincount(back[train], minlength=len(u)).astype(np.uint32)
+        counts = np.bincount(back[np.repeat(out == 0, lengths)[at]], minlength=len(u)).astype(np.uint32)
         plain = quantised(p1, step)[w]
         low = plain.astype(np.uint32)
-        hashes = np.frombuffer(left["words"].iloc[0], np.uint64)
-        keys, which, *_ = _frequent_pairs(local, lengths, hashes, often, word_shards)
-        given = np.zeros(len(word), bool)
+        frequent = c >= max(1, FREQUENT * total)
+        keys, *_ = _pairs_after(frequent, local, lengths)
         if len(keys):
-            c2 = np.concatenate([_unpack(x)[0] for x in right["blob"][~words]])
-            many, kinds = tokens_after[which], types_after[which]
-            p2 = np.log10((c2 + kinds * 10.0 ** p1[keys & 0xFFFFFFFF]) / np.maximum(1, many + kinds))
+            c2, kinds = np.zeros(len(keys)), np.zeros(len(keys))
+            for place, n, which in (_unpack(x) for x in right["blob"][~words]):
+                place = np.cumsum(place, dtype=np.int64)
+                c2[place], kinds[place] = n, types_after[which]
+            p2 = np.log10((c2 + kinds * 10.0 ** p1[keys & 0xFFFFFFFF]) / (c[keys >> 32] + kinds))  # each of u's tokens has one after it
             p2 = np.rint(p2 / -step).astype(np.uint32)  # unseen pairs are beyond 16 bits; the trie stores seen ones only
-            given[keys >> 32] = True
-            order = np.argsort(keys)
-            fixed = given[u]
-            low[fixed] = p2[order[np.searchsorted(keys[order], u[fixed] << 32 | w[fixed])]]
+            fixed = np.append(frequent, False)[u]
+            low[fixed] = p2[np.searchsorted(keys, u[fixed] << 32 | w[fixed])]
+        given = np.append(frequent, False)
         ids_ = np.append(word, START)
         given, u, v, w = given[u], ids_[u], ids_[v], word[w]
         mixed = (u * 0x9E3779B1 + np.where(given, v + 1, 0) * 0x85EBCA77) & 0x7FFFFFFF
         shard = mixed * 40503 % 2147483647 % shards
         order = np.argsort(shard, kind="stable")
-        for s, i in zip(*_runs(shard[order]), strict=True):
-            i = order[i]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        met = np.bincount(back, minlength=len(u)).astype(np.uint32)[order]
+        whose = np.repeat(np.arange(len(doc), dtype=np.uint32), lengths)[at][np.argsort(rank[back], kind="stable")]  # documents, n-gram by n-gram
+        ends = np.concatenate([[0], np.cumsum(met, dtype=np.int64)])
+        for s, run in zip(*_runs(shard[order]), strict=True):
+            i = order[run]
             seen, one, nth = np.unique(w[i], return_index=True, return_inverse=True)  # a successor's id and log p(w) travel once
             nth, g = nth.astype(np.uint16 if len(seen) <= 1 << 16 else np.uint32), given[i]
-            rows.append((s, key[0], _pack(np.diff(i, prepend=0).astype(np.uint32), u[i].astype(np.uint32), v[i].astype(np.uint32), np.diff(seen, prepend=0).astype(np.uint32), plain[i][one], nth, counts[i], g.view(np.uint8), low[i][g])))
+            rows.append((s, key[0], _pack(u[i].astype(np.uint32), v[i].astype(np.uint32), np.diff(seen, prepend=0).astype(np.uint32), plain[i][one], nth, counts[i], g.view(np.uint8), low[i][g], met[run], whose[ends[run.start] : ends[run.stop]])))
         return pd.DataFrame(rows, columns=["shard", "block", "blob"])
 
     def look_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return pdf[["block", "blob"]].assign(shard=-1)
-        places, columns = [], []
+        homes, columns = [], []
         for blob in pdf["blob"]:
-            place, u, v, seen, code, nth, count, g, exact = _unpack(blob)
+            u, v, seen, code, nth, count, g, exact, met, whose = _unpack(blob)
             g, low = g == 1, code[nth].astype(np.uint32)
             low[g] = exact
-            places.append(place)
+            homes.append((met, whose))
             columns.append((u.astype(np.int64), v.astype(np.int64), np.cumsum(seen, dtype=np.int64)[nth], count, low, g))
         u, v, w, count, low, g = (np.concatenate(c) for c in zip(*columns, strict=True))
         del columns
         t = count > 0
         trie = Trie.build(u[t], v[t], w[t], count[t], low[t], g[t], step)
         with tempfile.TemporaryDirectory() as folder:
-            found = trie.mapped(folder).score(u, v, w, low).astype(np.uint32)
+            found = trie.mapped(folder).score(u, v, w, low)
             del trie
-        parts = np.split(found, np.cumsum([len(p) for p in places])[:-1])
-        return pd.DataFrame([(b, _pack(p, x), key[0]) for b, p, x in zip(pdf["block"], places, parts, strict=True)], columns=["block", "blob", "shard"])
-
-    def add_up(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        head = right["shard"].to_numpy() < 0
-        doc, some, held, lengths, known, base, first = _unpack(right["blob"][head].iloc[0])
-        *_, local = _unpack(left["blob"].iloc[0])
-        *_, w, at, back = _distinct(local, lengths, int(local.max()) + 1)  # words are numbered without gaps
-        codes = np.zeros(len(w), np.int64)
-        for blob in right["blob"][~head]:
-            steps, x = _unpack(blob)
-            codes[np.cumsum(steps, dtype=np.int64)] = x
-        by_token = np.zeros(len(local), np.int64)
-        by_token[at] = codes[back]
-        out = pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "held_out": held == 1, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": total, "base_score": base, "score": first - step * np.add.reduceat(by_token, _begins(lengths))})
+        rows, at = [], 0
+        for block, (met, whose) in zip(pdf["block"], homes, strict=True):
+            docs_, back = np.unique(whose, return_inverse=True)
+            sums = np.bincount(back, np.repeat(found[at : at + len(met)], met))  # whole numbers, exact in any order
+            rows.append((block, _pack(np.diff(docs_, prepend=docs_.dtype.type(0)), sums.astype(np.uint32 if sums.max(initial=0) < 1 << 32 else np.uint64)), key[0]))
+            at += len(met)
+        return pd.DataFrame(rows, columns=["block", "blob", "shard"])
+
+    def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf["shard"].to_numpy() < 0
+        doc, some, held, lengths, known, base, first = _unpack(pdf["blob"][head].iloc[0])
+        codes = np.zeros(len(doc), np.int64)
+        for steps, x in (_unpack(blob) for blob in pdf["blob"][~head]):
+            codes[np.cumsum(steps, dtype=np.int64)] += x.astype(np.int64)
+        out = pd.DataFrame({"doc_id": pd.array(doc, "Int64"), "held_out": held == 1, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": total, "base_score": base, "score": first - step * codes})
         out.loc[some == 0, "doc_id"] = pd.NA
         return out
 
-    tokens = cut.where("shard < 0").select("block", "blob", "words")
     asked = ids.where("shard >= 0").unionByName(pairs.where("shard >= 0").withColumn("shard", F.col("shard") + word_shards))
-    sent = tokens.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(spread, "shard long, block long, blob binary")
-    # codes go home by block; the heads of all blocks are dealt one by one, not as one shard
+    sent = cut.select("block", "blob").groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(spread, "shard long, block long, blob binary")
+    # sums go home by block; the heads of all blocks are dealt one by one, not as one shard
     dealt = sent.withColumn("part", F.when(F.col("shard") < 0, -1 - F.pmod("block", F.lit(shards))).otherwise(F.col("shard")))
     back = dealt.groupBy("part").applyInPandas(look_up, "block long, blob binary, shard long")
-    return tokens.select("block", "blob").groupBy("block").cogroup(back.groupBy("block")).applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return back.groupBy("block").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _runs(x: np.ndarray) -> tuple[list[int], list[slice]]:
