@@ -278,7 +278,8 @@ def scores(docs: DataFrame) -> DataFrame:
         given, u, v, w = given[u], ids_[u], ids_[v], word[w]
         mixed = (u * 0x9E3779B1 + np.where(given, v + 1, 0) * 0x85EBCA77) & 0x7FFFFFFF
         shard = mixed * 40503 % 2147483647 % shards
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(u << 32 | v)
+        order = order[np.argsort(shard[order], kind="stable")]  # by shard, u, v: steps from one to the next are small
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         met = np.bincount(back, minlength=len(u)).astype(np.uint32)[order]
@@ -288,7 +289,7 @@ def scores(docs: DataFrame) -> DataFrame:
             i = order[run]
             seen, one, nth = np.unique(w[i], return_index=True, return_inverse=True)  # a successor's id and log p(w) travel once
             nth, g = nth.astype(np.uint16 if len(seen) <= 1 << 16 else np.uint32), given[i]
-            rows.append((s, key[0], _pack(u[i].astype(np.uint32), v[i].astype(np.uint32), np.diff(seen, prepend=0).astype(np.uint32), plain[i][one], nth, counts[i], g.view(np.uint8), low[i][g], met[run], whose[ends[run.start] : ends[run.stop]])))
+            rows.append((s, key[0], _pack(*_steps(u[i], v[i]), np.diff(seen, prepend=0).astype(np.uint32), plain[i][one], nth, counts[i], g.view(np.uint8), low[i][g], met[run], whose[ends[run.start] : ends[run.stop]])))
         return pd.DataFrame(rows, columns=["shard", "block", "blob"])
 
     def look_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -297,10 +298,11 @@ def scores(docs: DataFrame) -> DataFrame:
         homes, columns = [], []
         for blob in pdf["blob"]:
             u, v, seen, code, nth, count, g, exact, met, whose = _unpack(blob)
+            u, v = _unstepped(u, v)
             g, low = g == 1, code[nth].astype(np.uint32)
             low[g] = exact
             homes.append((met, whose))
-            columns.append((u.astype(np.int64), v.astype(np.int64), np.cumsum(seen, dtype=np.int64)[nth], count, low, g))
+            columns.append((u, v, np.cumsum(seen, dtype=np.int64)[nth], count, low, g))
         u, v, w, count, low, g = (np.concatenate(c) for c in zip(*columns, strict=True))
         del columns
         t = count > 0
@@ -334,6 +336,23 @@ def scores(docs: DataFrame) -> DataFrame:
     return back.groupBy("block").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _steps(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of u, which never falls, and of v, which starts anew with each u."""
+    du, dv = np.diff(u, prepend=0), np.diff(v, prepend=0)
+    new = du > 0
+    new[:1] = True
+    dv[new] = v[new]
+    return du.astype(np.uint32), dv.astype(np.uint32)
+
+
+def _unstepped(du: np.ndarray, dv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, v = np.cumsum(du, dtype=np.int64), np.cumsum(dv, dtype=np.int64)
+    new = du > 0
+    new[:1] = True
+    at = np.flatnonzero(new)
+    return u, v - np.repeat(v[at] - dv[at], np.diff(np.append(at, len(v))))
+
+
 def _runs(x: np.ndarray) -> tuple[list[int], list[slice]]:
     """The values of a sorted array and where each stands."""
     cuts = np.flatnonzero(np.diff(x)) + 1 if len(x) else np.zeros(0, np.int64)
