@@ -7,19 +7,31 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import compact, compact_words, safe_text
 
-#: Names that decisions go by.
-DECISIONS = {"new": ("new", "create", "add"), "update": ("update", "append", "extend"), "rewrite": ("rewrite", "replace"), "merge": ("merge", "join"), "skip": ("skip", "ignore", "none"), "delete": ("delete", "remove", "drop")}
-#: What private strings look like: keys of services, and absolute paths of users.
-PRIVATE = r"(sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{12,}|ghp_[A-Za-z0-9]{20,}|/Users/[^\s/]+/|/home/[^\s/]+/|[A-Z]:\\Users\\)"
+#: Names that decisions go by.
+DECISIONS = {"new": ("new", "create"), "update": ("update", "patch", "revise"), "rewrite": ("rewrite", "rewrite_card"), "merge": ("merge", "merge_into"), "skip": ("skip", "hold"), "delete": ("delete", "archive")}
+#: What keys of services and private absolute paths look like.
+KEY_LIKE = r"sk-[A-Za-z0-9_-]{20,}"
+PRIVATE_PATH = r"""/(?:Users|home|srv)/[^\s"'`]+|[A-Za-z]:[\\/][^\s"'`]+|\\\\[^\\\s"'`]+\\[^\\\s"'`]+"""
+#: Weights of the six kinds of evidence and of an equal window, and what a kind needs to count as support.
+EVIDENCE = {"name": 0.14, "stable": 0.18, "atomic": 0.24, "family": 0.18, "hint": 0.08, "related": 0.06}
+WINDOW_MATCH, SUPPORT = 0.18, 0.18
 
 
 def decision(c: Column | str) -> Column:
-    t, out = F.lower(safe_text(c)), F.lit("skip")
-    for name, aliases in reversed(DECISIONS.items()):
+    """The decision that an alias stands for; another word stays, nothing is ``touch``."""
+    t = F.lower(safe_text(c))
+    out = F.when(t == "", "touch").otherwise(t)
+    for name, aliases in DECISIONS.items():
         out = F.when(t.isin(*aliases), name).otherwise(out)
     return out
 
 
+def privacy_hit(c: Column | str) -> Column:
+    """Why a text must not leave: a key, else a private path, else null."""
+    t = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.when(t.rlike(KEY_LIKE), "secret_like_api_key").when(t.rlike(PRIVATE_PATH), "absolute_private_path")
+
+
 def needle_score(text: Column, needles: list[str]) -> Column:
     """Needles of three letters and more weigh two, shorter ones one."""
     whole = compact_words(text)
@@ -34,15 +46,21 @@ def semantic_key(c: Column | str) -> Column:
     return safe_text(t)
 
 
-def alignment(exact: Column, overlap: Column, topic: Column) -> tuple[Column, Column]:
-    """Weighted score of evidence and its class."""
-    score = F.round(0.6 * exact + 0.25 * overlap + 0.15 * topic, 4)
-    return score, F.when(score >= 0.72, "strong").when(score >= 0.4, "partial").when(score > 0, "weak").otherwise("none")
+def alignment(kinds: dict[str, Column], window: Column, shadows: Column) -> tuple[Column, Column, Column]:
+    """Score of an evidence item, how many kinds support it, and its class."""
+    score = F.round(F.least(F.lit(1.0), sum((w * kinds[k] for k, w in EVIDENCE.items()), F.lit(0.0)) + F.when(window, WINDOW_MATCH).otherwise(0.0)), 4)
+    hits = sum(((kinds[k] >= SUPPORT).cast("int") for k in EVIDENCE), F.lit(0)) + window.cast("int")
+    aligned = ((score >= 0.4) & (hits >= 2)) | (score >= 0.55) | (window & (score >= 0.32) & (hits >= 2))
+    partial = ((score >= 0.22) & (hits >= 1)) | (score >= 0.3) | (window & (hits >= 1))
+    return score, hits, F.when(shadows == 0, "no_shadow").when(aligned, "aligned").when(partial, "partial").otherwise("weak")
 
 
-def chunk_plan(kind: Column, chars: Column) -> Column:
-    """How a source is best cut: by lines for chats, whole if short, by paragraphs otherwise."""
-    return F.when(chars <= 1200, "whole").when(kind == "chat", "lines").when(chars > 60000, "paragraphs_large").otherwise("paragraphs")
+def chunk_plan(is_chat: Column, chars: Column) -> dict[str, Column]:
+    """Sizes that a source is best cut with, by its kind and length."""
+    by_size = lambda a, b, c: F.when(chars > 18000, a).when(chars > 9000, b).otherwise(c)
+    target = F.when(is_chat, by_size(2400, 2200, 1800)).otherwise(by_size(3200, 2800, 2200))
+    slices = F.when(is_chat, 2).otherwise(1)
+    return {"target_chars": target, "max_slices": slices, "max_chars": target * slices + 600, "estimated_slices": F.when(chars > 0, F.greatest(F.lit(1), F.ceil(chars / target))).otherwise(0)}
 
 
 def affix_matches(names: DataFrame, tokens: DataFrame, most: int = 4) -> DataFrame:
@@ -65,6 +83,6 @@ def with_fallback(rows: DataFrame, scope: str, rank: str) -> DataFrame:
 
 
 def numbered_names(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Equal names get ``_002``, ``_003`` and so on in order, the first stays."""
+    """Equal names get ``_002``, ``_003`` and so on in order, the first stays; past 999 there is none left (null)."""
     n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return rows.withColumn("file_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), F.lpad(n.cast("string"), 3, "0"))))
+    return rows.withColumn("file_name", F.when(n == 1, F.col(name)).when(n <= 999, F.concat(F.col(name), F.lit("_"), F.lpad(n.cast("string"), 3, "0"))))

@@ -12,11 +12,15 @@ from threadloom.sources.tables import table
 from .registry import query
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '(sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{12,}|ghp_[A-Za-z0-9]{20,}|/Users/[^\s/]+/|/home/[^\s/]+/|[A-Z]:\\Users\\)')) AS hits FROM documents WHERE regexp_matches(text, '(sk-[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{12,}|ghp_[A-Za-z0-9]{20,}|/Users/[^\s/]+/|/home/[^\s/]+/|[A-Z]:\\Users\\)')")
+@query(r"""WITH d AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' sk-' || repeat('a_', 11) WHEN 1 THEN ' /home/me/x' WHEN 2 THEN ' C:\keys ' ELSE '' END AS t FROM documents),
+  h AS (SELECT doc_id, CASE WHEN regexp_matches(t, 'sk-[A-Za-z0-9_-]{20,}') THEN 'secret_like_api_key'
+    WHEN regexp_matches(t, '/(?:Users|home|srv)/[^\s"''`]+|[A-Za-z]:[\\/][^\s"''`]+|\\\\[^\\\s"''`]+\\[^\\\s"''`]+') THEN 'absolute_private_path' END AS reason FROM d)
+  SELECT * FROM h WHERE reason IS NOT NULL""")
 def privacy_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-like strings and private paths."""
-    n = F.regexp_count("text", F.lit(signals.PRIVATE)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("hits")).where("hits > 0")
+    k = F.col("doc_id") % 4
+    tail = F.when(k == 0, " sk-" + "a_" * 11).when(k == 1, " /home/me/x").when(k == 2, " C:\\keys ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", signals.privacy_hit(F.concat("text", tail)).alias("reason")).where("reason IS NOT NULL")
 
 
 @query(r"SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '\b(user|assistant|tool|chat|bundle)\b', ' ', 'g'), '\b\d{1,3}\b', ' ', 'g'), '[·:：,，、;；.。!?！？\"''“”‘’()\[\]{}<>《》【】/\\_-]+', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM benchmark")
@@ -30,35 +34,42 @@ NEEDLES = ["the", "of", "tion", "qu"]
 
 @query(r"WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text), '[\s\p{P}\p{S}]+', '', 'g') AS t FROM conversations) SELECT conv_id, turn, CAST(2 * CAST(contains(t, 'the') AS INT) + CAST(contains(t, 'of') AS INT) + 2 * CAST(contains(t, 'tion') AS INT) + CAST(contains(t, 'qu') AS INT) AS BIGINT) AS points FROM c")
 def needle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted needles in text."""
+    """F32: weighted needles in text."""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", signals.needle_score(F.col("text"), NEEDLES).cast("long").alias("points"))
 
 
-@query("""WITH d AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'create' WHEN '2-HIGH' THEN 'Append' WHEN '3-MEDIUM' THEN ' merge ' WHEN '4-NOT SPECIFIED' THEN 'remove' ELSE 'maybe' END AS said FROM orders)
-  SELECT o_orderkey, CASE trim(lower(said)) WHEN 'create' THEN 'new' WHEN 'append' THEN 'update' WHEN 'merge' THEN 'merge' WHEN 'remove' THEN 'delete' ELSE 'skip' END AS decision FROM d""")
+SAID = ["create", "Patch", "revise", " merge_into ", "hold", "archive", "rewrite_card", "", "Other"]
+
+
+@query("""SELECT o_orderkey, ['new', 'update', 'update', 'merge', 'skip', 'delete', 'rewrite', 'touch', 'other'][o_orderkey % 9 + 1] AS decision FROM orders""")
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases of decisions."""
-    p = F.col("o_orderpriority")
-    said = F.when(p == "1-URGENT", "create").when(p == "2-HIGH", "Append").when(p == "3-MEDIUM", " merge ").when(p == "4-NOT SPECIFIED", "remove").otherwise("maybe")
+    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("o_orderkey") % 9 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", signals.decision(said).alias("decision"))
 
 
-@query("""SELECT source, CASE WHEN c <= 1200 THEN 'whole' WHEN source = 'src0' THEN 'lines' WHEN c > 60000 THEN 'paragraphs_large' ELSE 'paragraphs' END AS plan, count(*) AS n FROM (SELECT source, length(text) AS c FROM documents) GROUP BY ALL""")
+@query("""WITH d AS (SELECT doc_id, length(text) AS n, doc_id % 3 = 0 AS chat FROM documents), t AS (SELECT *, CASE WHEN chat THEN CASE WHEN n > 18000 THEN 2400 WHEN n > 9000 THEN 2200 ELSE 1800 END ELSE CASE WHEN n > 18000 THEN 3200 WHEN n > 9000 THEN 2800 ELSE 2200 END END AS target FROM d)
+  SELECT doc_id, CAST(target AS BIGINT) AS target_chars, CAST(CASE WHEN chat THEN 2 ELSE 1 END AS BIGINT) AS max_slices, CAST(target * CASE WHEN chat THEN 2 ELSE 1 END + 600 AS BIGINT) AS max_chars, CAST(CASE WHEN n > 0 THEN greatest(1, ceil(n / target)) ELSE 0 END AS BIGINT) AS estimated_slices FROM t""")
 def chunk_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P26."""
-    plan = signals.chunk_plan(F.when(F.col("source") == "src0", "chat").otherwise("doc"), F.length("text"))
-    return table(spark, sf_dir, "documents").groupBy("source", plan.alias("plan")).agg(F.count("*").alias("n"))
+    plan = signals.chunk_plan(F.col("doc_id") % 3 == 0, F.length("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.cast("long").alias(k) for k, c in plan.items()))
 
 
-@query("""WITH s AS (SELECT user_id, round(0.6 * max(CAST(event_type = 'click' AS INT)) + 0.25 * max(CAST(event_type = 'view' AS INT)) + 0.15 * max(CAST(value > 50 AS INT)), 4)::DOUBLE AS score FROM events GROUP BY user_id)
-  SELECT user_id, score, CASE WHEN score >= 0.72 THEN 'strong' WHEN score >= 0.4 THEN 'partial' WHEN score > 0 THEN 'weak' ELSE 'none' END AS class FROM s""")
+@query("""WITH p AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b, count(*) FILTER (event_type = 'error') AS c, count(*) FILTER (event_type = 'signup') AS d,
+    count(*) FILTER (value > 100) AS e, count(*) FILTER (value < 20) AS f, max(value) > 400 AS w, count(*) FILTER (value > 250) AS shadows FROM events GROUP BY user_id),
+  s AS (SELECT *, round(least(1.0, 0.14 * (a / n) + 0.18 * (b / n) + 0.24 * (c / n) + 0.18 * (d / n) + 0.08 * (e / n) + 0.06 * (f / n) + CASE WHEN w THEN 0.18 ELSE 0 END), 4)::DOUBLE AS score,
+    CAST(a / n >= 0.18 AS INT) + CAST(b / n >= 0.18 AS INT) + CAST(c / n >= 0.18 AS INT) + CAST(d / n >= 0.18 AS INT) + CAST(e / n >= 0.18 AS INT) + CAST(f / n >= 0.18 AS INT) + CAST(w AS INT) AS hits FROM p)
+  SELECT user_id, score, CAST(hits AS BIGINT) AS support_hits, CASE WHEN shadows = 0 THEN 'no_shadow' WHEN (score >= 0.4 AND hits >= 2) OR score >= 0.55 OR (w AND score >= 0.32 AND hits >= 2) THEN 'aligned'
+    WHEN (score >= 0.22 AND hits >= 1) OR score >= 0.3 OR (w AND hits >= 1) THEN 'partial' ELSE 'weak' END AS class FROM s""")
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of each kind of evidence, weighted."""
-    e = table(spark, sf_dir, "events")
-    best = lambda c: F.max(c.cast("int"))
-    per = e.groupBy("user_id").agg(best(F.col("event_type") == "click").alias("x"), best(F.col("event_type") == "view").alias("y"), best(F.col("value") > 50).alias("z"))
-    score, kind = signals.alignment(F.col("x"), F.col("y"), F.col("z"))
-    return per.select("user_id", score.alias("score"), kind.alias("class"))
+    """Evidence of six kinds and an equal window, weighted and classed."""
+    share = lambda c: F.count_if(c) / F.count("*")
+    is_a, v = (lambda t: F.col("event_type") == t), F.col("value")
+    kinds = dict(zip(signals.EVIDENCE, map(share, (is_a("click"), is_a("view"), is_a("error"), is_a("signup"), v > 100, v < 20)), strict=True))
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(*(c.alias(k) for k, c in kinds.items()), (F.max("value") > 400).alias("w"), F.count_if(v > 250).alias("shadows"))
+    score, hits, kind = signals.alignment({k: F.col(k) for k in kinds}, F.col("w"), F.col("shadows"))
+    return per.select("user_id", score.alias("score"), hits.cast("long").alias("support_hits"), kind.alias("class"))
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, unnest(string_split_regex(text, '[.!?\n]+')) AS s FROM conversations), p AS (SELECT conv_id, trim(s) AS sentence, CAST(CAST(regexp_matches(s, '(?i)\bthe\b') AS INT) * 2 + CAST(regexp_matches(s, '(?i)\band\b') AS INT) AS BIGINT) AS points FROM s WHERE length(trim(s)) >= 12),
@@ -116,9 +127,9 @@ def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.with_fallback(rows, "scope", "rank").groupBy("scope", "rank").agg(F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) SELECT p_partkey, CASE WHEN n = 1 THEN p_brand ELSE p_brand || '_' || right('000' || n, 3) END AS file_name FROM n WHERE n < 1000""")
+@query("""WITH n AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) SELECT p_partkey, CASE WHEN n = 1 THEN p_brand WHEN n <= 999 THEN p_brand || '_' || right('000' || n, 3) END AS file_name FROM n""")
 def exclusive_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: names that are taken get a number, up to 999."""
+    """K7: names that are taken get a number, up to 999; null past that."""
     named = signals.numbered_names(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey")
     return named.select("p_partkey", "file_name")
 
