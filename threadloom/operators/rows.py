@@ -173,3 +173,44 @@ def span_sources(spans: DataFrame, occurrences: DataFrame, key: str, candidate:
     """Each span key with whether its occurrence is there, and the sorted ids of the candidates that cite it."""
     ids = spans.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(candidate).cast("string"))), ",").alias("candidates"))
     return ids.join(occurrences.select(key, F.lit(True).alias("there")).distinct(), key, "left").withColumn("there", F.coalesce("there", F.lit(False)))
+
+
+def message(raw: Column) -> dict[str, Column]:
+    """Role, content and window title of a message in JSON: the first name that is there and not blank."""
+    v = F.try_parse_json(raw)
+    at = lambda *paths: first_text(*(F.try_variant_get(v, p, "string") for p in paths))
+    parts = F.array_join(F.try_variant_get(v, "$.content.parts", "array<string>"), "\n")
+    role = at("$.role", "$.author.role")
+    plain = F.when(F.schema_of_variant(v).startswith("OBJECT"), at("$.content.text", "$.text", "$.message"))
+    return {
+        "role": F.when(role == "", "assistant").otherwise(role),
+        "content": first_text(parts, plain, F.when(F.try_variant_get(v, "$.content.text", "string").isNull() & parts.isNull(), F.try_variant_get(v, "$.content", "string"))),
+        "window_title": at("$.source_window_title", "$.sourceWindowTitle", "$.metadata.source_window_title", "$.metadata.sourceWindowTitle"),
+    }
+
+
+def bundle_texts(messages: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, text): the messages (role, text, window_title) of each bundle as lines, blank ones left out."""
+    said = messages.withColumn("said", safe_text("text")).where("said <> ''")
+    line = F.concat(F.when(F.col("window_title") != "", F.concat(F.lit("["), F.col("window_title"), F.lit("] "))).otherwise(""), first_text("role", F.lit("unknown")), F.lit(": "), F.col("said"))
+    lines = said.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))).alias("lines"))
+    return lines.select(key, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+
+
+def as_documents(raw: DataFrame, documents: DataFrame, bundles: DataFrame) -> DataFrame:
+    """Three inputs (kind, id, text; bundles without kind) as one table with character counts, without blank texts."""
+    all_ = raw.unionByName(documents).unionByName(bundles.withColumn("kind", F.lit("chat_bundle")))
+    return all_.withColumn("text", safe_text("text")).where("text <> ''").withColumn("char_count", F.length("text").cast("long"))
+
+
+def file_kind(name: Column, text: Column) -> Column:
+    """``json`` for readable JSON of that extension, ``document`` for Markdown, else ``raw_text``."""
+    extension = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    return F.when((extension == "json") & F.try_parse_json(text).isNotNull(), "json").when(extension == "md", "document").otherwise("raw_text")
+
+
+def readiness(accepted: Column, ledgers: Column, sound: Column) -> tuple[Column, Column]:
+    """Status of a bundle, and whether projections can be made of it."""
+    empty = accepted + ledgers == 0
+    status = F.when(~sound, "invalid_bundle").when(empty, "valid_empty_bundle").otherwise("valid_bundle")
+    return status, F.when(~sound, "blocked_by_contract_errors").when(empty, "nothing_to_project").when(ledgers > 0, "ready_with_review_ledgers").otherwise("ready")

@@ -72,7 +72,7 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", rows.source_label(name).alias("label"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.') || right('000' || (epoch_ms(ts) % 1000), 3) || 'Z' ELSE '' END AS iso FROM events""")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.') || right('000' || (epoch_us(ts) // 1000 % 1000), 3) || 'Z' ELSE '' END AS iso FROM events""")
 def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seconds or milliseconds as ISO times."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -174,3 +174,47 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: lines of users that state a rule."""
     said = F.concat(F.col("text"), F.when(F.col("turn") % 4 == 0, "，如果你察觉到了").otherwise(""))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("role") == "user") & said.rlike("|".join(rows.RULE_LINES))).alias("is_rule"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 2 THEN 'assistant' ELSE role END AS role, CASE WHEN conv_id % 3 = 0 THEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) || 'more' ELSE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) END AS content,
+  CASE WHEN conv_id % 3 = 1 THEN 'win' ELSE '' END AS window_title FROM conversations""")
+def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role, text and window of messages whose fields go by several names."""
+    text, role = rows.safe_text("text"), F.col("role")
+    parts = F.to_json(F.struct(F.struct(role.alias("role")).alias("author"), F.struct(F.array(text, F.lit("more")).alias("parts")).alias("content")))
+    plain = F.to_json(F.struct(role.alias("role"), text.alias("text"), F.struct(F.lit("win").alias("source_window_title")).alias("metadata")))
+    raw = F.when(F.col("conv_id") % 3 == 0, parts).when(F.col("conv_id") % 3 == 1, plain).otherwise(F.to_json(F.struct(text.alias("message"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(c.alias(k) for k, c in rows.message(raw).items()))
+
+
+@query("""WITH m AS (SELECT conv_id, string_agg('[w' || conv_id || '] ' || role || ': ' || trim(text, chr(32) || chr(9) || chr(10) || chr(13)), chr(10) ORDER BY turn) FILTER (trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> '') AS t FROM conversations GROUP BY conv_id)
+  SELECT 'raw_text' AS kind, CAST(item_id AS VARCHAR) AS id, length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS char_count FROM benchmark WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''
+  UNION ALL SELECT 'text', CAST(doc_id AS VARCHAR), length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) <> ''
+  UNION ALL SELECT 'chat_bundle', CAST(conv_id AS VARCHAR), length(t) FROM m WHERE t IS NOT NULL""")
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts, documents and bundles of messages as one table of documents; blank ones go."""
+    raw = table(spark, sf_dir, "benchmark").select(F.lit("raw_text").alias("kind"), F.col("item_id").cast("string").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").select(F.lit("text").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text")
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("id"), "turn", "role", "text", F.concat(F.lit("w"), F.col("conv_id").cast("string")).alias("window_title"))
+    return rows.as_documents(raw, docs, rows.bundle_texts(said, "id", "turn")).select("kind", "id", "char_count")
+
+
+@query("""SELECT file, CASE WHEN file = 'a.json' THEN 'json' WHEN ends_with(file, '.md') THEN 'document' ELSE 'raw_text' END AS kind, n FROM (SELECT ['a.json', 'b.json', 'c.md', 'd.txt'][doc_id % 4 + 1] AS file, count(*) AS n FROM documents GROUP BY 1)""")
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file is by its name; JSON that cannot be read falls back to raw text."""
+    file = one_of(["a.json", "b.json", "c.md", "d.txt"], "doc_id")
+    value = F.when(file == "a.json", '{"documents": []}').when(file == "b.json", "{broken").otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select(file.alias("file"), rows.file_kind(file, value).alias("kind")).groupBy("file", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT o_custkey AS bundle, count(*) FILTER (o_orderstatus = 'F') AS accepted_rows, count(*) FILTER (o_orderstatus = 'P') AS rejected_rows, count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 200000) AS hold_rows, count(*) FILTER (o_totalprice < 2000) = 0 AS sound FROM orders GROUP BY o_custkey)
+  SELECT *, CASE WHEN NOT sound THEN 'invalid_bundle' WHEN accepted_rows + rejected_rows + hold_rows > 0 THEN 'valid_bundle' ELSE 'valid_empty_bundle' END AS status,
+    CASE WHEN NOT sound THEN 'blocked_by_contract_errors' WHEN accepted_rows + rejected_rows + hold_rows = 0 THEN 'nothing_to_project' WHEN rejected_rows + hold_rows > 0 THEN 'ready_with_review_ledgers' ELSE 'ready' END AS readiness FROM b""")
+def bundle_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a bundle's ledgers, its status, and what can be done with it."""
+    s, price = F.col("o_orderstatus"), F.col("o_totalprice")
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("bundle")).agg(
+        F.count_if(s == "F").alias("accepted_rows"), F.count_if(s == "P").alias("rejected_rows"), F.count_if((s == "O") & (price > 200000)).alias("hold_rows"), (F.count_if(price < 2000) == 0).alias("sound"),
+    )
+    status, readiness = rows.readiness(F.col("accepted_rows"), F.col("rejected_rows") + F.col("hold_rows"), F.col("sound"))
+    return counts.select("*", status.alias("status"), readiness.alias("readiness"))
