@@ -166,3 +166,39 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == 1000
+
+
+def test_row_predicates(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import rows, signals
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert [one(signals.decision(F.lit(x))) for x in ("create", " PATCH", "merge_into", "hold", "archive", "add", "", None)] == ["new", "update", "merge", "skip", "delete", "add", "touch", "touch"]
+    assert [one(rows.source_label(F.lit(x))) for x in ("/srv/a/b.csv", "plain", "\\\\host\\share\\x.md", "//", None)] == ["b.csv", "plain", "x.md", "local_source", ""]
+    assert [one(rows.is_generic(F.lit(x))) for x in ("", None, "2024/5", "5月3日", "关系好", "River")] == [True, True, True, True, True, False]
+    assert [one(rows.iso_time(F.lit(x).cast("double"))) for x in (1700000000, 1700000000123, 0, None)] == ["2023-11-14T22:13:20.000Z", "2023-11-14T22:13:20.123Z", "", ""]
+    assert one(rows.uncovered(F.array(*map(F.lit, ["ab", "abc", "x", "b", "yx", "zz"])))) == ["ab", "x", "zz"]
+    got = {k: one(c) for k, c in rows.quotes(F.lit("user: a；user: A ; bot：b;c: d; e")).items()}
+    assert got == {"user": ["a"], "char": ["b"], "other": ["d", "e"]}
+    assert [one(signals.privacy_hit(F.lit(x))) for x in ("sk-" + "a" * 20, "see /home/x/y", "C:\\a", "sk-short", None)] == ["secret_like_api_key", "absolute_private_path", "absolute_private_path", None, None]
+
+
+def test_file_numbers_end_at_999(spark):
+    from threadloom.operators import signals
+
+    names = spark.range(1200).selectExpr("id", "'a' AS name")
+    got = [r["file_name"] for r in signals.numbered_names(names, "name", "id").orderBy("id").collect()]
+    assert got[:2] == ["a", "a_002"] and got[998] == "a_999" and set(got[999:]) == {None} and len(set(got)) == 1000
+
+
+def test_fallback_of_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    from threadloom.operators import rows
+
+    cards = spark.createDataFrame([(1, "a", "m"), (2, "b", "m"), (3, None, "m")], "card long, family string, kind string")
+    asked = spark.createDataFrame([("a", "m"), ("z", "m"), ("z", "n")], "family string, kind string")
+    got = sorted(tuple(r) for r in rows.exact_or_type(cards, asked, "family", "kind", [F.col("card")], 2).select("family", "kind", "card", "tier").collect())
+    assert got == [("a", "m", 1, "exact"), ("z", "m", 1, "type"), ("z", "m", 2, "type")]
+    assert rows.exact_or_type(cards.limit(0), asked, "family", "kind", [F.col("card")], 2).count() == 0

@@ -55,7 +55,7 @@ def span_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH i AS (SELECT event_id, user_id AS task, event_type AS digest FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY event_id) AS n, first_value(digest) OVER (PARTITION BY task ORDER BY event_id) AS head FROM i)
   SELECT CASE WHEN n = 1 THEN 'write' WHEN digest = head THEN 'replay' ELSE 'conflict' END AS outcome, count(*) AS n FROM f GROUP BY outcome""")
 def submission_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V6, V8: first writes, replays and conflicts of submissions."""
+    """V6: first writes, replays and conflicts of submissions."""
     i = table(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), F.col("user_id").alias("task"), F.col("event_type").alias("digest"))
     return state.submissions(i, i.limit(0), "task", "digest").groupBy("outcome").agg(F.count("*").alias("n"))
 
@@ -69,7 +69,7 @@ def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT coalesce(s_suppkey, c_custkey) AS id, CASE WHEN s_suppkey IS NOT NULL THEN s_name ELSE c_name END AS name FROM customer FULL JOIN supplier ON s_suppkey = c_custkey""")
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows replaced by key or added."""
+    """Rows replaced by key or added."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return state.upsert(c, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), "id")
 
@@ -82,7 +82,7 @@ def ledger_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'hold' AS ledger, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 0 UNION ALL SELECT 'rejected', count(*) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1""")
 def review_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ledgers as one."""
+    """Two ledgers as one."""
     d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
     rows = d.where("quality = 0").select(F.lit("hold").alias("ledger")).unionByName(d.where("toxic = 1").select(F.lit("rejected").alias("ledger")))
     return rows.groupBy("ledger").agg(F.count("*").alias("n"))
@@ -110,7 +110,7 @@ def reviewed_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT shape, count(*) AS n FROM (SELECT CASE conv_id % 4 WHEN 0 THEN 'messages' WHEN 1 THEN 'window_array' WHEN 2 THEN 'documents' ELSE 'text' END AS shape FROM conversations) GROUP BY shape""")
 def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shape of exports in JSON, broken JSON is text."""
+    """The shape of exports in JSON, broken JSON is text."""
     body = F.to_json(F.struct(F.array(F.struct("role", "text")).alias("messages")))
     k = F.col("conv_id") % 4
     made = F.when(k == 0, body).when(k == 1, F.concat(F.lit("["), body, F.lit("]"))).when(k == 2, F.to_json(F.struct(F.array(F.struct("text")).alias("documents")))).otherwise(F.concat(F.lit("{"), "text"))

@@ -198,7 +198,7 @@ def monthly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
   s AS (SELECT l_orderkey, cue, sum(p) AS points FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY points DESC, cue) AS rank FROM s)
   SELECT l_orderkey, cue, CAST(points AS BIGINT) AS points, rank FROM r WHERE rank <= 2""")
 def weighted_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted cues, the best two of each cluster."""
+    """Weighted cues, the best two of each cluster."""
     w = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("cue"), F.when(F.col("l_linenumber") <= 2, 2).otherwise(1).alias("p"))
     s = w.groupBy("l_orderkey", "cue").agg(F.sum("p").alias("points"))
     return ranking.top_k(s, ["l_orderkey"], [F.desc("points"), F.col("cue")], 2).where("selected").select("l_orderkey", "cue", "points", F.col("rank").cast("long").alias("rank"))
@@ -236,7 +236,7 @@ def latest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT conv_id, turn, CASE WHEN role = 'assistant' AND length(text) <= 400 AND NOT regexp_matches(text, '[？?]$') AND regexp_matches(text, '(the|and|of)') THEN 'memory' WHEN role = 'user' AND regexp_matches(text, '(with|from|that)') THEN 'rule' ELSE 'other' END AS kind FROM conversations""")
 def sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicates of lines worth keeping, as an ordered case."""
+    """Predicates of lines worth keeping, as an ordered case."""
     memory = (F.col("role") == "assistant") & (F.length("text") <= 400) & ~F.col("text").rlike("[？?]$") & F.col("text").rlike("(the|and|of)")
     return messages(spark, sf_dir).select("conv_id", "turn", F.when(memory, "memory").when((F.col("role") == "user") & F.col("text").rlike("(with|from|that)"), "rule").otherwise("other").alias("kind"))
 

@@ -89,7 +89,7 @@ def point_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, CAST(8 * CAST(p_size IN (1, 5, 9) AS INT) + 10 * CAST(p_brand IN ('Brand#11', 'Brand#23') AS INT) + 6 * CAST(p_type LIKE '%STEEL%' AS INT) AS BIGINT) AS points FROM part
   WHERE p_size IN (1, 5, 9) OR p_brand IN ('Brand#11', 'Brand#23') OR p_type LIKE '%STEEL%'""")
 def signal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows scored against small sets of signals."""
+    """Rows scored against small sets of signals."""
     points = F.when(F.col("p_size").isin(1, 5, 9), 8).otherwise(0) + F.when(F.col("p_brand").isin("Brand#11", "Brand#23"), 10).otherwise(0) + F.when(F.col("p_type").contains("STEEL"), 6).otherwise(0)
     return table(spark, sf_dir, "part").select("p_partkey", points.cast("long").alias("points")).where("points > 0")
 
@@ -128,7 +128,7 @@ def nearby_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""")
 def scope_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scopes with what each layer holds; the layers are counted before they meet."""
+    """Scopes with what each layer holds; the layers are counted before they meet."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.countDistinct("c_custkey").alias("customers"))
     s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.countDistinct("s_suppkey").alias("suppliers"))
@@ -147,6 +147,6 @@ def lineage_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, coalesce(string_agg(DISTINCT role, '|' ORDER BY role), '') AS roles, count(*) AS n_spans, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS primary_spans FROM conversations GROUP BY conv_id""")
 def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence of each window."""
+    """Evidence of each window."""
     m = table(spark, sf_dir, "conversations")
     return m.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_set("role")), "|").alias("roles"), F.count("*").alias("n_spans"), F.count_if(F.col("role") == "user").alias("primary_spans"))

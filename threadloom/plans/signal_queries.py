@@ -145,7 +145,7 @@ def scope_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(k, 'steel|tin') THEN 'metal' WHEN regexp_matches(k, 'brushed|polished') THEN 'finish' ELSE k END AS fact_key FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS k FROM part)""")
 def fact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """normalised keys, and the canonical ones among them."""
+    """normalised keys, and the canonical ones among them."""
     k = text.fact_key("p_type")
     return table(spark, sf_dir, "part").select("p_partkey", F.when(k.rlike("steel|tin"), "metal").when(k.rlike("brushed|polished"), "finish").otherwise(k).alias("fact_key"))
 
@@ -159,14 +159,14 @@ def distinct_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, count(*) AS n, count(*) FILTER (json_valid(props)) AS valid_props FROM events GROUP BY event_type""")
 def json_blob_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """balanced JSON inside text, found by a pandas function."""
+    """balanced JSON inside text, found by a pandas function."""
     e = table(spark, sf_dir, "events").select("event_type", parsing.json_blobs(F.concat(F.lit("before {broken "), F.lit("} "), "props", F.lit(" after"))).alias("blobs"))
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.size("blobs")).cast("long").alias("valid_props"))
 
 
 @query("""SELECT conv_id, count(*) AS n_entries, min(role) AS first_anchor FROM conversations GROUP BY conv_id""")
 def entry_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes in the entry grammar, written and parsed again."""
+    """notes in the entry grammar, written and parsed again."""
     note = F.concat(F.lit("### ENTRY\nanchor: "), "role", F.lit("\nname: w"), F.col("turn").cast("string"), F.lit("\nmore of it\n"))
     whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(note), "").alias("note"))
     return whole.select("conv_id", F.explode(parsing.entries("note")).alias("e")).groupBy("conv_id").agg(F.count("*").alias("n_entries"), F.min(F.col("e")["anchor"]).alias("first_anchor"))
@@ -175,7 +175,7 @@ def entry_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem GROUP BY ALL), s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0), p AS (SELECT p_partkey FROM part WHERE p_size > 10)
   SELECT a, count(*) AS n_links FROM e JOIN s ON s_suppkey = a JOIN p ON p_partkey = b GROUP BY a""")
 def displayed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges both of whose ends are shown."""
+    """Edges both of whose ends are shown."""
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
     s = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("a"))
     p = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("b"))

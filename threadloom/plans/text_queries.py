@@ -134,7 +134,7 @@ def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     list_filter(list_transform(string_split_regex(lower(term), '[\s=；;，,。.!！？?、|/:：()\[\]{}（）"''“”‘’\-]+'), lambda x: regexp_replace(x, '[\s\p{P}\p{S}]+', '', 'g')), lambda x: length(x) >= 3) AS seg FROM q JOIN d USING (item_id))
   SELECT item_id, CASE WHEN contains(c, w) THEN 1.0 ELSE coalesce(round(list_sum(list_transform(list_filter(seg, lambda x: contains(c, x)), lambda x: length(x))) / nullif(list_sum(list_transform(seg, lambda x: length(x))), 0), 4), 0) END AS share FROM p""")
 def term_corpus_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """how much of each item a corpus (the item before and its own first half) holds."""
+    """how much of each item a corpus (the item before and its own first half) holds."""
     b = table(spark, sf_dir, "benchmark")
     before = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("before"))
     corpus = F.concat_ws(" ", F.coalesce("before", F.lit("")), F.expr("substring(text, 1, length(text) div 2)"))
