@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,15 @@ def sliced(batch: pa.RecordBatch, at: int, most: int = SLICE_BYTES) -> Iterator[
         first = last
 
 
+def trimmed() -> None:
+    """Give memory that is free in this process back to the machine: workers are used again by later stages, and what the
+    allocators hold of large arrays adds up with the next stage's own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of the texts (as bytes), the number of each word among them in order, and how many words each text has.
 

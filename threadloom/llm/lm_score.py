@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, sliced, table, width, word_hashes, written
+from .common import light_batches, sliced, table, trimmed, width, word_hashes, written
 from .ef_trie import Trie, quantised
 
 BLOCK_TOKENS, SHARD_TOKENS, FREQUENT = 2_000_000, 800_000, 0.002
@@ -85,8 +85,10 @@ def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
         ids, tokens, size = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lengths = np.array([len(t) for t in tokens], np.uint32)
-            words, local = np.unique(np.concatenate(tokens), return_inverse=True)
+            lengths, all_ = np.array([len(t) for t in tokens], np.uint32), np.concatenate(tokens)
+            tokens.clear()
+            words, local = np.unique(all_, return_inverse=True)
+            del all_
             shard = (words % np.uint64(word_shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")  # local numbers run through the word shards in turn
             place = np.empty(len(order), np.uint32)
@@ -107,9 +109,11 @@ def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
                 size += n + 1
                 if size >= BLOCK_TOKENS:
                     yield from flush()
-                    ids, tokens, size, number = [], [], 0, number + 1
+                    trimmed()
+                    ids, size, number = [], 0, number + 1
         if ids:
             yield from flush()
+        trimmed()
 
     return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, blob binary, words binary")
 
@@ -217,15 +221,22 @@ def _distinct(local: np.ndarray, lengths: np.ndarray, n_words: int) -> tuple[np.
     the n-gram at each place."""
     at, begins = _followers(local, lengths), _begins(lengths)
     x = local.astype(np.int64)
-    u, w, v = x[at - 1], x[at], x[at - 2]
+    v = x[at - 2]
     second = np.zeros(len(x), bool)
     second[begins[lengths > 1] + 1] = True
     v[second[at]] = n_words
     bits = max(1, int(n_words).bit_length())
     if 3 * bits <= 63:
-        keys, back = np.unique(u << 2 * bits | v << bits | w, return_inverse=True)
+        keys = x[at - 1] << bits
+        keys |= v
+        del v
+        keys <<= bits
+        keys |= x[at]
+        del x
+        keys, back = np.unique(keys, return_inverse=True)
         mask = (1 << bits) - 1
-        return keys >> 2 * bits, keys >> bits & mask, keys & mask, at, back
+        return keys >> 2 * bits, keys >> bits & mask, keys & mask, at, back.astype(np.uint32)
+    u, w = x[at - 1], x[at]
     order = np.lexsort((w, v, u))  # a block with more than two million distinct words
     u, v, w = u[order], v[order], w[order]
     new = np.ones(len(u), bool)
@@ -249,10 +260,12 @@ def scores(docs: DataFrame) -> DataFrame:
     types_after = sum(after, np.zeros(len(often), np.int64))
 
     def spread(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        trimmed()
         right = right.sort_values("shard")
         words = right["shard"].to_numpy() < word_shards
         known = [_unpack(x) for x in right["blob"][words]]
         word, c = np.concatenate([k[0] for k in known]), np.concatenate([k[1] for k in known])
+        del known
         doc, some, out, lengths, local = _unpack(left["blob"].iloc[0])
         begins, cw = _begins(lengths), c[local]
         p1 = np.log10(c + 1) - unit  # by local number
@@ -273,17 +286,21 @@ def scores(docs: DataFrame) -> DataFrame:
             p2 = np.rint(p2 / -step).astype(np.uint32)  # unseen pairs are beyond 16 bits; the trie stores seen ones only
             fixed = np.append(frequent, False)[u]
             low[fixed] = p2[np.searchsorted(keys, u[fixed] << 32 | w[fixed])]
+            del p2, c2, kinds, fixed
+        del keys, cw
         given = np.append(frequent, False)
         ids_ = np.append(word, START)
         given, u, v, w = given[u], ids_[u], ids_[v], word[w]
         mixed = (u * 0x9E3779B1 + np.where(given, v + 1, 0) * 0x85EBCA77) & 0x7FFFFFFF
-        shard = mixed * 40503 % 2147483647 % shards
+        shard = (mixed * 40503 % 2147483647 % shards).astype(np.int32)
+        del mixed
         order = np.argsort(u << 32 | v)
         order = order[np.argsort(shard[order], kind="stable")]  # by shard, u, v: steps from one to the next are small
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         met = np.bincount(back, minlength=len(u)).astype(np.uint32)[order]
         whose = np.repeat(np.arange(len(doc), dtype=np.uint32), lengths)[at][np.argsort(rank[back], kind="stable")]  # documents, n-gram by n-gram
+        del rank, back, at
         ends = np.concatenate([[0], np.cumsum(met, dtype=np.int64)])
         for s, run in zip(*_runs(shard[order]), strict=True):
             i = order[run]
@@ -295,6 +312,7 @@ def scores(docs: DataFrame) -> DataFrame:
     def look_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return pdf[["block", "blob"]].assign(shard=-1)
+        trimmed()
         homes, columns = [], []
         for blob in pdf["blob"]:
             u, v, seen, code, nth, count, g, exact, met, whose = _unpack(blob)
