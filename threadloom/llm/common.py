@@ -56,6 +56,14 @@ def sliced(batch: pa.RecordBatch, at: int, most: int = SLICE_BYTES) -> Iterator[
         first = last
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """All batches of a task, ``sliced``; what the worker's task before has left is given back first."""
+    trimmed()
+    for batch in batches:
+        yield from sliced(batch, at)
+    trimmed()
+
+
 def trimmed() -> None:
     """Give memory that is free in this process back to the machine: workers are used again by later stages, and what the
     allocators hold of large arrays adds up with the next stage's own."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import light_batches, sliced, table, written
+from .common import light_batches, slices, table, written
 
 #: Bytes of words: digits, letters, all of UTF-8's others; A-Z become a-z, the rest is a blank.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -132,7 +132,7 @@ def _clean(docs: DataFrame, block: list) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(*sent.value)
-        for b in (part for batch in batches for part in sliced(batch, at)):
+        for b in slices(batches, at):
             stay = []
             for t in b.column(at).to_pylist():
                 w = words(t)
@@ -169,7 +169,7 @@ def _scan(docs: DataFrame, block: list, again: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, patterns = sent.value
         automaton = _automaton(key, patterns) if patterns else None
-        for b in (part for batch in batches for part in sliced(batch, at)):
+        for b in slices(batches, at):
             out = {n: [] for n in names}
             for k, t in enumerate(b.column(at).to_pylist()):
                 n, hits, items = hits_of(t, automaton)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, sliced, table, trimmed, width, word_hashes, written
+from .common import light_batches, slices, table, trimmed, width, word_hashes, written
 from .ef_trie import Trie, quantised
 
 BLOCK_TOKENS, SHARD_TOKENS, FREQUENT = 2_000_000, 800_000, 0.002
@@ -100,7 +100,7 @@ def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
             row = number, _pack(doc, known.view(np.uint8), out.view(np.uint8), lengths, local), words.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "blob", "words"])
 
-        for b in (part for batch in batches for part in sliced(batch, 1)):
+        for b in slices(batches, 1):
             hashes, lengths = word_hashes(b.column(1))
             ends = np.cumsum(lengths)
             for doc, n, to in zip(b.column(0).to_pylist(), lengths.tolist(), ends.tolist(), strict=True):
@@ -113,7 +113,6 @@ def blocks(docs: DataFrame, word_shards: int) -> DataFrame:
                     ids, size, number = [], 0, number + 1
         if ids:
             yield from flush()
-        trimmed()
 
     return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, blob binary, words binary")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, sliced, table
+from .common import light_batches, slices, table
 
 #: Fixed values of the format: kbit/s by (MPEG-1?, layer), Hz by version bits.
 BITRATES = {
@@ -205,17 +205,16 @@ def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
     keep = COLUMNS if with_media else COLUMNS[:-2]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in sliced(b, 1):
-                rows = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    media = store(raw + bytes([PAD]) * (BLOCK - len(raw) if len(raw) < BLOCK else -len(raw) % BLOCK))
-                    seen = inspect(media)
-                    back = load(media, seen)
-                    rows.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(seen), float(seen["duration"]), media, [k for _, k in seen["seek"]])[: len(keep)])
-                columns = list(zip(*rows, strict=True)) or [[]] * len(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, keep, strict=True)], [n for n, _ in keep])
+        for part in slices(batches, 1):
+            rows = []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                media = store(raw + bytes([PAD]) * (BLOCK - len(raw) if len(raw) < BLOCK else -len(raw) % BLOCK))
+                seen = inspect(media)
+                back = load(media, seen)
+                rows.append((doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(seen), float(seen["duration"]), media, [k for _, k in seen["seek"]])[: len(keep)])
+            columns = list(zip(*rows, strict=True)) or [[]] * len(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, keep, strict=True)], [n for n, _ in keep])
 
     return light_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(make, ", ".join(SCHEMA.split(", ")[: len(keep)]))
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, light_batches, sliced, table, word_hashes, written
+from .common import kept, light_batches, slices, table, word_hashes, written
 
 WORDS, PERMS, SMALL, MISSED = 5, 128, 16, 5e-7
 SKETCH = "doc_id long, row_key long, n long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.arange(0, 64, 2, dtype=np.uint64)
-        for b in (part for batch in batches for part in sliced(batch, 1)):
+        for b in slices(batches, 1):
             ns, keys, mins = [], [], np.zeros((b.num_rows, PERMS), np.uint64)
             for i, found in enumerate(shingle_sets(b.column(1))):
                 ns.append(len(found))
@@ -254,14 +254,13 @@ def _sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in sliced(b, 1):
-                ids, out = [], []
-                for i, key, found in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1)), strict=True):
-                    if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == key:
-                        ids.append(i)
-                        out.append(found.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "found"])
+        for part in slices(batches, 1):
+            ids, out = [], []
+            for i, key, found in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(1)), strict=True):
+                if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == key:
+                    ids.append(i)
+                    out.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "found"])
 
     need = reps.select("id", "doc_id", "set_key").join(wanted, "id", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(need, "doc_id").select("id", "text", "set_key")

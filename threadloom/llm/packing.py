@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import light_batches, sliced, table, words_of, written
+from .common import light_batches, slices, table, words_of, written
 
 WINDOW, END, GROUP_ROWS, CACHE = 2048, 1, 4000, 250_000
 #: A comma or full stop at the end of a word; it is a piece of its own, and words without it are fewer.
@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, cache: int = C
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = chunk_ids(tokenizer, cache), END.to_bytes(4, "little")
-        for part in (p for b in batches for p in sliced(b, 1)):
+        for part in slices(batches, 1):
             out = [[], [], [], [], []]
             flat, sizes = ids_of(part.column(1))
             flat, at = flat.tobytes(), 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import light_batches, sliced, table
+from .common import light_batches, slices, table
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns of the contract; the lengths are those that matches need to count.
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, drop_text: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for b in (part for batch in batches for part in sliced(batch, at)):
+        for b in slices(batches, at):
             found = [find_spans(t, novelty) for t in b.column(at).to_pylist()]
             spans = pa.array([[{"kind": k, "start": x, "end": y, "marginal_bytes": z} for x, y, k, z in s] for s in found], SPAN_ARROW)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), spans], [*names, "spans"])
@@ -173,7 +173,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for b in (part for batch in batches for part in sliced(batch, at)):
+        for b in slices(batches, at):
             texts, columns = b.column(at).to_pylist(), list(b.columns)
             found = [find_spans(t, novelty) for t in texts]
             if any(found):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import light_batches, sliced, table, words_of
+from .common import light_batches, slices, table, words_of
 from .near_dup import shingle_sets
 
 BITS, THRESHOLD, CACHE, STEPS = 18, 0.3, 200_000, 64
@@ -294,19 +294,18 @@ def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         index = Potentials(m)
-        for b in batches:
-            for part in sliced(b, at):
-                u, closes, ends = index.of(part.column(at))
-                odds = marginals(u, *sequences(closes, ends), m.moves)[0]
-                score = 1 / (1 + np.exp(-np.clip(evidence(odds, ends) @ m.curve, -30, 30)))
-                if not added:
-                    yield part.filter(pa.array(score < THRESHOLD))
-                    continue
-                more = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
-                if with_spans:
-                    begins = np.concatenate([[0], ends[:-1]])
-                    more.append(pa.array([_offsets(t, odds[i:j]) if (odds[i:j] > 0).any() else [] for t, i, j in zip(part.column(at).to_pylist(), begins, ends, strict=True)], span))
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
+        for part in slices(batches, at):
+            u, closes, ends = index.of(part.column(at))
+            odds = marginals(u, *sequences(closes, ends), m.moves)[0]
+            score = 1 / (1 + np.exp(-np.clip(evidence(odds, ends) @ m.curve, -30, 30)))
+            if not added:
+                yield part.filter(pa.array(score < THRESHOLD))
+                continue
+            more = [pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))]
+            if with_spans:
+                begins = np.concatenate([[0], ends[:-1]])
+                more.append(pa.array([_offsets(t, odds[i:j]) if (odds[i:j] > 0).any() else [] for t, i, j in zip(part.column(at).to_pylist(), begins, ends, strict=True)], span))
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*names, *added])
 
     return light_batches(docs).mapInArrow(run, schema)
 
