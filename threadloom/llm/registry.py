@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, link_graph, lm_score, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, toxic_crf
+from . import chat_trees, decontaminate, link_graph, lm_score, merkle_manifest, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, toxic_crf
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_link_graph": link_graph.op8_link_graph,
     "op9_packing": packing.op9_packing,
     "op10_toxic_crf": toxic_crf.op10_toxic_crf,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
     "op2_chat_trees": chat_trees.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
