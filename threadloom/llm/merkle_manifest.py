@@ -273,7 +273,7 @@ def _sql() -> str:
     say = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
     hashed = lambda text: f"sha256({' || '.join(map(say, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
     k = 5  # levels: a million rows a source, and as many sources
-    crc = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), i -> ord((doc_id::VARCHAR)[i])::BIGINT)), (c, b) -> xor(c >> 8, bits[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+    crc = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)), lambda c, b: xor(c >> 8, bits[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
     return f"""
 WITH RECURSIVE steps AS (SELECT range AS i, 0 AS k, range::BIGINT AS v FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END FROM steps WHERE k < 8),
 bits AS (SELECT list(v ORDER BY i) AS bits FROM steps WHERE k = 8),
