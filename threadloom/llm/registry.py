@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, link_graph, lm_score, merkle_manifest, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, toxic_crf
+from . import chat_trees, decontaminate, link_graph, lm_score, merkle_manifest, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, token_alignment, toxic_crf
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_link_graph": link_graph.op8_link_graph,
     "op9_packing": packing.op9_packing,
     "op10_toxic_crf": toxic_crf.op10_toxic_crf,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
