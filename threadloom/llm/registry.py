@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_trees, decontaminate, link_graph, lm_score, merkle_manifest, mpeg_audio, near_dup, packing, secret_novelty, shuffle_matrix, token_alignment, toxic_crf
+from . import chat_trees, decontaminate, link_graph, lm_score, merkle_manifest, mpeg_audio, near_dup, packing, quality_llr, secret_novelty, shuffle_matrix, token_alignment, toxic_crf
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_toxic_crf": toxic_crf.op10_toxic_crf,
     "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_quality_llr": quality_llr.op12_quality_llr,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 ORACLES = {
     "op2_chat_trees": chat_trees.ORACLE,
+    "op12_quality_llr": quality_llr.ORACLE,
     "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
