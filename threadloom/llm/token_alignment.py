@@ -64,7 +64,8 @@ def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group numbers, in order, of the tokens of A and B, from the byte offsets where they end (the last ones are equal)."""
-    bounds = np.union1d(ends_a, ends_b)
+    bounds = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs, merged
+    bounds = bounds[np.concatenate([bounds[1:] != bounds[:-1], [True]])] if len(bounds) else bounds
     a, b = np.searchsorted(ends_a, bounds), np.searchsorted(ends_b, bounds)  # each stretch between bounds is in one token of A and one of B
     root = components(len(ends_a) + len(ends_b), a, len(ends_a) + b)
     at = np.cumsum(root == np.arange(len(root))) - 1  # roots are tokens of A, as those come first
@@ -93,6 +94,14 @@ def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+def lengths(*lists: list[list[int]]) -> Iterator[np.ndarray]:
+    return (np.fromiter(map(len, x), np.int64, len(x)) for x in lists)
+
+
+def flats(*lists: list[list[int]]) -> Iterator[np.ndarray]:
+    return (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in lists)
+
+
 class Aligner:
     """Chunks' tokens of both tokenizers, their groups and their links; see the module's text."""
 
@@ -105,9 +114,10 @@ class Aligner:
         self.a.encode_special_tokens = True
         letters = {c: b for b, c in byte_letters().items()}
         entries = {i: e for e, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_a = {i: bytes(map(letters.__getitem__, e)) for i, e in entries.items() if all(c in letters for c in e)}
+        self.bytes_a = [bytes(letters.get(c, 0) for c in entries.get(i, "")) for i in range(max(entries) + 1)]  # special entries never come up
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         self.whole = any(map(ACROSS.search, pieces))
         self.head = self.b.encode("x")
         self.many = len(pieces)
@@ -133,15 +143,21 @@ class Aligner:
             b = self.b.encode([c[1:] for c in chunks], num_threads=1)
         else:
             b = [ids[len(self.head) :] for ids in self.b.encode(["x" + c for c in chunks], num_threads=1)]
-        of_a, of_b, good = self.bytes_a, self.bytes_b, []
-        for c, x, y in zip(chunks, a, b, strict=True):
-            raw = c.encode()
-            good.append(b"".join([of_b[i] for i in y]) == raw and b"".join([of_a.get(i, b"") for i in x]) == raw)
-        a, b = [x if g else [] for x, g in zip(a, good, strict=True)], [y if g else [] for y, g in zip(b, good, strict=True)]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
-        ends_a = np.cumsum(np.fromiter((len(of_a[i]) for i in flat_a.tolist()), np.int64, len(flat_a)))
-        ends_b = np.cumsum(np.fromiter((len(of_b[i]) for i in flat_b.tolist()), np.int64, len(flat_b)))
+        n_a, n_b, flat_a, flat_b = *lengths(a, b), *flats(a, b)
+        raw = [c.encode() for c in chunks]
+        size_a, size_b = self.length_a[flat_a], self.length_b[flat_b]
+        owner_a, owner_b = np.repeat(np.arange(len(chunks)), n_a), np.repeat(np.arange(len(chunks)), n_b)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        same = (np.bincount(owner_a, size_a, minlength=len(raw)) == size) & (np.bincount(owner_b, size_b, minlength=len(raw)) == size)
+        joined = [b"".join(map(of.__getitem__, flat.tolist())) for of, flat in ((self.bytes_a, flat_a), (self.bytes_b, flat_b))]
+        if not same.all() or joined[0] != joined[1] or joined[0] != b"".join(raw):
+            said = [[b"".join([of[i] for i in ids]) for ids in x] for of, x in ((self.bytes_a, a), (self.bytes_b, b))]
+            same = np.array([x == y == c for x, y, c in zip(*said, raw, strict=True)], bool)
+            a, b = [x if g else [] for x, g in zip(a, same, strict=True)], [y if g else [] for y, g in zip(b, same, strict=True)]
+            n_a, n_b, flat_a, flat_b = *lengths(a, b), *flats(a, b)
+            size_a, size_b = self.length_a[flat_a], self.length_b[flat_b]
+        good = same.tolist()
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
         group_a, group_b = aligned(ends_a, ends_b)
         (start_a, size_a), (start_b, size_b) = runs(group_a), runs(group_b)
         chunk_of = np.repeat(np.arange(len(chunks)), n_a)[start_a] if len(start_a) else start_a  # of each group
@@ -157,7 +173,7 @@ class Aligner:
         owner, pairs, times = summed(np.repeat(chunk_of[g_a], n) if len(g_a) else g_a, pairs, times)
         said_a, said_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
         groups = [
-            f"{','.join(said_a[i : i + p])}|{','.join(said_b[j : j + q])}" for i, p, j, q in zip(start_a.tolist(), size_a.tolist(), start_b.tolist(), size_b.tolist(), strict=True)
+            f"{said_a[i]}|{said_b[j]}" if p == q == 1 else f"{','.join(said_a[i : i + p])}|{','.join(said_b[j : j + q])}" for i, p, j, q in zip(start_a.tolist(), size_a.tolist(), start_b.tolist(), size_b.tolist(), strict=True)
         ]
         ends, first = np.cumsum(n_groups).tolist(), 0
         base = len(self.text)
