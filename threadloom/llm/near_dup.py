@@ -7,10 +7,10 @@ class; only one representative of each class goes on.
 Candidates share a band key. Four centres of each bucket (the least id and three at random) are compared with its
 members, which is linear in the bucket; the best two by the collision-corrected estimate are confirmed on full sets.
 That already ties dense groups together. What may still be missing are links between different components: small
-buckets compare all such pairs by estimate, members of buckets over ``small`` are compared by a prefix filter, which
-is exact: two sets that are similar enough share one of their rarest shingles (the first n - ceil(t n) + 1), with enough
-left after it. So no
-bucket is capped, and no group is expanded into all its pairs. All links are confirmed on full sets.
+buckets compare all such pairs by estimate; members of buckets over ``small`` meet by a prefix filter that loses no pair (two sets that
+are similar enough share one of their rarest shingles, the first n - ceil(t n) + 1, with enough left after it) and then by the
+same estimate, which passes a pair at the threshold but for a chance of 3e-7. So no bucket is capped, and no group is expanded
+into all its pairs. All links are confirmed on full sets.
 
 The similarity that links two documents is a parameter in per cent; op5 asks for 85, the pipeline's stage for 80. The bands
 and the least estimate that is worth confirming follow from it: a pair at the threshold misses all bands with a chance below
@@ -149,7 +149,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("id").alias("a"), F.col("found").alias("found_a")), sets.select(F.col("id").alias("b"), F.col("found").alias("found_b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long")
+    return light_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "found_a", "found_b")).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

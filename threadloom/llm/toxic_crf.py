@@ -154,7 +154,7 @@ def _token_labels(texts: list[str], toxic: list[bool]) -> set[str]:
     seen, kept = set(), ([], [])
     for text, y in zip(texts, toxic, strict=True):
         found = next(shingle_sets(pa.array([text], pa.string())))
-        key = (y, int((found[:4096] * np.uint64(0x9E3779B97F4A7C15)).min())) if len(found) else None
+        key = (y, int((found * np.uint64(0x9E3779B97F4A7C15)).min())) if len(found) else None
         if key not in seen:
             seen.add(key)
             kept[y].append(text)
@@ -237,7 +237,8 @@ def checksum(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int, sample_chars: int) -> tuple[list[str], list[int]]:
     """Whole texts and labels of training rows (crc32 of doc_id mod 4 is not 2), bounded as the arguments say: no more rows
-    than documents asked for, as a doc_id gives one text (the shortest, then the least), and no text that does not fit."""
+    than documents asked for, as a doc_id gives one text (the shortest, then the least); by the checksum of their ids, rows are taken
+    until their texts have ``sample_chars`` characters, so long and short ones are as likely to be in."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.pmod(checksum(F.col("doc_id")), F.lit(4)) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda t, n: known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = pick(1, sample_toxic).unionByName(pick(0, sample_clean)).select(F.col("doc_id").alias("id_"), "toxic")
@@ -245,9 +246,10 @@ def sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean:
     sizes = texts.groupBy("id_").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("r")).select("id_", "r.n", "r.h").collect()
     fits, left = [], sample_chars
     for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r["id_"]).encode()), r["id_"])):
-        if r["n"] <= left:
-            left -= r["n"]
-            fits.append((r["id_"], r["h"]))
+        left -= r["n"]
+        if left < 0:  # the rows end here, whatever the lengths of those after
+            break
+        fits.append((r["id_"], r["h"]))
     if not fits:
         return [], []
     wanted = docs.sparkSession.createDataFrame(fits, "id_ long, h long")
@@ -312,6 +314,6 @@ def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
 
 def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = tag(docs, train(docs, table(spark, sf_dir, "labels")), with_spans=False)
+    scored = tag(docs, train(docs, table(spark, sf_dir, "labels")))
     held_out = F.pmod(checksum(F.col("doc_id")), F.lit(4)) == 2
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
