@@ -1,10 +1,12 @@
 """Small literal fixtures: the traps of the evidence operators, and invariants."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import ids, text
-from threadloom.operators import bundle, chunking, compaction, growth, ranking, relations, shape, state, timeline
+from threadloom.operators import bundle, chunking, compaction, growth, ranking, relations, rows, shape, state, timeline
 from threadloom.sources import files
 from threadloom.streaming.submissions import applied_once, windowed_counts
 
@@ -26,8 +28,8 @@ def test_distinct_identities(spark):
 
 
 def test_texts(spark):
-    assert one(spark, text.safe_text("x"), x="　 a \t\n") in ("a", "　 a")  # Java's white space is ASCII
-    assert one(spark, text.clip("x", 4), x="ab  cdef") == "ab c..."
+    assert one(spark, text.safe_text("x"), x="　 a \t\n") == "a"
+    assert one(spark, text.preview("x", 4), x="ab  cdef") == "ab c..."
     assert one(spark, text.path_segment("x"), x=" a / b\\c ") == "a_b_c"
     assert one(spark, text.path_segment("x"), x="//") == "unnamed"
     assert one(spark, text.utf16_length("x"), x="a😀中") == 4
@@ -47,7 +49,7 @@ def test_chat_lines(spark):
 
 def test_corpus_share(spark):
     share = lambda t, c: one(spark, text.corpus_share(F.col("t"), F.col("c")), t=t, c=c)
-    assert (share("Blue house", "a BLUE-house here"), share("blue green", "blue"), share("", "x"), share("ab", "xy")) == (1.0, 0.4444, 0.0, 0.0)
+    assert (share("Blue house", "a BLUE-house here"), share("blue green", "blue"), share("", "x"), share("ab", "xy")) == (1.0, 0.5, 0.0, 0.0)  # one of two signals beats 4 of 9 letters
 
 
 def test_packing_and_batches(spark):
@@ -202,3 +204,31 @@ def test_fallback_of_empty_tables(spark):
     got = sorted(tuple(r) for r in rows.exact_or_type(cards, asked, "family", "kind", [F.col("card")], 2).select("family", "kind", "card", "tier").collect())
     assert got == [("a", "m", 1, "exact"), ("z", "m", 1, "type"), ("z", "m", 2, "type")]
     assert rows.exact_or_type(cards.limit(0), asked, "family", "kind", [F.col("card")], 2).count() == 0
+
+
+def test_rules_of_texts_by_hand(spark):
+    """Values worked out from the rules, beside the SQL of their queries."""
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    share = lambda a, b: one(text.corpus_share(F.lit(a), F.lit(b)))
+    assert share("hello world zebra zebra", "well hello there") == 0.72
+    assert (share("ab", "xx ab"), share("", "a"), share("a", " . "), share("ab cd", "ab xy")) == (1.0, 0.0, 0.0, 0.5)
+    assert share("关系状态", "这个状态") == round(1 / 6, 4)  # one of its six 2- to 4-grams
+    assert one(text.term_score("foo,bar", text.compact_words(F.lit("x foo bar y")))) == 1.0
+    assert one(text.term_score("foo, nothing", text.compact_words(F.lit("x foo")))) == round(3 / 10, 4)
+    assert one(F.length(text.safe_text(F.lit("　x ﻿ ")))) == 1
+    assert (one(text.clip(F.lit("ab  cd ef"), 4)), one(text.preview(F.lit("ab  cd ef"), 4)), one(text.clip_block(F.lit("ab\ncdef"), 6))) == ("ab…", "ab c...", "ab\ncd…")
+    assert one(text.clip_note(F.lit("**a** `b` [object Object]> c d"), 5)) == "a b …"
+    assert one(text.excerpt(F.lit("# t\nbody [EXTRACT_META]x\ny[/EXTRACT_META] end"), 40)) == "body end"
+    message = lambda raw: one(F.to_json(F.struct(*(c.alias(k) for k, c in rows.message(F.lit(raw)).items()))))
+    get = lambda raw, key: json.loads(message(raw))[key]
+    assert get('{"content":"A","text":"B"}', "content") == "A" and get('{"content":{"parts":["a",null,"b"],"text":"t"}}', "content") == "a\n\nb"
+    assert get('{"content":{"parts":[" "]},"text":"B"}', "content") == "" and get('{"content":{"text":"T"},"text":"B"}', "content") == "T"
+    assert get('{"text":"","message":"m"}', "content") == "m" and get('{"create_time":1735689600000,"ts":5}', "ts") == 1735689600
+    assert get('{"time":"2025-01-01T00:00:00Z"}', "ts") == 1735689600 and get('{"time":"never"}', "ts") == 0
+    assert get('{"metadata":{"sourceMsgIndex":"7.9"},"source_window_id":" w "}', "msg_index") == 7
+    said = {k: one(c) for k, c in rows.quotes(F.lit("User: one\ntwo; User: three; 伙伴：four; USER：Three")).items()}
+    assert said == {"user": ["three"], "char": [], "other": ["User: one\ntwo", "four"]}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    assert one(rows.iso_time(F.lit(1735689600.0))) == "2025-01-01T00:00:00.000Z"
+    spark.conf.set("spark.sql.session.timeZone", zone)

@@ -6,13 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as trimming knows it, ideographic and no-break blanks and the byte order mark among it (Java's and RE2's notation).
+WHITE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: What parts the segments of a text.
+BETWEEN = rf"""[{WHITE}=；;，,。.!！？?、|/:：()\[\]{{}}（）"'“”‘’\-]+"""
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def safe_text(c: Column | str) -> Column:
     """Without white space at the ends; ``trim`` alone would strip blanks only."""
-    return F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), rf"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def first_text(*cs: Column | str) -> Column:
@@ -22,18 +28,46 @@ def first_text(*cs: Column | str) -> Column:
 
 def compact(c: Column | str) -> Column:
     """Lower case without white space: the looser of the two identities that deduplication knows."""
-    return F.regexp_replace(F.lower(safe_text(c)), r"\s+", "")
+    return F.regexp_replace(F.lower(safe_text(c)), rf"[{WHITE}]+", "")
 
 
 def compact_words(c: Column | str) -> Column:
     """Lower case without white space, punctuation and symbols."""
-    return F.regexp_replace(F.lower(safe_text(c)), r"[\s\p{P}\p{S}]+", "")
+    return F.regexp_replace(F.lower(safe_text(c)), rf"[{WHITE}\p{{P}}\p{{S}}]+", "")
+
+
+def inline(c: Column | str) -> Column:
+    """White space runs become one blank."""
+    return safe_text(F.regexp_replace(safe_text(c), rf"[{WHITE}]+", " "))
+
+
+def clip_block(c: Column | str, most: int) -> Column:
+    """A text over ``most`` characters keeps one less, trimmed, and an ellipsis; its lines stay."""
+    t = safe_text(c)
+    return F.when(F.length(t) > most, F.concat(safe_text(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t)
+
+
+def clip(c: Column | str, most: int) -> Column:
+    """``clip_block`` of a text on one line."""
+    return clip_block(inline(c), most)
+
+
+def clip_note(c: Column | str, most: int = 72) -> Column:
+    """Without Markdown marks and objects that were printed by mistake, on one line; what is cut is not trimmed."""
+    t = inline(F.regexp_replace(F.replace(col(c), F.lit("[object Object]"), F.lit("")), r"[*_`>#]+", " "))
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most - 1), F.lit("…"))).otherwise(t)
 
 
-def clip(c: Column | str, most: int, mark: str = "...") -> Column:
-    """White space runs become one blank; what exceeds ``most`` characters is cut and marked."""
-    flat = safe_text(F.regexp_replace(safe_text(c), r"\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit(mark))).otherwise(flat)
+def preview(c: Column | str, most: int = 140) -> Column:
+    """On one line; a text over ``most`` characters keeps these and gets three dots."""
+    t = inline(c)
+    return F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t)
+
+
+def excerpt(c: Column | str, most: int = 420) -> Column:
+    """``preview`` without the block of extraction notes and without headings."""
+    bare = F.regexp_replace(F.regexp_replace(safe_text(c), r"(?s)\[EXTRACT_META\].*?\[/EXTRACT_META\]", " "), r"(?m)^#[^\n\r\x{2028}\x{2029}]*", " ")
+    return preview(bare, most)
 
 
 def path_segment(c: Column | str) -> Column:
@@ -144,10 +178,39 @@ def source_ref(c: Column | str) -> Column:
     return F.when(t.rlike(pattern), F.struct(F.regexp_extract(t, pattern, 1).alias("window"), F.regexp_extract(t, pattern, 2).cast("long").alias("msg_index")))
 
 
+def signals(c: Column | str) -> Column:
+    """Distinct signals of a text: its latin tokens of two letters and more, its Han runs up to eight letters and their 2- to 4-grams; without any, bigrams."""
+    t = compact_words(c)
+    latin = F.filter(F.regexp_extract_all(F.lower(inline(c)), F.lit("[a-z0-9_]+"), F.lit(0)), lambda x: F.length(x) >= 2)
+    han = F.regexp_extract_all(t, F.lit(r"\p{IsHan}{2,}"), F.lit(0))
+    grams = lambda x, n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    own = F.flatten(F.transform(han, lambda x: F.concat(F.when(F.length(x) <= 8, F.array(x)).otherwise(F.array().cast("array<string>")), grams(x, 2), grams(x, 3), grams(x, 4))))
+    found = F.array_distinct(F.concat(latin, own))
+    return F.when(F.size(found) > 0, found).otherwise(F.array_distinct(grams(t, 2)))
+
+
+def segments(c: Column | str, least: int = 3) -> Column:
+    """The compact parts of a text between marks and blanks, of ``least`` letters and more, repeats kept."""
+    return F.filter(F.transform(F.split(F.lower(safe_text(c)), BETWEEN), compact_words), lambda x: F.length(x) >= least)
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+
+
+def term_score(term: Column | str, corpus: Column) -> Column:
+    """1 if the compact corpus holds the compact term; else the share, by length, of the term's segments that it holds."""
+    term = F.lit(term) if isinstance(term, str) else term
+    whole, parts = compact_words(term), segments(term)
+    share = F.round(_total(F.filter(parts, lambda x: corpus.contains(x))) / F.nullif(_total(parts), F.lit(0)), 4)
+    return F.when((whole == "") | (corpus == ""), 0.0).when(corpus.contains(whole), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
+
+
 def corpus_share(term: Column, corpus: Column) -> Column:
-    """How much of a term a corpus holds: 1 if all of it, else the length share of its segments of 3 letters and more."""
-    whole, text = compact_words(term), compact_words(corpus)
-    parts = F.filter(F.transform(F.split(F.lower(safe_text(term)), r"""[\s=；;，,。.!！？?、|/:：()\[\]{}（）"'“”‘’\-]+"""), compact_words), lambda x: F.length(x) >= 3)
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    share = F.round(total(F.filter(parts, lambda x: text.contains(x))) / F.nullif(total(parts), F.lit(0)), 4)
-    return F.when((whole == "") | (text == ""), 0.0).when(text.contains(whole), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
+    """How much of a term a corpus holds: 1 if all of it; with a segment of five letters its segments' share, 0.72 at least; else the larger of
+    that share and the share of its signals, and nothing where either side has no signals."""
+    text = compact_words(corpus)
+    share, mine, theirs = term_score(term, text), signals(term), signals(corpus)
+    long_ = F.exists(segments(term, 5), lambda x: text.contains(x))
+    common = F.round(F.size(F.array_intersect(mine, theirs)) / F.nullif(F.size(mine), F.lit(0)), 4)
+    return F.when((share == 0) & (text == ""), 0.0).when(share == 1, 1.0).when(long_, F.greatest(share, F.lit(0.72))).when((F.size(mine) == 0) | (F.size(theirs) == 0), 0.0).otherwise(F.greatest(common, share))

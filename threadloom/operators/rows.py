@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import compact, first_text, safe_text
+from threadloom.functions.text import WHITE, compact, epoch_seconds, first_text, safe_text
 
 #: Names of the anchor types, and names that say nothing.
 ANCHORS = {"person": "人物", "thing": "事物", "event": "事件", "rule": "规则", "time": "时间"}
@@ -81,13 +81,14 @@ def source_label(c: Column | str) -> Column:
 def iso_time(c: Column) -> Column:
     """Seconds, or milliseconds above 10**12, as an ISO time; empty for what is no positive number."""
     ms = F.when(c > 1e12, c).otherwise(c * 1000).cast("long")
-    return F.when(c > 0, F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).otherwise(F.lit(""))
+    utc = F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone())  # shown as UTC whatever the session's zone
+    return F.when(c > 0, F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).otherwise(F.lit(""))
 
 
 def quotes(c: Column | str) -> dict[str, Column]:
     """Quote references ``role: text; ...`` as three ordered lists without repeats: of the user, of the companion, of others."""
-    parts = F.filter(F.transform(F.split(safe_text(c), r"[；;]\s*"), safe_text), lambda p: p != "")
-    form = r"(?s)^([^:：]{1,20})[:：]\s*(.+)$"
+    parts = F.filter(F.transform(F.split(safe_text(c), rf"[；;][{WHITE}]*"), safe_text), lambda p: p != "")
+    form = rf"^([^:：]{{1,20}})[:：][{WHITE}]*([^\n\r\x{{2028}}\x{{2029}}]+)$"  # on one line
     role = lambda p: compact(F.regexp_extract(p, form, 1))
     said = lambda p: F.when(p.rlike(form), safe_text(F.regexp_extract(p, form, 2))).otherwise(p)
 
@@ -118,14 +119,6 @@ def utterances(rows: DataFrame, key: str, text: str, speaker: str = "assistant")
     return groups.where(F.col("h.role") == speaker).select(key, "nth", F.col("h.title").alias("window_title"), safe_text("text").alias("text")).where("text <> ''")
 
 
-def term_score(term: str, corpus: Column) -> Column:
-    """1 if the compact corpus holds the whole compact term; else the share, by length, of its words of three letters and more that it holds."""
-    whole, segments = "".join(term.lower().split()), [s for s in term.lower().split() if len(s) >= 3]
-    total = sum(map(len, segments))
-    part = sum((F.when(corpus.contains(s), len(s)).otherwise(0) for s in segments), F.lit(0))
-    return F.when(corpus.contains(whole), 1.0).otherwise(F.round(part / total, 4) if total else 0.0)
-
-
 def banded_points(scores: list[Column]) -> Column:
     """5, 3 or 1.5 points for a score of 0.95, 0.6 or 0.3, and one more for each such term, four at most."""
     points = sum((F.when(s >= 0.95, 5.0).when(s >= 0.6, 3.0).when(s >= 0.3, 1.5).otherwise(0.0) for s in scores), F.lit(0.0))
@@ -176,17 +169,27 @@ def span_sources(spans: DataFrame, occurrences: DataFrame, key: str, candidate:
 
 
 def message(raw: Column) -> dict[str, Column]:
-    """Role, content and window title of a message in JSON: the first name that is there and not blank."""
+    """The seven fields of a message in JSON, each by the first of its names that is there and not empty, then trimmed.
+
+    Content is the parts joined by line breaks if there is a list of parts, else its text, the content itself if that is a text, ``text``, ``message``.
+    Times are seconds from numbers of any scale or from ISO texts; numbers of messages below 1 are 0.
+    """
     v = F.try_parse_json(raw)
-    at = lambda *paths: first_text(*(F.try_variant_get(v, p, "string") for p in paths))
-    parts = F.array_join(F.try_variant_get(v, "$.content.parts", "array<string>"), "\n")
+    at = lambda *paths: safe_text(F.coalesce(*(F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths), F.lit("")))
+    both = lambda a, b: at(f"$.{a}", f"$.{b}", f"$.metadata.{a}", f"$.metadata.{b}")
+    parts = F.transform(F.try_variant_get(v, "$.content.parts", "array<string>"), lambda x: F.coalesce(x, F.lit("")))
+    inner = F.try_variant_get(v, "$.content", "map<string,variant>").isNull()
+    own = F.when(inner, F.nullif(F.try_variant_get(v, "$.content", "string"), F.lit("")))
+    content = F.coalesce(F.array_join(parts, "\n"), F.nullif(F.try_variant_get(v, "$.content.text", "string"), F.lit("")), own, at("$.text", "$.message"))
     role = at("$.role", "$.author.role")
-    plain = F.when(F.schema_of_variant(v).startswith("OBJECT"), at("$.content.text", "$.text", "$.message"))
+    time = at("$.create_time", "$.ts", "$.timestamp", "$.time", "$.metadata.timestamp", "$.metadata.timestamp_")
+    seconds = epoch_seconds(time)
+    nth = F.floor(F.coalesce(both("source_msg_index", "sourceMsgIndex").try_cast("double"), F.lit(0.0))).cast("long")
     return {
-        "role": F.when(role == "", "assistant").otherwise(role),
-        "content": first_text(parts, plain, F.when(F.try_variant_get(v, "$.content.text", "string").isNull() & parts.isNull(), F.try_variant_get(v, "$.content", "string"))),
-        "window_title": at("$.source_window_title", "$.sourceWindowTitle", "$.metadata.source_window_title", "$.metadata.sourceWindowTitle"),
-    }
+        "role": F.when(role == "", "assistant").otherwise(role), "content": safe_text(content),
+        "ts": F.when(seconds > 0, seconds).otherwise(F.greatest(F.lit(0), F.coalesce(F.floor(F.unix_micros(F.try_to_timestamp(time)) / 1_000_000), F.lit(0)))).cast("long"),
+        "window_id": both("source_window_id", "sourceWindowId"), "window_title": both("source_window_title", "sourceWindowTitle"), "msg_index": F.greatest(nth, F.lit(0)),
+    }
 
 
 def bundle_texts(messages: DataFrame, key: str, order: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import compact_words
+from threadloom.functions.text import compact_words, term_score
 from threadloom.operators import rows
 from threadloom.sources.tables import table
 
@@ -81,10 +81,10 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", rows.iso_time(raw).alias("iso"))
 
 
-@query("""SELECT event_id, event_type || ' one|two' AS user_quotes, 'hm' AS char_quotes, 'loose' || CASE WHEN user_id % 2 = 0 THEN '|other says' ELSE '' END AS other_quotes FROM events""")
+@query("""SELECT event_id, event_type || ' one|two' AS user_quotes, 'hm' AS char_quotes, 'loose' || CASE WHEN user_id % 2 = 0 THEN '|other says' ELSE '' END || '|user: ' || event_type || chr(10) || 'next' AS other_quotes FROM events""")
 def quote_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: quote references by who said them, repeats by compact form left out."""
-    said = F.concat(F.lit("User: "), F.col("event_type"), F.lit(" one；bot：hm; user:two ;  ; USER： Two; loose；assistant: H m"), F.when(F.col("user_id") % 2 == 0, "; someone: other says").otherwise(""))
+    said = F.concat(F.lit("User: "), F.col("event_type"), F.lit(" one；bot：hm; user:two ;  ; USER： Two; loose；assistant: H m"), F.when(F.col("user_id") % 2 == 0, "; someone: other says").otherwise(""), F.lit("; user: "), F.col("event_type"), F.lit("\nnext"))
     return table(spark, sf_dir, "events").select("event_id", *(F.array_join(c, "|").alias(f"{k}_quotes") for k, c in rows.quotes(said).items()))
 
 
@@ -98,7 +98,7 @@ def assistant_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.utterances(slices, "conv_id", "text")
 
 
-TERMS = ["the house", "oftion entin", "qu"]
+TERMS = ["the house", "oftion,entin!", "qu"]
 POINTS = "CASE WHEN {0} >= 0.95 THEN 5.0 WHEN {0} >= 0.6 THEN 3.0 WHEN {0} >= 0.3 THEN 1.5 ELSE 0.0 END"
 
 
@@ -109,7 +109,7 @@ POINTS = "CASE WHEN {0} >= 0.95 THEN 5.0 WHEN {0} >= 0.6 THEN 3.0 WHEN {0} >= 0.
 def term_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query terms against chunks, in banded points."""
     corpus = compact_words("text")
-    points = rows.banded_points([rows.term_score(t, corpus) for t in TERMS])
+    points = rows.banded_points([term_score(t, corpus) for t in TERMS])
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", points.cast("double").alias("points"))
 
 
@@ -176,14 +176,27 @@ def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("role") == "user") & said.rlike("|".join(rows.RULE_LINES))).alias("is_rule"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 2 THEN 'assistant' ELSE role END AS role, CASE WHEN conv_id % 3 = 0 THEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) || 'more' ELSE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) END AS content,
-  CASE WHEN conv_id % 3 = 1 THEN 'win' ELSE '' END AS window_title FROM conversations""")
+TRIM = "trim({0}, chr(32) || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, text, conv_id % 5 AS k FROM conversations)
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'assistant' ELSE role END AS role,
+    CASE k WHEN 0 THEN {TRIM.format("text || chr(10) || chr(10) || 'more'")} WHEN 1 THEN 'A' WHEN 2 THEN {TRIM.format("text")} WHEN 3 THEN '' ELSE {TRIM.format("text")} END AS content,
+    CAST(CASE k WHEN 1 THEN 1735689600 + turn WHEN 2 THEN 1735689600 ELSE 0 END AS BIGINT) AS ts,
+    CASE WHEN k = 1 THEN 'w' || conv_id ELSE '' END AS window_id, CASE WHEN k = 2 THEN 'win' ELSE '' END AS window_title, CAST(CASE WHEN k = 2 THEN turn ELSE 0 END AS BIGINT) AS msg_index FROM m""")
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Role, text and window of messages whose fields go by several names."""
-    text, role = rows.safe_text("text"), F.col("role")
-    parts = F.to_json(F.struct(F.struct(role.alias("role")).alias("author"), F.struct(F.array(text, F.lit("more")).alias("parts")).alias("content")))
-    plain = F.to_json(F.struct(role.alias("role"), text.alias("text"), F.struct(F.lit("win").alias("source_window_title")).alias("metadata")))
-    raw = F.when(F.col("conv_id") % 3 == 0, parts).when(F.col("conv_id") % 3 == 1, plain).otherwise(F.to_json(F.struct(text.alias("message"))))
+    """The fields of messages that go by several names: parts, content before text, content's text, blank parts, ``message``."""
+    text, role, turn = F.col("text"), F.col("role"), F.col("turn")
+    made = [
+        F.struct(F.struct(role.alias("role")).alias("author"), F.struct(F.array(text, F.lit(None), F.lit("more")).alias("parts"), F.lit("no").alias("text")).alias("content"), F.lit("not this").alias("text")),
+        F.struct(role.alias("role"), F.lit("A").alias("content"), F.lit("B").alias("text"), ((F.lit(1735689600) + turn) * 1000).alias("ts"), F.concat(F.lit("　w"), F.col("conv_id").cast("string"), F.lit("\u00a0")).alias("sourceWindowId")),
+        F.struct(role.alias("role"), F.struct(text.alias("text")).alias("content"), F.lit("2025-01-01T00:00:00Z").alias("time"), F.struct(F.lit("win").alias("source_window_title"), turn.cast("string").alias("sourceMsgIndex")).alias("metadata")),
+        F.struct(role.alias("role"), F.struct(F.array(F.lit(" "), F.lit("　")).alias("parts")).alias("content"), text.alias("text")),
+        F.struct(F.lit("").alias("role"), F.lit("").alias("content"), text.alias("message"), F.lit(-3).alias("source_msg_index")),
+    ]
+    raw = F.to_json(made[4])
+    for k in range(4):
+        raw = F.when(F.col("conv_id") % 5 == k, F.to_json(made[k])).otherwise(raw)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", *(c.alias(k) for k, c in rows.message(raw).items()))
 
 

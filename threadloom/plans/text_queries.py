@@ -11,17 +11,21 @@ from threadloom.sources.tables import table
 
 from .registry import query
 
-WORD_PUNCT = r"[\s\p{P}\p{S}]+"
 
+W = text.WHITE
 
-@query(r"""SELECT conv_id, turn, regexp_replace(lower(text), '\s+', '', 'g') AS compacted,
-  length(regexp_replace(lower(text), '[\s\p{P}\p{S}]+', '', 'g')) AS n_word_chars,
-  CASE WHEN length(flat) > 80 THEN substring(flat, 1, 80) || '...' ELSE flat END AS clipped
-  FROM (SELECT *, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS flat FROM conversations)""")
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, chr(12288) || '# Head' || chr(10) || text || chr(160) || chr(9) AS t FROM conversations), f AS (SELECT *, regexp_replace(regexp_replace(t, '[{W}]+', ' ', 'g'), '^[{W}]+|[{W}]+$', '', 'g') AS flat, regexp_replace(t, '^[{W}]+|[{W}]+$', '', 'g') AS trimmed FROM t),
+  n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(t, '[object Object]', ''), '[*_`>#]+', ' ', 'g'), '[{W}]+', ' ', 'g'), '^ | $', '', 'g') AS note, regexp_replace(regexp_replace(regexp_replace(trimmed, '(?m)^#[^\n]*', ' ', 'g'), '[{W}]+', ' ', 'g'), '^ | $', '', 'g') AS bare FROM f)
+  SELECT conv_id, turn, trimmed, regexp_replace(lower(trimmed), '[{W}]+', '', 'g') AS compacted, length(regexp_replace(lower(trimmed), '[{W}\p{{P}}\p{{S}}]+', '', 'g')) AS n_word_chars,
+    CASE WHEN length(flat) > 80 THEN regexp_replace(substring(flat, 1, 79), '[{W}]+$', '') || '…' ELSE flat END AS clipped, CASE WHEN length(trimmed) > 60 THEN regexp_replace(substring(trimmed, 1, 59), '[{W}]+$', '') || '…' ELSE trimmed END AS block,
+    CASE WHEN length(note) > 72 THEN substring(note, 1, 71) || '…' ELSE note END AS note, CASE WHEN length(flat) > 140 THEN substring(flat, 1, 140) || '...' ELSE flat END AS preview, CASE WHEN length(bare) > 100 THEN substring(bare, 1, 100) || '...' ELSE bare END AS excerpt FROM n""")
 def text_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compact forms and clipping."""
+    """Trimming with wide blanks, compact forms, and the five ways to cut a text."""
+    t = F.concat(F.lit("　# Head\n"), F.col("text"), F.lit("\u00a0\t"))
     return table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", text.compact("text").alias("compacted"), F.length(text.compact_words("text")).cast("long").alias("n_word_chars"), text.clip("text", 80).alias("clipped")
+        "conv_id", "turn", text.safe_text(t).alias("trimmed"), text.compact(t).alias("compacted"), F.length(text.compact_words(t)).cast("long").alias("n_word_chars"), text.clip(t, 80).alias("clipped"),
+        text.clip_block(t, 60).alias("block"), text.clip_note(t).alias("note"), text.preview(t).alias("preview"), text.excerpt(t, 100).alias("excerpt"),
     )
 
 
@@ -129,16 +133,23 @@ def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy(F.col("r.window").alias("window_ref")).agg(F.max("r.msg_index").alias("last_msg"), F.count("broken").alias("bad"))
 
 
-@query(r"""WITH q AS (SELECT item_id, text AS term FROM benchmark), d AS (SELECT item_id, lag(text, 1, '') OVER (ORDER BY item_id) || ' ' || substring(text, 1, length(text) // 2) AS corpus FROM benchmark),
-  p AS (SELECT q.item_id, regexp_replace(lower(corpus), '[\s\p{P}\p{S}]+', '', 'g') AS c, regexp_replace(lower(term), '[\s\p{P}\p{S}]+', '', 'g') AS w,
-    list_filter(list_transform(string_split_regex(lower(term), '[\s=；;，,。.!！？?、|/:：()\[\]{}（）"''“”‘’\-]+'), lambda x: regexp_replace(x, '[\s\p{P}\p{S}]+', '', 'g')), lambda x: length(x) >= 3) AS seg FROM q JOIN d USING (item_id))
-  SELECT item_id, CASE WHEN contains(c, w) THEN 1.0 ELSE coalesce(round(list_sum(list_transform(list_filter(seg, lambda x: contains(c, x)), lambda x: length(x))) / nullif(list_sum(list_transform(seg, lambda x: length(x))), 0), 4), 0) END AS share FROM p""")
+_GRAMS = "CASE WHEN length({0}) >= {1} THEN list_transform(range(1, length({0}) - {1} + 2), lambda i: substring({0}, i, {1})) ELSE [] END"
+_FOUND = rf"""list_distinct(list_concat(list_filter(regexp_extract_all(lower({{0}}), '[a-z0-9_]+'), lambda x: length(x) >= 2), flatten(list_transform(regexp_extract_all({{1}}, '\p{{{{Han}}}}{{{{2,}}}}'), lambda x: list_concat(CASE WHEN length(x) <= 8 THEN [x] ELSE [] END, {_GRAMS.format("x", 2)}, {_GRAMS.format("x", 3)}, {_GRAMS.format("x", 4)})))))"""
+
+
+@query(rf"""WITH b AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '记录事件的状态, ' || substring(text, 1, 12) || '状态情况' ELSE text END AS term, lag(text, 1, '') OVER (ORDER BY item_id) || ' 事件状态 ' || CASE WHEN item_id % 2 = 0 THEN substring(text, 1, length(text) // 2) ELSE 'a' END AS corpus FROM benchmark),
+  p AS (SELECT *, regexp_replace(lower(corpus), '[{W}\p{{P}}\p{{S}}]+', '', 'g') AS c, regexp_replace(lower(term), '[{W}\p{{P}}\p{{S}}]+', '', 'g') AS w,
+    list_filter(list_transform(string_split_regex(lower(term), '{text.BETWEEN.replace("'", "''")}'), lambda x: regexp_replace(x, '[{W}\p{{P}}\p{{S}}]+', '', 'g')), lambda x: length(x) >= 3) AS seg FROM b),
+  g AS (SELECT *, {_FOUND.format("term", "w")} AS m0, {_FOUND.format("corpus", "c")} AS t0, coalesce(round(list_sum(list_transform(list_filter(seg, lambda x: contains(c, x)), lambda x: length(x))) / nullif(list_sum(list_transform(seg, lambda x: length(x))), 0), 4), 0) AS share FROM p),
+  s AS (SELECT *, CASE WHEN len(m0) > 0 THEN m0 ELSE list_distinct({_GRAMS.format("w", 2)}) END AS m, CASE WHEN len(t0) > 0 THEN t0 ELSE list_distinct({_GRAMS.format("c", 2)}) END AS t FROM g)
+  SELECT item_id, CAST(CASE WHEN w = '' OR c = '' THEN 0 WHEN contains(c, w) THEN 1 WHEN len(list_filter(seg, lambda x: length(x) >= 5 AND contains(c, x))) > 0 THEN greatest(share, 0.72) WHEN len(m) = 0 OR len(t) = 0 THEN 0 ELSE greatest(round(len(list_intersect(m, t)) / len(m), 4), share) END AS DOUBLE) AS share FROM s""")
 def term_corpus_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """how much of each item a corpus (the item before and its own first half) holds."""
+    """how much of each item a corpus (the item before, some Han text, and half of the item or nothing) holds."""
     b = table(spark, sf_dir, "benchmark")
     before = b.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("before"))
-    corpus = F.concat_ws(" ", F.coalesce("before", F.lit("")), F.expr("substring(text, 1, length(text) div 2)"))
-    return b.join(before, "item_id", "left").select("item_id", text.corpus_share(F.col("text"), corpus).alias("share"))
+    corpus = F.concat(F.coalesce("before", F.lit("")), F.lit(" 事件状态 "), F.when(F.col("item_id") % 2 == 0, F.expr("substring(text, 1, length(text) div 2)")).otherwise("a"))
+    term = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("记录事件的状态, "), F.left("text", F.lit(12)), F.lit("状态情况"))).otherwise(F.col("text"))
+    return b.join(before, "item_id", "left").select("item_id", text.corpus_share(term, corpus).alias("share"))
 
 
 def _shape_sql() -> str:
