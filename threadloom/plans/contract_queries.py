@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.nested import edited, json_text, walk
 from threadloom.operators import contract
+from threadloom.sources.shared import held
 from threadloom.sources.tables import table
 
 from .registry import query
@@ -47,7 +48,6 @@ def tampered(bundles: DataFrame, seal: bool = True) -> DataFrame:
     """Bundles of which most have one fault, by conv_id; sealed again, so that the fault itself must be found."""
     v, k = F.try_parse_json("json"), F.col("conv_id") % 16
     text = lambda s: F.lit(f'"{s}"')
-    first = lambda path: F.to_json(F.try_variant_get(v, path, "variant"))
     faults: dict[int, dict[tuple[str, ...], Column | None]] = {
         1: {("source_spans", "[]", "excerpt_text"): text("changed")}, 2: {("conservation",): None}, 3: {("persona_authority",): F.lit('{"authority":1,"Vine":{"snapshot":[{}]}}')},
         4: {("warm_cards", "[]", "source_refs", "source_span_ids"): F.lit('["span_x","span_x"]')}, 5: {("warm_cards", "[]", "source_refs", "source_occurrence_ids"): F.lit("[]")},
@@ -57,12 +57,11 @@ def tampered(bundles: DataFrame, seal: bool = True) -> DataFrame:
         12: {("rejected_ledger",): F.lit("{}"), ("projection_roundtrip", "notion", "candidate_id_map"): F.lit("[1]")}, 13: {("source_manifest", "source_digest"): text(" ")},
         14: {("warm_cards", "[]", "home_import_policy"): F.lit('{"direct_write_allowed":true,"state":" ","reason":"r","more":[]}')},
     }
-    out = F.col("json")
+    whole = held(bundles.select("conv_id", "json"))
+    out = whole.where(~k.isin(*faults)).withColumn("json", F.when(F.col("conv_id") % 48 == 15, "[1]").when(F.col("conv_id") % 48 == 31, "{").otherwise(F.col("json")))
     for n, edits in faults.items():
-        out = F.when(k == n, edited(v, edits)).otherwise(out)
-    out = F.when(F.col("conv_id") % 48 == 15, F.lit("[1]")).when(F.col("conv_id") % 48 == 31, F.lit("{")).otherwise(out)
-    made = bundles.select("conv_id", out.alias("json"))
-    return made.withColumn("json", F.coalesce(contract.canonical_bundle(F.col("json")), "json")) if seal else made
+        out = out.unionByName(whole.where(k == n).withColumn("json", edited(v, edits)))
+    return out.withColumn("json", F.coalesce(contract.canonical_bundle(F.col("json")), "json")) if seal else out
 
 
 @query()
