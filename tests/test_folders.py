@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import commits
 from threadloom.plans import folder_queries as fq
-from threadloom.sources import folders
+from threadloom.sources import folders, outputs
 
 
 def test_index_opens_listed_files_only(spark, tmp_path):
@@ -73,3 +73,21 @@ def test_commits_once_whatever_breaks_off(spark, sf_dir, tmp_path, monkeypatch):
     assert read(spark, rough) == read(spark, clean)
     total = commits.registry_summary(commits.registry(spark, clean)).agg(F.sum("n")).first()[0]
     assert total == commits.registry(spark, clean).count()
+
+
+def test_outputs_tell_what_was_written(spark, sf_dir, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("title"), F.lit(None).cast("string").alias("kind"), "text")
+    path = f"file://{tmp_path}/packets/p1"
+    with monkeypatch.context() as m:  # breaks off before the manifest
+        m.setattr(outputs, "write_text", lambda *a, **b: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            outputs.packet(docs, path, "p1")
+    assert outputs.reread(spark, path).count() == 0
+    told = outputs.packet(docs.repartition(5), path, "p1")
+    assert told["outputs"]["documents"]["rows"] == docs.count() and {r["whole"] for r in outputs.reread(spark, path).collect()} == {True}
+    assert json.loads(open(f"{tmp_path}/packets/latest.json").read()) == {"latest": path}
+    again = outputs.packet(docs.repartition(2, "text"), f"file://{tmp_path}/packets/p2", "p1")
+    assert again["outputs"] == told["outputs"]  # whatever the order
+    part = next(f for f in os.listdir(f"{tmp_path}/packets/p1/documents") if f.startswith("part-"))
+    os.remove(f"{tmp_path}/packets/p1/documents/{part}")
+    assert {r["output"]: r["whole"] for r in outputs.reread(spark, path).collect()} == {"documents": False, "index": True}

@@ -354,7 +354,10 @@ def read_normalised(bundles: DataFrame, id_: str, json: str, old_field: str, sch
         id_, "mode", F.when(F.col("mode") == "legacy_read_only", resealed).otherwise(F.col(json)).alias("json"), F.coalesce("stripped", F.lit(0)).cast("long").alias("stripped"),
         F.try_variant_get(v, "$.manifest.manifest_digest", "string").alias("digest_before"), F.when(F.col("mode") == "legacy_read_only", now).alias("digest_now"),
     )
-    after = contract_violations(told.where("mode = 'legacy_read_only'"), id_, "json", schema, forbidden).unionByName(before.join(told.where("mode <> 'legacy_read_only'").select(id_), id_, "left_semi"))
+    old = told.where("mode = 'legacy_read_only'")
+    after = before.join(told.where("mode <> 'legacy_read_only'").select(id_), id_, "left_semi")
+    if not old.isEmpty():
+        after = after.unionByName(contract_violations(old, id_, "json", schema, forbidden))
     bad = after.select(id_).distinct().withColumn("bad", F.lit(True))
     out = told.join(bad, id_, "left").withColumn("ok", F.col("bad").isNull()).select(id_, "mode", "ok", "json", "stripped", "digest_before", "digest_now")
     return out, after

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.nested import edited, json_text, walk
 from threadloom.operators import contract
-from threadloom.sources.shared import held
+from threadloom.sources import outputs
+from threadloom.sources.shared import held, shared_dir
 from threadloom.sources.tables import table
 
 from .registry import query
@@ -86,3 +89,38 @@ def legacy_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: how older bundles are read: mode, digests before and after, and whether they are sound now (against a plain version in a test)."""
     return contract.read_normalised(legacy_bundles(spark, sf_dir), "conv_id", "json", "old_import_policy")[0].drop("json")
+
+
+def reviewed_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of which a fifth has another schema and a fifth a private path."""
+    b = conversation_bundles(spark, sf_dir)
+    k, v = F.col("conv_id") % 5, F.try_parse_json("json")
+    other, private = edited(v, {("schema",): F.lit('"other"')}), edited(v, {("persona_authority", "authority"): F.lit('"see /home/me/notes"')})
+    b = b.withColumn("json", F.when(k == 1, other).when(k == 2, private).otherwise(F.col("json")))
+    return b.withColumn("json", contract.canonical_bundle(F.col("json")))
+
+
+_ROWS = "r AS (SELECT conv_id, role FROM conversations WHERE trim(text) <> '' AND conv_id % 5 NOT IN (1, 2))"
+
+
+@query(f"""WITH {_ROWS}, c AS (SELECT count(*) FILTER (role = 'user') AS u, count(*) FILTER (role <> 'user') AS o FROM r)
+  SELECT unnest(['cards', 'spans', 'roundtrip', 'notes', 'ledger']) AS output, unnest([u, u, u, u, o]) AS rows, true AS whole FROM c""")
+def projection_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5, K6: rows of each review surface by its manifest, and whether the files hold the same."""
+    path = f"{shared_dir(spark)}/projections-{uuid.uuid4().hex}/one"
+    outputs.projections(reviewed_bundles(spark, sf_dir), "conv_id", "json", path)
+    return outputs.reread(spark, path).drop("digest")
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 5 = 2 THEN 'blocked_by_privacy' WHEN conv_id % 5 = 1 THEN 'blocked_by_contract' WHEN count(*) FILTER (role = 'user') > 0 THEN 'written' ELSE 'written_empty' END AS status FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def projection_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which bundles can be shown, and what holds the others back."""
+    return outputs.projections(reviewed_bundles(spark, sf_dir), "conv_id", "json", f"{shared_dir(spark)}/projections-{uuid.uuid4().hex}/one")
+
+
+@query("""SELECT 'documents' AS output, count(*) AS rows, true AS whole FROM documents UNION ALL SELECT 'index', count(*), true FROM documents""")
+def ingest_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: documents and their index as one packet."""
+    path = f"{shared_dir(spark)}/packets-{uuid.uuid4().hex}/p1"
+    outputs.packet(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("lang").alias("kind"), "text"), path, "p1")
+    return outputs.reread(spark, path).drop("digest")
