@@ -81,14 +81,21 @@ def tokens(c: Column | str, pattern: str) -> Column:
     return F.filter(F.transform(F.split(safe_text(c), pattern), safe_text), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though the body names it in lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _at_most(xs: Column, most: int | None) -> Column:
     return xs if most is None else F.slice(xs, 1, most)
 
 
 def distinct_compact(xs: Column, most: int | None = 999) -> Column:
     """Ordered distinct by compact form, first spelling kept."""
-    step = lambda acc, x: F.when(F.exists(acc, lambda y: compact(y) == compact(x)) | (safe_text(x) == ""), acc).otherwise(F.concat(acc, F.array(safe_text(x))))
-    return _at_most(F.aggregate(xs, F.array().cast("array<string>"), step), most)
+    order = F.array_sort(F.transform(xs, lambda x, i: F.struct(compact(x).alias("key"), i.alias("i"), safe_text(x).alias("text"))))
+    first = lambda e, x, i: (x["key"] != "") & ((i == 0) | (F.get(e, i - 1)["key"] != x["key"]))  # noqa: E731  equal keys stand side by side
+    heads = let(order, lambda e: F.array_compact(F.transform(e, lambda x, i: F.when(first(e, x, i), F.struct(x["i"].alias("i"), x["text"].alias("text"))))))
+    return _at_most(F.transform(F.array_sort(heads), lambda x: x["text"]), most)
 
 
 def distinct_exact(xs: Column, most: int | None = 999) -> Column:

@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 def fold_groups(costs: Column, most: int, most_items: int | None = None) -> Column:
     """Group number of each cost, greedily: a new group starts when the next would exceed ``most`` or ``most_items``.
 
-    A single cost over ``most`` makes a group of its own. The groups are kept as run lengths while folding.
+    A single cost over ``most`` makes a group of its own. The fold keeps the sizes of closed groups only, a list that is copied once a group and
+    not once a cost; numbers are laid out at the end.
     """
-    start = F.struct(F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("items"), F.array().cast("array<long>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("int").alias("items"), F.array().cast("array<int>").alias("closed"))
 
     def step(acc: Column, cost: Column) -> Column:
         over = acc["used"] + cost > most
         if most_items is not None:
             over = over | (acc["items"] >= most_items)
         new = (acc["items"] > 0) & over
-        group = acc["group"] + new.cast("long")
         return F.struct(
-            group.alias("group"), F.when(new, cost).otherwise(acc["used"] + cost).alias("used"),
-            F.when(new, F.lit(1).cast("long")).otherwise(acc["items"] + 1).alias("items"), F.concat(acc["out"], F.array(group)).alias("out"),
+            F.when(new, cost).otherwise(acc["used"] + cost).alias("used"), F.when(new, F.lit(1)).otherwise(acc["items"] + 1).alias("items"),
+            F.when(new, F.concat(acc["closed"], F.array(acc["items"]))).otherwise(acc["closed"]).alias("closed"),
         )
 
-    return F.aggregate(F.transform(costs, lambda x: x.cast("long")), start, step, lambda acc: acc["out"])
+    laid = lambda acc: F.flatten(F.transform(F.concat(acc["closed"], F.array(acc["items"])), lambda n, g: F.array_repeat(g.cast("long"), n)))
+    return F.aggregate(F.transform(costs, lambda x: x.cast("long")), start, step, laid)
 
 
 def slices(docs: DataFrame, key: str, target: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import WHITE, compact, epoch_seconds, first_text, safe_text
+from threadloom.functions.text import WHITE, compact, distinct_compact, epoch_seconds, first_text, safe_text
 
 #: Names of the anchor types, and names that say nothing.
 ANCHORS = {"person": "人物", "thing": "事物", "event": "事件", "rule": "规则", "time": "时间"}
@@ -93,9 +93,7 @@ def quotes(c: Column | str) -> dict[str, Column]:
     said = lambda p: F.when(p.rlike(form), safe_text(F.regexp_extract(p, form, 2))).otherwise(p)
 
     def once(keep) -> Column:
-        rows = F.transform(F.filter(parts, keep), lambda p: F.struct(compact(said(p)).alias("key"), said(p).alias("text")))
-        step = lambda acc, x: F.when(F.exists(acc, lambda y: y["key"] == x["key"]) | (x["key"] == ""), acc).otherwise(F.concat(acc, F.array(x)))
-        return F.transform(F.aggregate(rows, F.array().cast("array<struct<key:string,text:string>>"), step), lambda x: x["text"])
+        return distinct_compact(F.transform(F.filter(parts, keep), said), None)
 
     user, other = (lambda p: role(p) == "user"), (lambda p: role(p).isin(*COMPANION))
     return {"user": once(user), "char": once(other), "other": once(lambda p: ~user(p) & ~other(p))}

@@ -79,7 +79,8 @@ def affix_matches(names: DataFrame, tokens: DataFrame, most: int = 4) -> DataFra
 
 def with_fallback(rows: DataFrame, scope: str, rank: str) -> DataFrame:
     """Rows of the best source (least rank) that each scope has."""
-    return rows.withColumn("best_", F.min(rank).over(Window.partitionBy(scope))).where(F.col(rank) == F.col("best_")).drop("best_")
+    best = rows.groupBy(F.col(scope).alias("scope_")).agg(F.min(rank).alias("best_"))  # partial minima travel, not a scope's rows
+    return rows.join(best, F.col(scope).eqNullSafe(F.col("scope_")) & (F.col(rank) == F.col("best_")), "left_semi")
 
 
 def numbered_names(rows: DataFrame, name: str, order: str) -> DataFrame:

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.sources.shared import held
+
 
 def merged_timeline(rows: DataFrame, seconds: str, arrival: str) -> DataFrame:
     """Adds ``position`` in one sequence over all windows: by time, unknown times (0) last, then by arrival.
 
-    Positions are dealt per day and moved by the rows of the days before, so that no task sorts all rows.
+    Rows are sorted in ranges of (time, arrival), so a busy day or many unknown times are split like others; ranges are kept, counted, and moved
+    by the rows of the ranges before: one row for each range is all that meets.
     """
-    day = F.when(F.col(seconds) == 0, F.lit(2**40)).otherwise(F.floor(F.col(seconds) / 86400)).cast("long")
-    rows = rows.withColumn("day_", day)
-    per_day = rows.groupBy("day_").agg(F.count("*").alias("n_"))
-    before = F.sum("n_").over(Window.orderBy("day_").rowsBetween(Window.unboundedPreceding, -1))  # one row a day
-    start = per_day.select("day_", F.coalesce(before, F.lit(0)).alias("start_"))
-    within = F.row_number().over(Window.partitionBy("day_").orderBy(seconds, arrival))
-    return rows.withColumn("within_", within).join(start, "day_").withColumn("position", F.col("start_") + F.col("within_")).drop("day_", "within_", "start_")
+    at = F.when(F.col(seconds) == 0, F.lit(2**60)).otherwise(F.col(seconds)).cast("long")
+    ranged = rows.withColumn("at_", at).repartitionByRange("at_", arrival).sortWithinPartitions("at_", arrival).drop("at_")
+    kept = held(ranged.withColumn("in_", F.monotonically_increasing_id()).withColumn("range_", F.spark_partition_id()))
+    ranges = kept.groupBy("range_").agg(F.count("*").alias("n_"), F.min("in_").alias("low_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = ranges.select("range_", (before - F.col("low_") + 1).alias("start_"))
+    return kept.join(F.broadcast(start), "range_").withColumn("position", F.col("start_") + F.col("in_")).drop("range_", "in_", "start_")  # as many rows as ranges
 
 
 def window_ranges(messages: DataFrame, window: str, index: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """The frame, computed once and kept in the shared folder: many branches read it, and a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The frame, computed once, written to the shared folder and read back: many branches read it, and a lost executor loses nothing.
+
+    Its files stay for as long as the folder keeps them; the folder is scratch, and whoever owns it clears it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
