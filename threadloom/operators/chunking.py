@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import WHITE, safe_text
+
 
 def fold_groups(costs: Column, most: int, most_items: int | None = None) -> Column:
     """Group number of each cost, greedily: a new group starts when the next would exceed ``most`` or ``most_items``.
@@ -28,19 +30,20 @@ def fold_groups(costs: Column, most: int, most_items: int | None = None) -> Colu
     return F.aggregate(F.transform(costs, lambda x: x.cast("long")), start, step, laid)
 
 
-def slices(docs: DataFrame, key: str, target: int) -> DataFrame:
-    """Lines of each text packed to ``target`` characters (a line costs its length and one): slice_no, n_lines, char_count, start_char.
+def slices(docs: DataFrame, key: str, target: int, paragraphs: bool = False) -> DataFrame:
+    """Lines, or trimmed paragraphs, of each text packed to ``target`` characters: slice_no, n_lines, char_count, start_char.
 
-    Offsets are sums of the lengths of the slices before, as separators between slices are not counted.
+    A line costs its length and one, a paragraph its length and two, as many as join it to the next. Blank ones go. Offsets are sums of the lengths of the
+    slices before, as separators between slices are not counted.
     """
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, r"^\s+|\s+$", "")) > 0)
-    cut = docs.select(key, lines.alias("lines")).where(F.size("lines") > 0)
-    cut = cut.withColumn("groups", fold_groups(F.transform("lines", lambda x: F.length(x) + 1), target))
+    lines = F.filter(F.split("text", "\n"), lambda x: safe_text(x) != "")
+    paras = F.filter(F.transform(F.split("text", rf"\n[{WHITE}]*\n"), safe_text), lambda x: x != "")
+    join = 2 if paragraphs else 1
+    cut = docs.select(key, (paras if paragraphs else lines).alias("lines")).where(F.size("lines") > 0)
+    cut = cut.withColumn("groups", fold_groups(F.transform("lines", lambda x: F.length(x) + join), target))
     per = cut.select(key, F.explode(F.arrays_zip("groups", "lines")).alias("l")).groupBy(key, F.col("l.groups").alias("g")).agg(
-        F.count("*").alias("n_lines"), (F.sum(F.length("l.lines") + 1) - 1).alias("char_count")
+        F.count("*").alias("n_lines"), (F.sum(F.length("l.lines") + join) - join).alias("char_count")
     )
-    from pyspark.sql import Window
-
     before = F.sum("char_count").over(Window.partitionBy(key).orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
     return per.select(key, (F.col("g") + 1).alias("slice_no"), "n_lines", "char_count", F.coalesce(before, F.lit(0)).alias("start_char"))
 

@@ -59,6 +59,16 @@ def chunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.slices(table(spark, sf_dir, "documents"), "doc_id", 2200)
 
 
+PARAGRAPHS = SLICES.replace("string_split(text, chr(10))", "string_split_regex(replace(text, '.' || chr(10), '.' || chr(10) || ' ' || chr(10)), '\\n\\s*\\n')").replace("length(line) + 1", "length(line) + 2").replace("sum(n + 1) - 1", "sum(n + 2) - 2").replace("unnest(ls) AS line", "regexp_replace(unnest(ls), '^\\s+|\\s+$', '', 'g') AS line").replace("2200", "900")
+
+
+@query(f"""WITH RECURSIVE {PARAGRAPHS} SELECT *, CAST(coalesce(sum(char_count) OVER (PARTITION BY doc_id ORDER BY slice_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char FROM s""")
+def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy slices of 900 characters by paragraphs."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(".\n"), F.lit(".\n \n")))
+    return chunking.slices(d, "doc_id", 900, paragraphs=True)
+
+
 @query(f"""WITH RECURSIVE {SLICES},
   b AS (SELECT doc_id, slice_no, 1 AS b, 1 AS items, char_count AS used, char_count FROM s WHERE slice_no = 1
     UNION ALL SELECT s.doc_id, s.slice_no, CASE WHEN items >= 2 OR used + s.char_count > 4000 THEN b + 1 ELSE b END, CASE WHEN items >= 2 OR used + s.char_count > 4000 THEN 1 ELSE items + 1 END,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import ngrams
 from threadloom.operators import relations
 from threadloom.sources.tables import table
 
@@ -126,6 +127,34 @@ def nearby_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.nearest(n, "item_id", "terms", score, 0.3, 3).select("a_id", "b_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_MEMOS = r"""d AS (SELECT item_id, lower(text) AS t, substring(text, 1, 20) AS title, 'f' || (item_id % 3) AS family, 's' || (length(text) // 40) AS memory_shape FROM benchmark),
+  v AS (SELECT item_id, 'terms' AS kind, unnest(list_filter(string_split_regex(t, '[\s,.]+'), lambda x: length(x) >= 5)) AS v FROM d UNION SELECT item_id, 'triggers', unnest(list_filter(string_split_regex(t, '[\s,.]+'), lambda x: length(x) = 4)) FROM d
+    UNION SELECT item_id, 'bigrams', unnest(list_transform(range(1, least(length(t), 31)), lambda i: substring(t, i, 2))) FROM d),
+  n AS (SELECT a.item_id AS x, b.item_id AS y, count(*) FILTER (kind = 'terms') AS te, count(*) FILTER (kind = 'triggers') AS tr, count(*) FILTER (kind = 'bigrams') AS bi FROM v a JOIN v b USING (kind, v) WHERE a.item_id <> b.item_id GROUP BY a.item_id, b.item_id),
+  p AS (SELECT x, y, a.family = b.family AS f, a.memory_shape = b.memory_shape AS m, te, tr, bi, b.title FROM n JOIN d a ON a.item_id = x JOIN d b ON b.item_id = y)"""
+
+
+def memos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.lower("text")
+    words = F.split(t, r"[\s,.]+")
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", F.left("text", F.lit(20)).alias("title"), F.concat(F.lit("f"), (F.col("item_id") % 3).cast("string")).alias("family"), F.concat(F.lit("s"), F.floor(F.length("text") / 40).cast("string")).alias("memory_shape"),
+        F.filter(words, lambda x: F.length(x) >= 5).alias("terms"), F.filter(words, lambda x: F.length(x) == 4).alias("triggers"), ngrams(F.left(t, F.lit(31)), 2, None).alias("bigrams"), *(F.array().cast("array<string>").alias(c) for c in ("slices", "refs", "scenes", "topics")),
+    )
+
+
+@query(f"""WITH {_MEMOS}, s AS (SELECT *, round(0.5 * f::INT + 1.4 * m::INT + 0.9 * least(te, 3) + 0.18 * least(bi, 10) + 1.2 * least(tr, 2), 4) AS score FROM p), r AS (SELECT x AS a_id, y AS b_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY x ORDER BY score DESC, title, y) AS rank FROM s WHERE score >= 2.2) SELECT * FROM r WHERE rank <= 3""")
+def memo_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest memos of each, by the weights of nearby links."""
+    return relations.affinity(memos(spark, sf_dir), "item_id", *relations.NEARBY).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {_MEMOS}, s AS (SELECT *, round(0.4 * f::INT + 0.9 * m::INT + 0.18 * least(te, 6) + 0.08 * least(bi, 8) + 0.75 * least(tr, 3), 4) AS score FROM p), r AS (SELECT x AS a_id, y AS b_id, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY x ORDER BY score DESC, title, y) AS rank FROM s WHERE score >= 1.5) SELECT * FROM r WHERE rank <= 5""")
+def memo_compaction_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the second formula, by which memos are compacted: the five nearest with 1.5 points."""
+    return relations.affinity(memos(spark, sf_dir), "item_id", *relations.COMPACT, least=1.5, most=5).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("""SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""")
 def scope_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes with what each layer holds; the layers are counted before they meet."""
