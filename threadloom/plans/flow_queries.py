@@ -108,13 +108,17 @@ def reviewed_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("_corrupt_record IS NULL").select("conv_id", "turn", "role", "text", "month_key")
 
 
-@query("""SELECT shape, count(*) AS n FROM (SELECT CASE conv_id % 4 WHEN 0 THEN 'messages' WHEN 1 THEN 'window_array' WHEN 2 THEN 'documents' ELSE 'text' END AS shape FROM conversations) GROUP BY shape""")
+BODY = "'{\"messages\": [{\"role\": \"' || role || '\", \"text\": \"t' || CAST(turn AS STRING) || '\"}]}'"
+EXPORT = f"CASE (conv_id + turn) % 8 WHEN 0 THEN {BODY} WHEN 1 THEN '[' || {BODY} || ']' WHEN 2 THEN '{{\"documents\": [' || CAST(turn AS STRING) || ']}}' WHEN 3 THEN '{{' || role WHEN 4 THEN '[{{\"text\": \"' || role || '\"}}]' WHEN 5 THEN '{{\"bundle\": ' || {BODY} || '}}' WHEN 6 THEN '{{\"' || role || '\": 1}}' ELSE CAST(turn AS STRING) END"
+
+
+@query(f"""WITH e AS (SELECT conv_id, turn, {EXPORT} AS j FROM conversations), v AS (SELECT *, CASE WHEN json_valid(j) THEN j::JSON END AS v FROM e)
+  SELECT conv_id, turn, CASE WHEN v IS NULL THEN 'text' WHEN json_extract(v, '$[0].messages') IS NOT NULL THEN 'window_array' WHEN json_extract(v, '$[0].text') IS NOT NULL THEN 'document_array' WHEN json_extract(v, '$.bundle') IS NOT NULL THEN 'bundle'
+    WHEN json_extract(v, '$.documents') IS NOT NULL THEN 'documents' WHEN json_extract(v, '$.messages') IS NOT NULL THEN 'messages' WHEN json_type(v) = 'OBJECT' THEN 'object' ELSE 'text' END AS shape FROM v""")
 def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shape of exports in JSON, broken JSON is text."""
-    body = F.to_json(F.struct(F.array(F.struct("role", "text")).alias("messages")))
-    k = F.col("conv_id") % 4
-    made = F.when(k == 0, body).when(k == 1, F.concat(F.lit("["), body, F.lit("]"))).when(k == 2, F.to_json(F.struct(F.array(F.struct("text")).alias("documents")))).otherwise(F.concat(F.lit("{"), "text"))
-    return table(spark, sf_dir, "conversations").select(files.json_shape(made).alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
+    e = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(EXPORT).alias("j"))
+    return e.select("conv_id", "turn", files.json_shape("j").alias("shape"))
 
 
 def _shared(spark: SparkSession) -> str:

@@ -17,28 +17,36 @@ def one_of(values: list[str | None], key: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col(key), F.lit(len(values))) + 1).cast("int"))
 
 
-@query("""SELECT o_orderkey, ['persona', 'sql', 'sql', 'unknown', 'case'][o_orderkey % 5 + 1] AS layer FROM orders""")
+#: Inputs of both sides, made of the tables' columns; the SQL of a query works its rule out on them.
+LAYER, CARD = "CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN 'Persona' WHEN 2 THEN 'SQL' ELSE lower(lang) END", "CASE WHEN doc_id % 3 = 0 THEN ' ' WHEN doc_id % 3 = 1 THEN '' ELSE source END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN lower({LAYER}) IN ('persona', 'sql', 'case') THEN lower({LAYER}) WHEN trim({CARD}) <> '' THEN 'sql' ELSE 'unknown' END AS layer FROM documents""")
 def reviewed_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layer of a reviewed row."""
-    layer = rows.reviewed_layer(one_of(["Persona", "SQL", "other", "", "case"], "o_orderkey"), one_of(["", "", "c1", " ", ""], "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", layer.alias("layer"))
+    return table(spark, sf_dir, "documents").select("doc_id", rows.reviewed_layer(F.expr(LAYER), F.lit(""), F.expr(CARD)).alias("layer"))
 
 
-TYPES = ["Person", "重要事件", "time", "", "规则", "人物", "x", "THING "]
+ANCHOR = "CASE p_partkey % 6 WHEN 0 THEN p_type WHEN 1 THEN p_brand || '重要事件' WHEN 2 THEN ' Thing ' WHEN 3 THEN '人物' || p_name WHEN 4 THEN '规则' ELSE substring(p_type, 1, p_size % 2) || 'Person' END"
+_LOOSE = " ".join(f"WHEN a = '{name}' OR contains(a, '{other}') THEN '{name}'" for name, other in rows.ANCHORS.items())
+_STRICT = " ".join(f"WHEN a IN ('{name}', '{rows.ANCHORS[name]}') THEN '{name}'" for name in ("person", "thing", "event", "rule"))
 
 
-@query("""SELECT p_partkey, ['person', 'event', 'time', 'unknown', 'rule', 'person', 'unknown', 'thing'][p_partkey % 8 + 1] AS loose, ['person', '', '', '', 'rule', 'person', '', 'thing'][p_partkey % 8 + 1] AS strict FROM part""")
+@query(f"""WITH t AS (SELECT p_partkey, lower(trim({ANCHOR})) AS a FROM part) SELECT p_partkey, CASE {_LOOSE} ELSE 'unknown' END AS loose, CASE {_STRICT} ELSE '' END AS strict FROM t""")
 def anchor_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: both variants of the anchor type."""
-    said = one_of(TYPES, "p_partkey")
+    said = F.expr(ANCHOR)
     return table(spark, sf_dir, "part").select("p_partkey", rows.anchor_type(said).alias("loose"), rows.exact_anchor_type(said).alias("strict"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 8 IN (0, 4, 5, 7) AND p_partkey % 11 <> 0 THEN 'accepted' ELSE 'rejected' END AS state,
-  CASE WHEN p_partkey % 8 IN (0, 4, 5, 7) AND p_partkey % 11 <> 0 THEN ['person', '', '', '', 'rule', 'person', '', 'thing'][p_partkey % 8 + 1] || '::' || p_name END AS entry_key FROM part""")
+ENTRY_NAME = "CASE WHEN p_size % 11 = 0 THEN ' ' ELSE p_name || ' ' END"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, lower(trim({ANCHOR})) AS a, trim({ENTRY_NAME}) AS n FROM part), k AS (SELECT *, CASE {_STRICT} ELSE '' END AS kind FROM t)
+  SELECT p_partkey, CASE WHEN kind <> '' AND n <> '' THEN 'accepted' ELSE 'rejected' END AS state, CASE WHEN kind <> '' AND n <> '' THEN kind || '::' || n END AS entry_key FROM k""")
 def entry_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry needs one of four types and a name; both ledgers stay together."""
-    kind, name = rows.exact_anchor_type(one_of(TYPES, "p_partkey")), rows.safe_text(F.when(F.col("p_partkey") % 11 == 0, " ").otherwise(F.col("p_name")))
+    kind, name = rows.exact_anchor_type(F.expr(ANCHOR)), rows.safe_text(F.expr(ENTRY_NAME))
     good = (kind != "") & (name != "")
     return table(spark, sf_dir, "part").select("p_partkey", F.when(good, "accepted").otherwise("rejected").alias("state"), F.when(good, F.concat(kind, F.lit("::"), name)).alias("entry_key"))
 
@@ -58,18 +66,24 @@ def root_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(hay.contains("Brand#1".lower())).orderBy("p_partkey").limit(20).select("p_partkey", "p_name")
 
 
-@query("""SELECT o_orderkey, [true, false, true, true, false, false, false][o_orderkey % 7 + 1] AS plain_date, [true, true, true, true, true, false, false][o_orderkey % 7 + 1] AS generic FROM orders""")
+NAMED = "CASE o_orderkey % 7 WHEN 0 THEN substring(CAST(o_orderdate AS STRING), 1, 10) WHEN 1 THEN '感 觉' || o_orderpriority WHEN 2 THEN substring(CAST(o_orderdate AS STRING), 1, 4) || '年5月' WHEN 3 THEN substring(CAST(o_orderdate AS STRING), 6, 1) || '月3日' WHEN 4 THEN ' ' WHEN 5 THEN 'Order ' || substring(CAST(o_orderdate AS STRING), 1, 10) ELSE o_orderpriority END"
+_GENERIC = " OR ".join(f"starts_with(lower(regexp_replace(n, '\\s+', '', 'g')), '{w}')" for w in rows.GENERIC)
+
+
+@query(rf"""WITH t AS (SELECT o_orderkey, trim({NAMED}) AS n FROM orders), d AS (SELECT *, regexp_matches(n, '{rows.PLAIN_DATE}') AS plain_date FROM t) SELECT o_orderkey, plain_date, n = '' OR plain_date OR {_GENERIC} AS generic FROM d""")
 def generic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are dates only, and names that say nothing."""
-    name = one_of(["1995-03-02", "感 觉很好", "2024年5月", "5月3日", "  ", "Order 1995-03-02", "晚安"], "o_orderkey")
+    name = F.expr(NAMED)
     return table(spark, sf_dir, "orders").select("o_orderkey", rows.is_plain_date(name).alias("plain_date"), rows.is_generic(name).alias("generic"))
 
 
-@query(r"""SELECT o_orderkey, ['b.csv', 'y.txt', 'plain.md', 'sub', '', 'local_source'][o_orderkey % 6 + 1] AS label FROM orders""")
+FILE = "CASE p_partkey % 6 WHEN 0 THEN '/Users/' || p_brand || '/' || p_name WHEN 1 THEN 'C:' || chr(92) || p_type || chr(92) || p_name || '.txt' WHEN 2 THEN ' ' || p_name || '.md' WHEN 3 THEN p_type || '/sub/' WHEN 4 THEN repeat('/', p_size) ELSE p_brand || ':' || chr(92) END"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, trim({FILE}) AS f FROM part) SELECT p_partkey, CASE WHEN contains(f, '/') OR contains(f, chr(92)) THEN coalesce(list_extract(list_filter(string_split_regex(f, '[\\/]+'), lambda x: x <> ''), -1), 'local_source') ELSE f END AS label FROM t""")
 def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files without their folders."""
-    name = one_of(["/Users/a/b.csv", "C:\\x\\y.txt", " plain.md", "dir/sub/", " ", "//"], "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", rows.source_label(name).alias("label"))
+    return table(spark, sf_dir, "part").select("p_partkey", rows.source_label(F.expr(FILE)).alias("label"))
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '.000Z' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.') || right('000' || (epoch_us(ts) // 1000 % 1000), 3) || 'Z' ELSE '' END AS iso FROM events""")
@@ -169,10 +183,13 @@ def span_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.span_sources(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), seen, "l_orderkey", "l_suppkey")
 
 
-@query("""SELECT conv_id, turn, role = 'user' AND turn % 4 = 0 AS is_rule FROM conversations""")
+RULED = "text || CASE WHEN conv_id % 4 = 0 THEN '，如果你察觉到了' WHEN length(text) % 5 = 0 THEN '我希望 你' WHEN turn % 3 = 1 THEN '；保留独立性' ELSE '' END"
+
+
+@query(f"""SELECT conv_id, turn, role = 'user' AND ({' OR '.join(f"contains({RULED}, '{w}')" for w in rows.RULE_LINES)}) AS is_rule FROM conversations""")
 def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: lines of users that state a rule."""
-    said = F.concat(F.col("text"), F.when(F.col("turn") % 4 == 0, "，如果你察觉到了").otherwise(""))
+    said = F.expr(RULED)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("role") == "user") & said.rlike("|".join(rows.RULE_LINES))).alias("is_rule"))
 
 
@@ -212,11 +229,15 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.as_documents(raw, docs, rows.bundle_texts(said, "id", "turn")).select("kind", "id", "char_count")
 
 
-@query("""SELECT file, CASE WHEN file = 'a.json' THEN 'json' WHEN ends_with(file, '.md') THEN 'document' ELSE 'raw_text' END AS kind, n FROM (SELECT ['a.json', 'b.json', 'c.md', 'd.txt'][doc_id % 4 + 1] AS file, count(*) AS n FROM documents GROUP BY 1)""")
+FILE_NAME = "source || CASE doc_id % 5 WHEN 0 THEN '.json' WHEN 1 THEN '.v2.JSON' WHEN 2 THEN '.md' WHEN 3 THEN '.json.txt' ELSE '' END"
+FILE_TEXT = "CASE WHEN doc_id % 3 = 0 THEN '{\"n\": ' || CAST(n_chars AS STRING) || ', \"lang\": \"' || lang || '\"}' WHEN doc_id % 3 = 1 THEN '{' || source ELSE CAST(n_chars AS STRING) END"
+
+
+@query(rf"""WITH f AS (SELECT {FILE_NAME} AS file, {FILE_TEXT} AS value FROM documents), x AS (SELECT *, lower(regexp_extract(file, '\.([^.]+)$', 1)) AS ext FROM f)
+  SELECT file, CASE WHEN ext = 'json' AND json_valid(value) THEN 'json' WHEN ext = 'md' THEN 'document' ELSE 'raw_text' END AS kind, count(*) AS n FROM x GROUP BY 1, 2""")
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a file is by its name; JSON that cannot be read falls back to raw text."""
-    file = one_of(["a.json", "b.json", "c.md", "d.txt"], "doc_id")
-    value = F.when(file == "a.json", '{"documents": []}').when(file == "b.json", "{broken").otherwise(F.col("text"))
+    file, value = F.expr(FILE_NAME), F.expr(FILE_TEXT)
     return table(spark, sf_dir, "documents").select(file.alias("file"), rows.file_kind(file, value).alias("kind")).groupBy("file", "kind").agg(F.count("*").alias("n"))
 
 

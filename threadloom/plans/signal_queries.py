@@ -38,14 +38,14 @@ def needle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", signals.needle_score(F.col("text"), NEEDLES).cast("long").alias("points"))
 
 
-SAID = ["create", "Patch", "revise", " merge_into ", "hold", "archive", "rewrite_card", "", "Other"]
+SAID = "CASE event_id % 9 WHEN 0 THEN 'create' WHEN 1 THEN ' Patch' WHEN 2 THEN 'REVISE' WHEN 3 THEN 'merge_into ' WHEN 4 THEN 'hold' WHEN 5 THEN 'archive' WHEN 6 THEN 'rewrite_card' WHEN 7 THEN substring(event_type, 1, user_id % 2) ELSE upper(event_type) END"
+_DECIDED = " ".join(f"WHEN d IN ({', '.join(repr(a) for a in names)}) THEN '{name}'" for name, names in signals.DECISIONS.items())
 
 
-@query("""SELECT o_orderkey, ['new', 'update', 'update', 'merge', 'skip', 'delete', 'rewrite', 'touch', 'other'][o_orderkey % 9 + 1] AS decision FROM orders""")
+@query(f"""WITH t AS (SELECT event_id, lower(trim({SAID})) AS d FROM events) SELECT event_id, CASE {_DECIDED} WHEN d = '' THEN 'touch' ELSE d END AS decision FROM t""")
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases of decisions."""
-    said = F.element_at(F.array(*map(F.lit, SAID)), (F.col("o_orderkey") % 9 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", signals.decision(said).alias("decision"))
+    """Aliases of decisions; another word stays as it is."""
+    return table(spark, sf_dir, "events").select("event_id", signals.decision(F.expr(SAID)).alias("decision"))
 
 
 @query("""WITH d AS (SELECT doc_id, length(text) AS n, doc_id % 3 = 0 AS chat FROM documents), t AS (SELECT *, CASE WHEN chat THEN CASE WHEN n > 18000 THEN 2400 WHEN n > 9000 THEN 2200 ELSE 1800 END ELSE CASE WHEN n > 18000 THEN 3200 WHEN n > 9000 THEN 2800 ELSE 2200 END END AS target FROM d)

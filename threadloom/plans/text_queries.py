@@ -125,12 +125,14 @@ def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.utf16_length("text").alias("utf16_units"))
 
 
-@query("""SELECT 'window_' || lpad(CAST(conv_id AS VARCHAR), 8, '0') AS window_ref, CAST(max(turn + 1) AS BIGINT) AS last_msg, CAST(0 AS BIGINT) AS bad FROM conversations GROUP BY conv_id""")
+REF = "CASE (conv_id + turn) % 5 WHEN 0 THEN 'window_' || lpad(CAST(conv_id AS STRING), 8, '0') || '_msg_' || CAST(turn + 1 AS STRING) WHEN 1 THEN ' window_' || CAST(20250000 + conv_id AS STRING) || '_msg_' || lpad(CAST(turn AS STRING), 4, '0') WHEN 2 THEN 'window_' || CAST(conv_id AS STRING) || '_msg_1' WHEN 3 THEN 'window_20250101_' || role || '_msg_2' ELSE role END"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, trim({REF}) AS r FROM conversations) SELECT conv_id, turn, CASE WHEN regexp_matches(r, '^(window_\d{{8}})_msg_(\d+)$') THEN regexp_extract(r, '^(window_\d{{8}})_msg_', 1) END AS window_ref, CASE WHEN regexp_matches(r, '^(window_\d{{8}})_msg_(\d+)$') THEN CAST(regexp_extract(r, '_msg_(\d+)$', 1) AS BIGINT) END AS msg_index FROM t""")
 def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """references built and parsed again."""
-    ref = F.concat(F.lit("window_"), F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lit("_msg_"), (F.col("turn") + 1).cast("string"))
-    parsed = table(spark, sf_dir, "conversations").select(text.source_ref(ref).alias("r"), text.source_ref(F.concat(ref, F.lit("x"))).alias("broken"))
-    return parsed.groupBy(F.col("r.window").alias("window_ref")).agg(F.max("r.msg_index").alias("last_msg"), F.count("broken").alias("bad"))
+    """references to a window and a message; others are null."""
+    parsed = table(spark, sf_dir, "conversations").withColumn("r", text.source_ref(F.expr(REF)))
+    return parsed.select("conv_id", "turn", F.col("r.window").alias("window_ref"), "r.msg_index")
 
 
 _GRAMS = "CASE WHEN length({0}) >= {1} THEN list_transform(range(1, length({0}) - {1} + 2), lambda i: substring({0}, i, {1})) ELSE [] END"
