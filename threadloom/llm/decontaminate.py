@@ -29,7 +29,8 @@ from .common import light_batches, slices, table, written
 
 #: Bytes of words: digits, letters, all of UTF-8's others; A-Z become a-z, the rest is a blank.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-BLOCK_BYTES = 32 << 20
+#: Of patterns in one automaton, which takes about 50 times as much in a worker: 200 MB.
+BLOCK_BYTES = 4 << 20
 ADDED = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType())),
     T.StructField("hit_words", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),

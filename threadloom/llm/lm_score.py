@@ -153,12 +153,25 @@ def word_ids(cut: DataFrame, word_shards: int) -> DataFrame:
     return cut.mapInArrow(deal, PARTS).groupBy("shard").applyInPandas(run, PARTS)
 
 
+def _told(parts: DataFrame, rows_of) -> DataFrame:
+    """(kind, key, n) of what shards tell of themselves (their rows of shard -1), by ``rows_of`` a row's arrays, for Spark to add up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.uint64).view(np.int64)) for c in rows_of(*_unpack(blob))], ["kind", "key", "n"])
+
+    return parts.where("shard < 0").select("blob").mapInArrow(run, "kind long, key long, n long")
+
+
 def _totals(ids: DataFrame) -> tuple[int, int, np.ndarray]:
-    """Training tokens, types, and the sorted hashes of frequent words other than the end, of which there are at most 1 / FREQUENT."""
-    rows = [_unpack(bytes(r[0])) for r in ids.where("shard < 0").select("blob").collect()]  # one row for each word shard
-    total = int(sum(r[0][0] for r in rows))
-    often = np.concatenate([r[1][r[2] >= FREQUENT * total] for r in rows]) if rows else np.zeros(0, np.uint64)
-    return total, int(sum(r[0][1] for r in rows)), np.sort(often[often != np.uint64(END)])
+    """Training tokens, types, and the sorted hashes of frequent words other than the end. Shards' sums and candidates are added up and cut in Spark;
+    what comes to the driver are the frequent words, of which there are at most 1 / FREQUENT."""
+    told = _told(ids, lambda sums, words, counts: (np.concatenate([[0, 1], np.full(len(words), 2)]), np.concatenate([np.zeros(2, np.uint64), words.astype(np.uint64)]), np.concatenate([sums, counts])))
+    total, types = told.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in (0, 1))).first()
+    often = told.where((F.col("kind") == 2) & (F.col("n") >= FREQUENT * total)).select("key").collect()
+    words = np.array([r["key"] for r in often], np.int64).view(np.uint64)
+    return int(total), int(types), np.sort(words[words != np.uint64(END)])
 
 
 def _begins(lengths: np.ndarray) -> np.ndarray:
@@ -255,8 +268,10 @@ def scores(docs: DataFrame) -> DataFrame:
     unit = np.log10(total + types + 1)
     step = (unit + np.log10(2)) / 65535  # no stored probability is below 1 / (2 N) or 1 / (N + V + 1)
     pairs = written(pair_counts(cut, often, word_shards))
-    after = [_unpack(bytes(r[0]))[0] for r in pairs.where("shard < 0").select("blob").collect()]  # 1 / FREQUENT numbers for each word shard
-    types_after = sum(after, np.zeros(len(often), np.int64))
+    after = _told(pairs, lambda types: (np.zeros(len(types)), np.arange(len(types)), types)).groupBy("key").agg(F.sum("n").alias("n"))
+    types_after = np.zeros(len(often), np.int64)
+    for r in after.collect():  # a row for each frequent word
+        types_after[r["key"]] = r["n"]
 
     def spread(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         trimmed()
