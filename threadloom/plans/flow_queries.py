@@ -90,10 +90,10 @@ def review_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def note_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy compaction of benchmark notes per length band (order-dependent; tests hold it against a plain version)."""
+    """Greedy compaction of benchmark notes by length band (order-dependent; a test holds this query against a plain fold)."""
     n = table(spark, sf_dir, "benchmark").select(
         F.lit("all").alias("scope"), F.when(F.length("text") > 200, "scene_event").otherwise(F.concat(F.lit("band"), F.floor(F.length("text") / 40).cast("string"))).alias("shape"), F.col("item_id").alias("note"),
-        F.col("item_id").alias("at"), F.substring("text", 1, 20).alias("title"), F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("slices"), ngrams(F.regexp_replace(F.lower("text"), r"\s+", ""), 2).alias("grams"),
+        F.col("item_id").alias("at"), F.substring("text", 1, 20).alias("title"), F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("slices"), ngrams(F.regexp_replace(F.lower("text"), r"\s+", ""), 2, None).alias("grams"),
     )
     return compaction.compacted(n)
 
