@@ -143,14 +143,23 @@ def uncovered(xs: Column, most: int = 6) -> Column:
 
 
 def exact_or_type(cards: DataFrame, requests: DataFrame, family: str, kind: str, order: list, most: int) -> DataFrame:
-    """For each request (family, kind): its first ``most`` cards of the same family and kind, or, if there are none, of the kind.
+    """For each request (family, kind): its first ``most`` cards of the same family and kind, or, if there are none, of the kind. A blank family or kind fits any.
 
-    Cards are cut to ``most`` for each key before they meet a request, so a large kind costs no more than a small one.
+    Cards are cut to ``most`` for each key before they meet a request, so a large kind costs no more than a small one. ``family`` and ``kind`` stay as they are
+    asked for; a card's own are in ``card_family`` and ``card_kind``.
     """
-    top = lambda keys: cards.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
-    exact = requests.join(top([family, kind]), [family, kind]).withColumn("tier", F.lit("exact"))
-    rest = requests.join(exact.select(family, kind).distinct(), [family, kind], "left_anti")
-    return exact.unionByName(rest.join(top([kind]).drop(family), kind).withColumn("tier", F.lit("type")).select(*exact.columns))
+    own = cards.withColumnRenamed(family, "card_family").withColumnRenamed(kind, "card_kind")
+    rank = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    top = lambda keys: own.withColumn("rank", rank(keys)).where(F.col("rank") <= most)
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    meet = lambda asked, keys: asked.join(top([f"card_{n}" for n in keys]), [F.col(c) == F.col(f"card_{n}") for n, c in keys.items()])
+    both, of_kind, of_family = {"family": family, "kind": kind}, {"kind": kind}, {"family": family}
+    exact = meet(requests.where(~blank(family) & ~blank(kind)), both).unionByName(meet(requests.where(blank(family) & ~blank(kind)), of_kind)).unionByName(meet(requests.where(~blank(family) & blank(kind)), of_family))
+    first = own.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # ``most`` rows
+    exact = exact.unionByName(requests.where(blank(family) & blank(kind)).withColumn("any_", F.lit(1)).join(F.broadcast(first.withColumn("any_", F.lit(1))), "any_").drop("any_").select(*exact.columns)).withColumn("tier", F.lit("exact"))
+    met = exact.select(F.col(family).alias("f_"), F.col(kind).alias("k_")).distinct()
+    rest = requests.join(met, requests[family].eqNullSafe(met["f_"]) & requests[kind].eqNullSafe(met["k_"]), "left_anti")
+    return exact.unionByName(meet(rest, of_kind).withColumn("tier", F.lit("type")).select(*exact.columns))
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

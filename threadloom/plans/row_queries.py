@@ -150,15 +150,20 @@ def fact_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rank.cast("long").alias("rank"))
 
 
-@query("""WITH r AS (SELECT * FROM (VALUES ('F'), ('O'), ('X')) a(family), (VALUES ('1-URGENT'), ('5-LOW'), ('none')) b(kind)), o AS (SELECT o_orderkey AS card, o_orderstatus AS family, o_orderpriority AS kind FROM orders),
-  x AS (SELECT family, kind, card, row_number() OVER (PARTITION BY family, kind ORDER BY card) AS rank FROM o), t AS (SELECT kind, card, row_number() OVER (PARTITION BY kind ORDER BY card) AS rank FROM o)
-  SELECT family, kind, card, rank, 'exact' AS tier FROM x JOIN r USING (family, kind) WHERE rank <= 8
-  UNION ALL SELECT r.family, r.kind, card, rank, 'type' FROM r JOIN t ON t.kind = r.kind WHERE rank <= 8 AND NOT EXISTS (SELECT 1 FROM x WHERE x.family = r.family AND x.kind = r.kind)""")
+@query("""WITH o AS (SELECT o_orderkey AS card, o_orderstatus AS family, o_orderpriority AS kind, o_totalprice AS p FROM orders), r AS (SELECT DISTINCT * FROM (SELECT family, kind FROM o UNION ALL SELECT '', kind FROM o UNION ALL SELECT family, '' FROM o UNION ALL SELECT 'X', kind FROM o UNION ALL SELECT 'X', 'none' UNION ALL SELECT '', '')),
+  m AS (SELECT r.family, r.kind, card, row_number() OVER (PARTITION BY r.family, r.kind ORDER BY p DESC, card) AS rank FROM r JOIN o ON (r.family = '' OR o.family = r.family) AND (r.kind = '' OR o.kind = r.kind)),
+  t AS (SELECT kind, card, row_number() OVER (PARTITION BY kind ORDER BY p DESC, card) AS rank FROM o)
+  SELECT family, kind, card, rank, 'exact' AS tier FROM m WHERE rank <= 8 UNION ALL SELECT r.family, r.kind, card, rank, 'type' FROM r JOIN t ON t.kind = r.kind WHERE rank <= 8 AND NOT EXISTS (SELECT 1 FROM m WHERE m.family = r.family AND m.kind = r.kind)""")
 def candidate_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of the same family and type, or else of the type alone, eight of each."""
-    asked = spark.createDataFrame([(a, b) for a in "FOX" for b in ("1-URGENT", "5-LOW", "none")], "family string, kind string")
-    cards = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("card"), F.col("o_orderstatus").alias("family"), F.col("o_orderpriority").alias("kind"))
-    return rows.exact_or_type(cards, asked, "family", "kind", [F.col("card")], 8).select("family", "kind", "card", F.col("rank").cast("long").alias("rank"), "tier")
+    """The eight dearest cards of the same family and type, blank ones fitting any, or else of the type alone."""
+    o = table(spark, sf_dir, "orders")
+    cards = o.select(F.col("o_orderkey").alias("card"), F.col("o_orderstatus").alias("family"), F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("p"))
+    blank, none, x = F.lit(""), F.lit("none"), F.lit("X")
+    asked = cards.select("family", "kind").distinct()
+    parts = [(blank, F.col("kind")), (F.col("family"), blank), (x, F.col("kind")), (x, none), (blank, blank)]
+    for a, b in parts:
+        asked = asked.unionByName(cards.select(a.alias("family"), b.alias("kind")).distinct())
+    return rows.exact_or_type(cards, asked.distinct(), "family", "kind", [F.desc("p"), F.col("card")], 8).select("family", "kind", "card", F.col("rank").cast("long").alias("rank"), "tier")
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.!?\n ]+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM conversations)
