@@ -193,6 +193,7 @@ class Trie:
         below = 10.0 ** (low[at] * -step)
         single = ~given[np.flatnonzero(new_u)] if n else np.zeros(0, bool)
         p2 = np.where(single[owner], (c_uw + types[owner] * below) / (c_u + types)[owner], below)
+        p2 = 10.0 ** (np.rint(np.log10(p2) / -step) * -step)  # as it is stored, and as it is given: a word that grows frequent changes nothing
         left2 = np.where(single, np.log10(types / np.maximum(1, types + c_u)), 0.0)
         successors = Ranges.of(owner, w[at], k)
         rank = iw - np.concatenate([[0], np.cumsum(types)])[iu]  # of w in u's list

@@ -213,8 +213,9 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     tree = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # null first, then by bytes
     changed = F.when(tampered(F.col("doc_id")), leaf(F.translate("text", UPPER, LOWER)))
     rows = docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf(F.col("text")).alias("leaf"), changed.alias("changed"))
+    # written first: a range sort reads its rows twice, and texts are hashed once
     sources = rounds(placed(written(rows), ["doc_id", "leaf"]).withColumn("digest", F.encode("leaf", "UTF-8")), levels)
-    # written first: a range sort reads its rows twice, and texts are hashed once; the same again, with the sources' roots as leaves of one tree
+    # the same again, with the sources' roots as leaves of one tree
     top = rounds(placed(sources[-1].select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"), ["source"]), levels)
     ends = top[-1].select("tree", F.array().cast(STEPS).alias("path"), F.lit(None).cast("binary").alias("subroot"), F.col("digest").alias("root"))
     ranks = top[0].select("place", "source", F.col("digest").alias("subroot"))
