@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import ids, text
-from threadloom.operators.shape import KEYWORDS, shape
+from threadloom.operators.scenes import LOOSE
+from threadloom.operators.shape import BOOSTS, KEYWORDS, PLAIN_SIGNALS, memo_shape, shape
 from threadloom.sources.tables import table
 
 from .registry import query
@@ -174,6 +175,34 @@ def memory_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", shape(F.split("text", r"\s+"), SHAPES).alias("shape"))
 
 
+TITLE = "CASE (conv_id + turn) % 7 WHEN 0 THEN '第一次 ' || substring(text, 1, 8) WHEN 1 THEN '阿明' WHEN 2 THEN '晚安/' || role WHEN 3 THEN '信' WHEN 4 THEN '关系' ELSE substring(text, 1, 20) END"
+KIND = "CASE WHEN conv_id % 11 = 0 THEN '长期主线' WHEN conv_id % 11 = 1 THEN 'Persona' ELSE role END"
+BODY = "CASE length(text) % 5 WHEN 0 THEN '计划，打卡 ' || substring(text, 1, 30) WHEN 1 THEN '写下日记（花）' WHEN 2 THEN 'the Protocol of ' || role ELSE substring(text, 1, 60) END"
+TAG = "CASE turn % 4 WHEN 0 THEN '关系/共生' WHEN 1 THEN '#方法/训练' WHEN 2 THEN '昵称' ELSE role END"
+
+
+def _memo_sql() -> str:
+    quote = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    hit = lambda w: f"CASE WHEN lower(s) = '{w.lower()}' THEN 8 WHEN contains(lower(s), '{w.lower()}') THEN 4 ELSE 0 END"
+    terms = rf"list_filter(list_transform(string_split_regex(s, '{LOOSE.replace(chr(39), chr(39) * 2)}'), lambda x: trim(x)), lambda x: length(x) >= 2)"
+    sums = ", ".join(f"sum({' + '.join(map(hit, words))} + 3 * len(list_filter(t, lambda x: x IN ({quote(words)})))) AS {k}" for k, words in KEYWORDS.items())
+    boosted = ", ".join(f"coalesce(any_value(p.{k}), 0) + CASE WHEN regexp_matches(any_value(m.merged), '{BOOSTS[k][1]}') THEN {BOOSTS[k][0]} ELSE 0 END" + (" + CASE WHEN regexp_matches(any_value(m.title), '^阿[一-龥]{1,2}$') THEN 8 ELSE 0 END" if k == "preference_profile" else "") + f" AS {k}" for k in KEYWORDS)
+    best = f"greatest({', '.join(KEYWORDS)})"
+    first = " ".join(f"WHEN {k} = {best} THEN '{k}'" for k in KEYWORDS)
+    return rf"""WITH m AS (SELECT conv_id, turn, trim({TITLE}) AS title, {KIND} AS kind, regexp_replace({BODY}, '^\s+|\s+$', '', 'g') AS body, {TAG} AS tag FROM conversations), n AS (SELECT *, title || ' ' || tag || '  ' || body AS merged FROM m),
+      g AS (SELECT conv_id, turn, unnest(list_filter([title, kind, body, tag], lambda x: x <> '' AND x NOT IN ({quote(PLAIN_SIGNALS)}))) AS s FROM n), t AS (SELECT *, {terms} AS t FROM g), p AS (SELECT conv_id, turn, {sums} FROM t GROUP BY conv_id, turn),
+      b AS (SELECT m.conv_id, m.turn, any_value(m.kind) AS kind, {boosted} FROM n m LEFT JOIN p ON m.conv_id = p.conv_id AND m.turn = p.turn GROUP BY m.conv_id, m.turn)
+      SELECT conv_id, turn, CASE WHEN kind = '长期主线' THEN 'project_line' WHEN kind = 'Persona' THEN 'self_definition' WHEN {best} < 9 THEN 'scene_event' {first} END AS shape, CAST(CASE WHEN kind IN ('长期主线', 'Persona') THEN 0 ELSE {best} END AS BIGINT) AS points FROM b"""
+
+
+@query(_memo_sql())
+def memo_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shapes of memos by the fixed keywords, terms and rules; a kind that names one decides."""
+    none = F.array().cast("array<string>")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(TITLE).alias("title"), F.expr(KIND).alias("memo_kind"), F.lit("").alias("query"), F.lit(None).cast("string").alias("context"), F.expr(BODY).alias("snapshot"), F.array(F.expr(TAG)).alias("tags"), *(none.alias(k) for k in ("topics", "scene_handles", "facts", "activation_triggers", "source_titles")))
+    return c.withColumn("x", memo_shape()).select("conv_id", "turn", "x.shape", "x.points")
+
+
 @query()
 def fnv_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FNV-1a of names (tests hold it against known values)."""
