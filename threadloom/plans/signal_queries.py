@@ -164,12 +164,14 @@ def json_blob_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.size("blobs")).cast("long").alias("valid_props"))
 
 
-@query("""SELECT conv_id, count(*) AS n_entries, min(role) AS first_anchor FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, role AS anchor, 'w' || turn || CASE WHEN turn % 2 = 0 THEN chr(10) || 'more of ' || role ELSE '' END AS name FROM conversations""")
 def entry_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """notes in the entry grammar, written and parsed again."""
-    note = F.concat(F.lit("### ENTRY\nanchor: "), "role", F.lit("\nname: w"), F.col("turn").cast("string"), F.lit("\nmore of it\n"))
-    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(note), "").alias("note"))
-    return whole.select("conv_id", F.explode(parsing.entries("note")).alias("e")).groupBy("conv_id").agg(F.count("*").alias("n_entries"), F.min(F.col("e")["anchor"]).alias("first_anchor"))
+    """notes in the entry grammar, written in order and parsed again, field by field; lines without a key go on with the value before."""
+    more = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("more of "), "role", F.lit("\n"))).otherwise("\n")
+    note = F.concat(F.lit("### ENTRY "), F.col("turn").cast("string"), F.lit("\n Anchor : "), "role", F.lit("\nname:w"), F.col("turn").cast("string"), F.lit("  \n"), more)
+    lines = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", note.alias("note")))).alias("ns"))
+    whole = lines.select("conv_id", F.concat(F.lit("lead\n"), F.array_join(F.transform("ns", lambda x: x["note"]), "")).alias("note"))
+    return whole.select("conv_id", F.posexplode(parsing.entries("note")).alias("nth", "e")).select("conv_id", F.col("nth").cast("long").alias("nth"), F.col("e")["anchor"].alias("anchor"), F.col("e")["name"].alias("name"))
 
 
 @query("""WITH e AS (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem GROUP BY ALL), s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0), p AS (SELECT p_partkey FROM part WHERE p_size > 10)
