@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import ids, text
 from threadloom.operators import bundle, chunking, compaction, growth, ranking, relations, rows, shape, state, timeline
 from threadloom.sources import files
-from threadloom.streaming.submissions import applied_once, windowed_counts
+from threadloom.streaming.submissions import applied_once, apply_batch, windowed_counts
 
 
 def one(spark, column, **values):
@@ -163,6 +163,11 @@ def test_streaming(spark, tmp_path):
     applied_once(stream(), out, f"file://{tmp_path}/cp").awaitTermination()
     assert sorted(r["arrival"] for r in spark.read.parquet(out).collect()) == [1, 2, 5]
     assert [r["arrival"] for r in spark.read.parquet(f"{out}_conflicts").collect()] == [4]
+    again = spark.createDataFrame([(6, "d", "d1"), (7, "a", "d9")], "arrival long, task string, digest string")
+    for _ in range(2):  # a batch that is run again
+        apply_batch(again, out, "x-1")
+    assert sorted(r["arrival"] for r in spark.read.parquet(out).collect()) == [1, 2, 5, 6]
+    assert sorted(r["arrival"] for r in spark.read.parquet(f"{out}_conflicts").collect()) == [4, 7]
     events = spark.readStream.schema(spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema).parquet("/root/testdata/sf0.001/events.parquet*")
     q = windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").writeStream.format("memory").queryName("counts").outputMode("complete").start()
     q.processAllAvailable()

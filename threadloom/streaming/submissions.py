@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadloom.operators.state import submissions
+from threadloom.sources.folders import exists
 
 
-def applied_once(stream: DataFrame, table: str, checkpoint: str, key: str = "task", digest: str = "digest") -> StreamingQuery:
-    """Appends each submission once: a replay is dropped, another digest for a known key goes to ``<table>_conflicts``.
+def apply_batch(batch: DataFrame, table: str, mark: str, key: str = "task", digest: str = "digest") -> None:
+    """Writes what a batch adds to the table, and its conflicts to ``<table>_conflicts``, under the batch's own mark (column ``batch``).
 
-    Runs until all that is there has been read, and resumes at its checkpoint. A batch that is run again finds its own
-    rows and drops them as replays.
+    What is known are the rows of other batches, and each write replaces what the same batch has left, so a batch that is run again, whole or after it broke
+    off between its writes, leaves the same rows and the same conflicts once.
     """
+    spark = batch.sparkSession
+    known = spark.read.parquet(table).where(F.col("batch") != mark).select(key, digest) if exists(spark, table) else batch.select(key, digest).limit(0)
+    judged = submissions(batch, known, key, digest).persist()
+    for outcome, path in (("write", table), ("conflict", f"{table}_conflicts")):
+        judged.where(F.col("outcome") == outcome).drop("outcome").write.mode("overwrite").parquet(f"{path}/batch={mark}")
+    judged.unpersist()
 
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(table)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        known = spark.read.parquet(table).select(key, digest) if there else batch.select(key, digest).limit(0)
-        judged = submissions(batch, known, key, digest).persist()
-        judged.where("outcome = 'write'").drop("outcome").write.mode("append").parquet(table)
-        judged.where("outcome = 'conflict'").drop("outcome").write.mode("append").parquet(f"{table}_conflicts")
-        judged.unpersist()
 
+def applied_once(stream: DataFrame, table: str, checkpoint: str, key: str = "task", digest: str = "digest") -> StreamingQuery:
+    """Appends each submission once: a replay is dropped, another digest for a known key goes to the conflicts.
+
+    Runs until all that is there has been read, and resumes at its checkpoint. Batches are told apart by the checkpoint and their number.
+    """
+    run = f"r{zlib.crc32(checkpoint.encode()):08x}"
+    put = lambda batch, number: apply_batch(batch, table, f"{run}-{number}", key, digest)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
