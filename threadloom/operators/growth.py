@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import compact, date_literal, first_text, safe_text
+
 
 def placement(groups: DataFrame) -> DataFrame:
     """Adds action and confidence to groups (trunk boolean, n_batches, n_windows, n_rows, n_facts, good_name boolean)."""
@@ -48,3 +50,49 @@ def roots(rows: DataFrame) -> DataFrame:
         (F.col("r.conflicts") > 0).alias("conflict_hint"), F.col("r.facts").alias("facts"),
         F.when(F.col("r.versions") > 1, "updated").when(F.size("r.facts") > 0, "stable").otherwise("volatile").alias("evolution"),
     )
+
+
+#: Names of types in group keys; how many names a month shows, and how many groups of sources.
+TYPE_KEYS = {"人物": "person", "规则": "rule", "事件": "event", "事物": "thing"}
+NAMES, SOURCES = 12, 20
+
+
+def grouped_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups and members of rows (id, kind, title, time, batch): (key, type_key, title, first_seen, last_seen, first_batch, n_rows, n_batches) and (key, id).
+
+    A group is a type and a title in compact form; its title is the first spelling by id. Members stay rows of their own, so a group may have as many as it likes.
+    """
+    kind = F.lower(safe_text("kind"))
+    type_key = F.coalesce(F.create_map(*(F.lit(x) for kv in TYPE_KEYS.items() for x in kv))[kind], kind)
+    keyed = rows.select("id", type_key.alias("type_key"), safe_text("title").alias("title"), date_literal("time").alias("day"), "batch").withColumn("key", F.concat_ws("::", "type_key", compact("title")))
+    day = F.when(F.col("day") != "", F.col("day"))
+    groups = keyed.groupBy("key", "type_key").agg(
+        F.min_by("title", "id").alias("title"), F.coalesce(F.min(day), F.lit("")).alias("first_seen"), F.coalesce(F.max(day), F.lit("")).alias("last_seen"), F.min("batch").alias("first_batch"),
+        F.count("*").alias("n_rows"), F.count_distinct("batch").alias("n_batches"),
+    )
+    return groups, keyed.select("key", "id")
+
+
+def reviewed_months(rows: DataFrame) -> DataFrame:
+    """(month_key, rows, persona, sql, case, unknown, evolution, names) of reviewed rows (month_key, layer, evolution_status, name, place), with one row ``total`` for all.
+
+    ``evolution`` counts the states of SQL rows (blank: volatile), ``names`` are their first twelve names. Names are ranked by where they come first, not gathered.
+    """
+    layers = ("persona", "sql", "case", "unknown")
+    layer = F.when(F.lower("layer").isin(*layers), F.lower("layer")).otherwise("unknown")
+    r = rows.select("month_key", layer.alias("layer"), first_text("evolution_status", F.lit("volatile")).alias("state"), safe_text("name").alias("name"), "place")
+    per = r.rollup("month_key").agg(F.count("*").alias("rows"), *(F.count_if(F.col("layer") == k).alias(k) for k in layers)).withColumn("month_key", F.coalesce("month_key", F.lit("total")))
+    states = r.where("layer = 'sql'").groupBy("month_key", "state").agg(F.count("*").alias("n")).groupBy("month_key").agg(F.array_sort(F.collect_list(F.struct("state", "n"))).alias("evolution"))
+    first = r.where("layer = 'sql' AND name <> ''").groupBy("month_key", "name").agg(F.min("place").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("month_key").orderBy("place", "name"))
+    names = first.withColumn("rank", rank).where(F.col("rank") <= NAMES).groupBy("month_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
+    return per.join(states, "month_key", "left").join(names, "month_key", "left")
+
+
+def source_groups(rows: DataFrame, most: int = SOURCES) -> DataFrame:
+    """(key, persona_rows, sql_rows, total_rows, first_time, last_time, all_rows, all_groups): the largest groups of rows (key, layer, time), equal ones by key, beside the totals."""
+    stamp = F.when(safe_text("time") != "", safe_text("time"))
+    layer = F.lower(safe_text("layer"))
+    per = rows.groupBy("key").agg(F.count_if(layer == "persona").alias("persona_rows"), F.count_if(layer == "sql").alias("sql_rows"), F.count("*").alias("total_rows"), F.coalesce(F.min(stamp), F.lit("")).alias("first_time"), F.coalesce(F.max(stamp), F.lit("")).alias("last_time"))
+    totals = per.agg(F.sum("total_rows").alias("all_rows"), F.count("*").alias("all_groups"))
+    return per.orderBy(F.desc("total_rows"), "key").limit(most).withColumn("one_", F.lit(1)).join(F.broadcast(totals.withColumn("one_", F.lit(1))), "one_").drop("one_")  # one row

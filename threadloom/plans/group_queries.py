@@ -256,3 +256,54 @@ def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running offsets within a group."""
     before = F.sum("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1))
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.coalesce(before, F.lit(0.0)) > 200000).alias("over_budget"))
+
+
+_GROWTH = "CASE o_orderpriority WHEN '1-URGENT' THEN '人物' WHEN '2-HIGH' THEN 'Event ' WHEN '5-LOW' THEN '规则' ELSE o_orderpriority END"
+_TITLE = "CASE WHEN o_orderkey % 3 = 0 THEN 'Root  ' ELSE 'root' END || CAST(o_custkey % 40 AS STRING)"
+
+
+def growth_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    time = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.date_format(F.add_months(F.col("o_orderdate").cast("date"), 360), "yyyy/M/d"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_GROWTH).alias("kind"), F.expr(_TITLE).alias("title"), time.alias("time"), F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM").alias("batch"))
+
+
+_GROUPED = f"""r AS (SELECT o_orderkey AS id, CASE lower(trim({_GROWTH})) WHEN '人物' THEN 'person' WHEN '规则' THEN 'rule' ELSE lower(trim({_GROWTH})) END AS type_key, {_TITLE} AS title, CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate + INTERVAL 30 YEAR, '%Y-%m-%d') END AS day, strftime(o_orderdate, '%Y-%m') AS batch FROM orders),
+  k AS (SELECT *, type_key || '::' || lower(replace(title, ' ', '')) AS key FROM r)"""
+
+
+@query(f"""WITH {_GROUPED} SELECT key, type_key, arg_min(title, id) AS title, coalesce(min(day), '') AS first_seen, coalesce(max(day), '') AS last_seen, min(batch) AS first_batch, count(*) AS n_rows, count(DISTINCT batch) AS n_batches FROM k GROUP BY key, type_key""")
+def growth_group_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: groups by type and compact title, with dates in one form (thirty years on, as dates begin with 2000)."""
+    return growth.grouped_rows(growth_input(spark, sf_dir))[0]
+
+
+@query(f"WITH {_GROUPED} SELECT key, id FROM k")
+def growth_group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: the rows of each group."""
+    return growth.grouped_rows(growth_input(spark, sf_dir))[1]
+
+
+@query("""WITH r AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, CASE o_orderstatus WHEN 'F' THEN 'persona' WHEN 'O' THEN 'sql' ELSE 'unknown' END AS layer, CASE WHEN o_orderkey % 3 = 0 THEN 'volatile' ELSE o_orderpriority END AS state, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'n' || (o_custkey % 30) END AS name, o_orderkey AS place FROM orders),
+  p AS (SELECT coalesce(m, 'total') AS month_key, count(*) AS rows, count(*) FILTER (layer = 'persona') AS persona, count(*) FILTER (layer = 'sql') AS sql, 0 AS "case", count(*) FILTER (layer = 'unknown') AS unknown FROM r GROUP BY ROLLUP (m)),
+  e AS (SELECT m, string_agg(state || '=' || n, ',' ORDER BY state) AS evolution FROM (SELECT m, state, count(*) AS n FROM r WHERE layer = 'sql' GROUP BY m, state) GROUP BY m),
+  n AS (SELECT m, name, row_number() OVER (PARTITION BY m ORDER BY min(place), name) AS k FROM r WHERE layer = 'sql' AND name <> '' GROUP BY m, name), l AS (SELECT m, string_agg(name, '|' ORDER BY k) AS names FROM n WHERE k <= 12 GROUP BY m)
+  SELECT month_key, rows AS n_rows, persona, sql AS n_sql, unknown, coalesce(evolution, '') AS evolution, coalesce(names, '') AS names FROM p LEFT JOIN e ON e.m = month_key LEFT JOIN l ON l.m = month_key""")
+def reviewed_month_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months with their layers, states and names, and the total."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM").alias("month_key"), F.when(F.col("o_orderstatus") == "F", "Persona").when(F.col("o_orderstatus") == "O", "sql").otherwise("other").alias("layer"),
+        F.when(k % 3 == 0, " ").otherwise(F.col("o_orderpriority")).alias("evolution_status"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("o_custkey") % 30).cast("string"))).alias("name"), k.alias("place"),
+    )
+    pairs = F.array_join(F.transform("evolution", lambda x: F.concat(x["state"], F.lit("="), x["n"].cast("string"))), ",")
+    out = growth.reviewed_months(rows)
+    return out.select("month_key", F.col("rows").alias("n_rows"), "persona", F.col("sql").alias("n_sql"), "unknown", F.coalesce(pairs, F.lit("")).alias("evolution"), F.coalesce(F.array_join("names", "|"), F.lit("")).alias("names"))
+
+
+@query("""WITH r AS (SELECT source AS key, CASE WHEN lang = 'en' THEN 'persona' WHEN lang = 'de' THEN 'sql' ELSE lang END AS layer, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lpad(CAST(n_chars AS VARCHAR), 9, '0') END AS t FROM documents)
+  SELECT key, count(*) FILTER (layer = 'persona') AS persona_rows, count(*) FILTER (layer = 'sql') AS sql_rows, count(*) AS total_rows, coalesce(min(t), '') AS first_time, coalesce(max(t), '') AS last_time, (SELECT count(*) FROM r) AS all_rows, (SELECT count(DISTINCT key) FROM r) AS all_groups FROM r GROUP BY key ORDER BY total_rows DESC, key LIMIT 20""")
+def source_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty largest groups of sources with layers and times (a top-k report)."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("source").alias("key"), F.when(F.col("lang") == "en", "Persona").when(F.col("lang") == "de", " SQL ").otherwise(F.col("lang")).alias("layer"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.lpad(F.col("n_chars").cast("string"), 9, "0")).alias("time"))
+    return growth.source_groups(rows)
