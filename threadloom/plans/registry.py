@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import contract_queries, evidence_queries, flow_queries, folder_queries, group_queries, lineage_queries, note_queries, relation_queries, review_queries, row_queries, signal_queries, snippet_queries, text_queries, voice_queries  # noqa: E402, F401  they register themselves
+from . import contract_queries, evidence_queries, flow_queries, folder_queries, group_queries, lineage_queries, note_queries, relation_queries, review_queries, root_queries, row_queries, signal_queries, snippet_queries, text_queries, voice_queries  # noqa: E402, F401  they register themselves
