@@ -43,3 +43,28 @@ def contiguity(messages: DataFrame, window: str, index: str, arrival: str) -> Da
     per = messages.withColumn("step", step).groupBy(window)
     kinds = per.agg(F.count_if(F.col("step") < 0).alias("back"), F.count_if(F.col("step") == 0).alias("same"), F.count_if(F.col("step") > 1).alias("gaps"))
     return kinds.select(window, F.when(F.col("back") > 0, "disorder").when(F.col("same") > 0, "duplicate").when(F.col("gaps") > 0, "gap").otherwise("exact").alias("status"), "gaps")
+
+
+def exact_chunks(messages: DataFrame, bundle: str, window: str, index: str, arrival: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """States of bundles, and chunks of those that are exact: (bundle, status) and (bundle, window, chunk_no, start_msg_index, end_msg_index, message_count).
+
+    A bundle is ``exact`` if each message names a window and a number of 1 and more, windows stand one after the other, and numbers rise by one in each. Else it has the first of these: ``missing_window``,
+    ``missing_index``, ``mixed_window``, ``disorder``, ``duplicate``, ``gap``, and no chunks at all. Chunks have ``size`` messages of one window, the last one what is left.
+    """
+    by = Window.partitionBy(bundle).orderBy(arrival)
+    step = F.col(index) - F.lag(index).over(Window.partitionBy(bundle, window).orderBy(arrival))
+    named = F.coalesce(F.trim(F.col(window).cast("string")), F.lit("")) != ""
+    rows = messages.withColumn("named_", named).withColumn("turn_", (F.lag(window).over(by).isNull() | (F.lag(window).over(by) != F.col(window))).cast("int")).withColumn("step_", step)
+    per = rows.groupBy(bundle).agg(
+        F.count_if(~F.col("named_")).alias("a"), F.count_if(F.coalesce(F.col(index) < 1, F.lit(True))).alias("b"), (F.sum("turn_") - F.count_distinct(window)).alias("c"), F.count_if(F.col("step_") < 0).alias("d"),
+        F.count_if(F.col("step_") == 0).alias("e"), F.count_if(F.col("step_") > 1).alias("f"),
+    )
+    status = F.lit("exact")
+    for column, name in reversed(list(zip("abcdef", ("missing_window", "missing_index", "mixed_window", "disorder", "duplicate", "gap"), strict=True))):
+        status = F.when(F.col(column) > 0, name).otherwise(status)
+    states = per.select(bundle, status.alias("status"))
+    good = messages.join(states.where("status = 'exact'").select(bundle), bundle, "left_semi")
+    first = good.groupBy(bundle, window).agg(F.min(index).alias("first_"))
+    numbered = good.join(first, [bundle, window]).withColumn("chunk_no", (F.floor((F.col(index) - F.col("first_")) / size) + 1).cast("long"))
+    chunks = numbered.groupBy(bundle, window, "chunk_no").agg(F.min(index).alias("start_msg_index"), F.max(index).alias("end_msg_index"), F.count("*").alias("message_count"))
+    return states, chunks

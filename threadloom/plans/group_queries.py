@@ -307,3 +307,31 @@ def source_group_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     rows = d.select(F.col("source").alias("key"), F.when(F.col("lang") == "en", "Persona").when(F.col("lang") == "de", " SQL ").otherwise(F.col("lang")).alias("layer"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.lpad(F.col("n_chars").cast("string"), 9, "0")).alias("time"))
     return growth.source_groups(rows)
+
+
+def bundle_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by pairs as bundles of two windows; one bundle in seven has a gap, one a repeat, one a turn before its time, one mixed windows, one a message without a window, one without a number."""
+    c = table(spark, sf_dir, "conversations")
+    b, k, t = F.expr("conv_id div 2"), F.expr("(conv_id div 2) % 7"), F.col("turn")
+    index = F.when((k == 1) & (t >= 2), t + 2).when((k == 2) & (t == 2), t).when((k == 3) & (t == 1), t + 2).when((k == 6) & (t == 0), F.lit(None)).otherwise(t + 1)
+    at = F.when(k == 4, t * 2 + F.col("conv_id") % 2).otherwise(F.col("conv_id") % 2 * 1000 + t)
+    window = F.when((k == 5) & (t == 0), " ").otherwise(F.concat(F.lit("w"), F.col("conv_id").cast("string")))
+    return c.select(b.alias("bundle"), window.alias("win"), index.cast("long").alias("i"), at.alias("at_"))
+
+
+_BUNDLES = """m AS (SELECT conv_id // 2 AS bundle, CASE WHEN (conv_id // 2) % 7 = 5 AND turn = 0 THEN ' ' ELSE 'w' || conv_id END AS w, CASE WHEN (conv_id // 2) % 7 = 1 AND turn >= 2 THEN turn + 2 WHEN (conv_id // 2) % 7 = 2 AND turn = 2 THEN turn WHEN (conv_id // 2) % 7 = 3 AND turn = 1 THEN turn + 2 WHEN (conv_id // 2) % 7 = 6 AND turn = 0 THEN NULL ELSE turn + 1 END AS i,
+    CASE WHEN (conv_id // 2) % 7 = 4 THEN turn * 2 + conv_id % 2 ELSE conv_id % 2 * 1000 + turn END AS pos FROM conversations),
+  x AS (SELECT *, i - lag(i) OVER (PARTITION BY bundle, w ORDER BY pos) AS step, coalesce(lag(w) OVER (PARTITION BY bundle ORDER BY pos) <> w, true)::INT AS t FROM m),
+  s AS (SELECT bundle, CASE WHEN count(*) FILTER (trim(w) = '') > 0 THEN 'missing_window' WHEN count(*) FILTER (i IS NULL) > 0 THEN 'missing_index' WHEN sum(t) > count(DISTINCT w) THEN 'mixed_window' WHEN count(*) FILTER (step < 0) > 0 THEN 'disorder' WHEN count(*) FILTER (step = 0) > 0 THEN 'duplicate' WHEN count(*) FILTER (step > 1) > 0 THEN 'gap' ELSE 'exact' END AS status FROM x GROUP BY bundle)"""
+
+
+@query(f"WITH {_BUNDLES} SELECT * FROM s")
+def bundle_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps a bundle from exact chunks."""
+    return timeline.exact_chunks(bundle_messages(spark, sf_dir), "bundle", "win", "i", "at_", 3)[0]
+
+
+@query(f"WITH {_BUNDLES}, g AS (SELECT m.*, min(i) OVER (PARTITION BY bundle, w) AS f FROM m WHERE bundle IN (SELECT bundle FROM s WHERE status = 'exact')) SELECT bundle, w AS win, (i - f) // 3 + 1 AS chunk_no, min(i) AS start_msg_index, max(i) AS end_msg_index, count(*) AS message_count FROM g GROUP BY 1, 2, 3")
+def exact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of three messages, each of one window."""
+    return timeline.exact_chunks(bundle_messages(spark, sf_dir), "bundle", "win", "i", "at_", 3)[1]
