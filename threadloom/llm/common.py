@@ -58,11 +58,16 @@ def sliced(batch: pa.RecordBatch, at: int, most: int = SLICE_BYTES) -> Iterator[
         first = last
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """All batches of a task, ``sliced``; what the worker's task before has left is given back first."""
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """All batches of a task, ``sliced``; what the worker's task before, and the last slices, have left is given back."""
     trimmed()
+    held = 0
     for batch in batches:
-        yield from sliced(batch, at)
+        for part in sliced(batch, at, most):
+            yield part
+            held += 1
+            if held % 4 == 0:
+                trimmed()
     trimmed()
 
 

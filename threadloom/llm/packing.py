@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import light_batches, slices, table, words_of, written
 
-WINDOW, END, GROUP_ROWS, CACHE = 2048, 1, 4000, 250_000
+WINDOW, END, GROUP_ROWS, CACHE, SLICE = 2048, 1, 4000, 120_000, 2 << 20
 #: A comma or full stop at the end of a word, after a Latin-1 letter; it is a piece of its own, and words without it are fewer.
 #: Only these letters: of some others (U+0130, U+0958 and more) the tokenizer's normal form ends in a mark, which joins the sign.
 MARK = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,])([ \t\n\v\f\r]|$)"
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, cache: int = C
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = chunk_ids(tokenizer, cache), END.to_bytes(4, "little")
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, SLICE):
             out = [[], [], [], [], []]
             flat, sizes = ids_of(part.column(1))
             flat, at = flat.tobytes(), 0

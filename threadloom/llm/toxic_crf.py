@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import light_batches, slices, table, words_of
 from .near_dup import shingle_sets
 
-BITS, THRESHOLD, CACHE, STEPS = 18, 0.3, 200_000, 64
+BITS, THRESHOLD, CACHE, STEPS, AT_ONCE, SLICE = 18, 0.3, 100_000, 64, 20_000, 1 << 20
 ADDED = T.StructType([
     T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -70,6 +70,7 @@ class Potentials:
         self.model, self.seen = model, {}
 
     def _learn(self, tokens: list[bytes]) -> None:
+        """Potentials of some new tokens, ``AT_ONCE`` of them at most, as their features are Python objects."""
         found = [slots(t.decode("utf-8", "surrogatepass")) for t in tokens]
         sizes = np.array([len(f) for f in found])
         total = np.bincount(np.repeat(np.arange(len(found)), sizes), self.model.weights[np.fromiter((s for f in found for s in f), np.int64, int(sizes.sum()))], len(found)) + self.model.bias
@@ -81,7 +82,8 @@ class Potentials:
         if len(self.seen) > CACHE:
             self.seen = {}
         if new := [t for t in tokens if t not in self.seen]:
-            self._learn(new)
+            for k in range(0, len(new), AT_ONCE):
+                self._learn(new[k : k + AT_ONCE])
         both = list(map(self.seen.__getitem__, tokens))
         u, closes = np.array([b[0] for b in both], float), np.array([b[1] for b in both], bool)
         return u[numbers], closes[numbers], np.cumsum(lengths)
@@ -296,7 +298,7 @@ def _mapped(docs: DataFrame, model: Model, added: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         index = Potentials(m)
-        for part in slices(batches, at):
+        for part in slices(batches, at, SLICE):
             u, closes, ends = index.of(part.column(at))
             odds = marginals(u, *sequences(closes, ends), m.moves)[0]
             score = 1 / (1 + np.exp(-np.clip(evidence(odds, ends) @ m.curve, -30, 30)))
