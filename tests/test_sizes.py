@@ -4,7 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from threadloom.operators import pair_blocks, relations
+from threadloom.operators import pair_blocks, relations, signals
 
 
 def plan(df):
@@ -38,3 +38,10 @@ def test_edges_are_counted_in_blocks_without_joining_pairs(spark, monkeypatch):
     best = {(r, o, -s, i) for r, xs in of.items() for i, (s, o) in enumerate(sorted(xs)[:3], 1)}
     few = relations.overlap_edges(members, best=3)
     assert {(r.root, r.other, r.score, r["rank"]) for r in relations.adjacency(few, 3).collect()} == best and few.count() < len(want)
+
+
+def test_names_and_their_cuts_are_not_broadcast(spark):
+    names = spark.createDataFrame([(1, "Brand#1"), (2, "Brand#1 xyz"), (3, "ab brand#1"), (4, "Brand#1abcde"), (5, None), (6, "brand#1")], "id long, name string")
+    found = signals.affix_matches(names, spark.createDataFrame([(9, "Brand#1")], "token_id long, token string"))
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 9), (2, 9), (3, 9), (6, 9)]

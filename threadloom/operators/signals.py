@@ -66,15 +66,17 @@ def chunk_plan(is_chat: Column, chars: Column) -> dict[str, Column]:
 def affix_matches(names: DataFrame, tokens: DataFrame, most: int = 4) -> DataFrame:
     """Names (id, name) that equal a token (token_id, token), or begin or end with it with 1 to ``most`` letters more.
 
-    Both cases are met by equal keys: every name gives itself and its cuts.
+    Both cases are met by equal keys: every name gives itself and its cuts. Names and their cuts are never broadcast, whatever Spark takes their size for.
     """
     whole = compact("name")
     cuts = F.array_distinct(F.flatten(F.array(
         F.array(whole), F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.left(whole, F.greatest(F.length(whole) - k, F.lit(0)))),
         F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.right(whole, F.greatest(F.length(whole) - k, F.lit(0)))),
     )))
-    keys = names.select("id", F.explode(F.filter(cuts, lambda x: F.length(x) >= 2)).alias("key"))
-    return keys.join(tokens.select("token_id", compact("token").alias("key")), "key").select("id", "token_id").distinct()
+    spelled = names.select(whole.alias("name")).distinct()  # names that are spelled alike are cut and looked up once
+    whole_cuts = spelled.select("name", F.explode(F.filter(cuts, lambda x: F.length(x) >= 2)).alias("key"))
+    met = whole_cuts.hint("merge").join(tokens.select("token_id", compact("token").alias("key")), "key").select("name", "token_id").distinct()
+    return names.select("id", whole.alias("name")).hint("merge").join(met, "name").select("id", "token_id").distinct()
 
 
 def with_fallback(rows: DataFrame, scope: str, rank: str) -> DataFrame:
