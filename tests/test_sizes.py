@@ -4,7 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from threadloom.operators import pair_blocks, relations, signals
+from threadloom.operators import pair_blocks, relations, review, signals
 
 
 def plan(df):
@@ -45,3 +45,12 @@ def test_names_and_their_cuts_are_not_broadcast(spark):
     found = signals.affix_matches(names, spark.createDataFrame([(9, "Brand#1")], "token_id long, token string"))
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert sorted(tuple(r) for r in found.collect()) == [(1, 9), (2, 9), (3, 9), (6, 9)]
+
+
+def test_members_come_down_to_one_row_before_they_meet_who_asks(spark):
+    rows = [(p, "f" if p < 300 else "", "Clan" if p % 2 else "Kin", "persona", "x", p % 2, "r") for p in range(400)]
+    rows = spark.createDataFrame(rows, "place long, family_id string, family_title string, layer string, source_file string, row_no long, source_ref string")
+    asked = spark.createDataFrame([(a, i, t) for a in range(50) for i, t in (("f", ""), ("", "Clan"), ("", "Kin"))], "asked long, family_id string, family_title string")
+    found = review.linked_personas(asked, rows)
+    assert {tuple(r) for r in found.select("asked", "family_id", "row_no", "place").collect()} == {(a, f, n, p + n) for a in range(50) for f, p in (("f", 0), ("", 300)) for n in (0, 1)}
+    assert "Aggregate [key" in plan(found).split("Join Inner")[1].split(":- ")[-1]  # the members' side

@@ -168,8 +168,9 @@ def linked_personas(refs: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = refs.select("asked", first_text("family_id", "family_title").alias("key")).where("key <> ''").distinct()
     members = rows.where("layer = 'persona'").withColumn("key", first_text("family_id", "family_title")).where("key <> ''")
     rest = [c for c in rows.columns if c not in ("family_id", "source_file", "row_no", "source_ref")]
-    met = wanted.join(members, "key")
-    best = met.groupBy("asked", "family_id", "source_file", "row_no", "source_ref").agg(F.min_by(F.struct(*rest), "place").alias("r"))
+    row = ["family_id", "source_file", "row_no", "source_ref"]
+    once = members.groupBy("key", *row).agg(F.min_by(F.struct(*rest), "place").alias("r"))  # a family comes down to its members before it meets who asks
+    best = wanted.join(once, "key").groupBy("asked", *row).agg(F.min_by("r", "r.place").alias("r"))
     return best.select("asked", "family_id", "source_file", "row_no", "source_ref", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
