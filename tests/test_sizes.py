@@ -4,7 +4,8 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from threadloom.operators import pair_blocks, relations, review, signals
+from threadloom.operators import pair_blocks, recall, relations, review, signals
+from threadloom.plans.registry import QUERIES
 
 
 def plan(df):
@@ -54,3 +55,16 @@ def test_members_come_down_to_one_row_before_they_meet_who_asks(spark):
     found = review.linked_personas(asked, rows)
     assert {tuple(r) for r in found.select("asked", "family_id", "row_no", "place").collect()} == {(a, f, n, p + n) for a in range(50) for f, p in (("f", 0), ("", 300)) for n in (0, 1)}
     assert "Aggregate [key" in plan(found).split("Join Inner")[1].split(":- ")[-1]  # the members' side
+
+
+def test_terms_of_a_root_are_held_in_many_tasks(spark, sf_dir):
+    said = QUERIES["root_query_terms"](spark, sf_dir)
+    below = plan(said).split("Aggregate [root", 1)[1]
+    assert below.lstrip().split("\n")[1].strip().startswith("+- RepartitionByExpression [root")
+
+
+def test_hints_of_a_row_are_told_apart_in_many_tasks(spark, sf_dir):
+    found = QUERIES["tag_hints"](spark, sf_dir)
+    assert "RepartitionByExpression [source_file" in plan(found) and "distinct" not in plan(found)
+    twice = spark.createDataFrame([("a", 1, "r", ["#回顾", " #回顾 ", "#回顾"]), ("a", 1, "r", ["#回顾"]), ("a", None, "r", ["#回顾"]), ("a", 2, None, ["#回顾", "#人物"])], "source_file string, row_no long, source_ref string, tags array<string>")
+    assert {(r.hint_kind, r.n_rows) for r in recall.hints(twice).collect()} == {("shadow_recall", 3), ("root_type", 1)}
