@@ -4,7 +4,10 @@ import random
 from collections import Counter
 from itertools import combinations
 
-from threadloom.operators import pair_blocks, recall, relations, review, signals
+from pyspark.sql import functions as F
+
+from threadloom.functions import text
+from threadloom.operators import pair_blocks, recall, relations, review, signals, snippets
 from threadloom.plans.registry import QUERIES
 
 
@@ -68,3 +71,29 @@ def test_hints_of_a_row_are_told_apart_in_many_tasks(spark, sf_dir):
     assert "RepartitionByExpression [source_file" in plan(found) and "distinct" not in plan(found)
     twice = spark.createDataFrame([("a", 1, "r", ["#回顾", " #回顾 ", "#回顾"]), ("a", 1, "r", ["#回顾"]), ("a", None, "r", ["#回顾"]), ("a", 2, None, ["#回顾", "#人物"])], "source_file string, row_no long, source_ref string, tags array<string>")
     assert {(r.hint_kind, r.n_rows) for r in recall.hints(twice).collect()} == {("shadow_recall", 3), ("root_type", 1)}
+
+
+def test_questions_that_are_put_alike_are_met_once(spark):
+    texts = ["", "", "", "", ""]
+    rows = spark.createDataFrame([(1, "a name of it", *texts, "f1", 1, ["x"], ["#回顾"]), (2, "other", *texts, "f2", 2, ["root"], ["#时间"])],
+        "id long, title string, summary string, anchor_name string, family_anchor_id string, family_title string, source_ref string, family_id string, row_no long, identities array<string>, tags array<string>").withColumn("source_file", F.lit("s"))
+    asked = spark.createDataFrame([(n, "zz 名字", "root", ["f1"] if n % 2 else None) for n in range(6)] + [(9, "nothing", "", [])], "asked long, question string, root_name string, families array<string>")
+    touched, routes = recall.routed(asked, rows)
+    assert {tuple(r) for r in touched.collect()} == {(n, i) for n in range(6) for i in ((1, 2) if n % 2 else (2,))}
+    assert {(r.asked, r.n_touched) for r in routes.collect()} == {(n, 2 if n % 2 else 1) for n in range(6)} | {(9, 0)}
+    assert "Aggregate [question" in plan(touched)
+
+
+def test_entries_that_score_alike_are_met_once(spark):
+    entries = spark.createDataFrame([(i, f"t{i % 2}", "w", "src1_2025-01.json") for i in range(5, 400)], "id long, topic_id string, window_id string, file string")
+    hints = spark.createDataFrame([(1, "topic", "t0"), (2, "window", "w")], "request long, kind string, value string")
+    found = snippets.topic_snippets(hints, entries)
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 6, 5.0), (2, 1, 6, 3.0), (2, 2, 5, 3.0)}
+    assert "Aggregate [topic_id" in plan(found)
+
+
+def test_roles_of_quotes_are_told_once(spark):
+    q = QUERIES["quote_refs"](spark, "/root/testdata/sf0.001")
+    assert plan(q).count("split(") == 1
+    one = spark.sql("SELECT decode(unhex('C2A0E2808020C2850961C285200A'), 'UTF-8') AS t").select(text.safe_text("t")).first()[0]
+    assert one == "\x85\ta\x85"

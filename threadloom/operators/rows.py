@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import WHITE, compact, distinct_compact, epoch_seconds, first_text, safe_text
+from threadloom.functions.text import WHITE, compact, distinct_compact, epoch_seconds, first_text, let, safe_text
 
 #: Names of the anchor types, and names that say nothing.
 ANCHORS = {"person": "人物", "thing": "事物", "event": "事件", "rule": "规则", "time": "时间"}
@@ -85,18 +85,21 @@ def iso_time(c: Column) -> Column:
     return F.when(c > 0, F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))).otherwise(F.lit(""))
 
 
-def quotes(c: Column | str) -> dict[str, Column]:
-    """Quote references ``role: text; ...`` as three ordered lists without repeats: of the user, of the companion, of others."""
+def quote_lists(c: Column | str) -> Column:
+    """Quote references ``role: text; ...`` as a struct of three ordered lists without repeats: ``user``, ``char`` (of the companion) and ``other``."""
     parts = F.filter(F.transform(F.split(safe_text(c), rf"[；;][{WHITE}]*"), safe_text), lambda p: p != "")
     form = rf"^([^:：]{{1,20}})[:：][{WHITE}]*([^\n\r\x{{2028}}\x{{2029}}]+)$"  # on one line
     role = lambda p: compact(F.regexp_extract(p, form, 1))
+    who = lambda r: F.when(r == "user", "user").when(r.isin(*COMPANION), "char").otherwise("other")
     said = lambda p: F.when(p.rlike(form), safe_text(F.regexp_extract(p, form, 2))).otherwise(p)
+    told = F.transform(parts, lambda p: F.struct(who(role(p)).alias("who"), said(p).alias("text")))
+    once = lambda xs, k: distinct_compact(F.transform(F.filter(xs, lambda x: x["who"] == k), lambda x: x["text"]), None).alias(k)
+    return let(told, lambda xs: F.struct(*(once(xs, k) for k in ("user", "char", "other"))))  # roles are told once for all three
 
-    def once(keep) -> Column:
-        return distinct_compact(F.transform(F.filter(parts, keep), said), None)
 
-    user, other = (lambda p: role(p) == "user"), (lambda p: role(p).isin(*COMPANION))
-    return {"user": once(user), "char": once(other), "other": once(lambda p: ~user(p) & ~other(p))}
+def quotes(c: Column | str) -> dict[str, Column]:
+    """The lists of ``quote_lists`` one by one."""
+    return {k: quote_lists(c)[k] for k in ("user", "char", "other")}
 
 
 def utterances(rows: DataFrame, key: str, text: str, speaker: str = "assistant") -> DataFrame:
