@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from threadloom.functions import text
-from threadloom.operators import pair_blocks, recall, relations, review, signals, snippets
+from threadloom.operators import pair_blocks, recall, relations, review, scenes, score_blocks, signals, snippets
 from threadloom.plans.registry import QUERIES
 
 
@@ -97,3 +97,46 @@ def test_roles_of_quotes_are_told_once(spark):
     assert plan(q).count("split(") == 1
     one = spark.sql("SELECT decode(unhex('C2A0E2808020C2850961C285200A'), 'UTF-8') AS t").select(text.safe_text("t")).first()[0]
     assert one == "\x85\ta\x85"
+
+
+def test_scenes_are_scored_in_blocks_without_joining_pairs(spark, monkeypatch):
+    for name, n in (("ROWS", 30), ("REQUESTS", 7), ("CELLS", 100), ("DENSE", 300)):
+        monkeypatch.setattr(score_blocks, name, n)
+    rng = random.Random(2)
+    words, kinds = ["steel", "old", "bolt", "ring", "x y"], list(scenes.FIELDS)
+    columns = list(dict.fromkeys([*scenes.TEXT, *scenes.TAG_TEXT, *scenes.FIELDS.values(), "quote_refs"]))
+    data = []
+    for i in range(200):
+        r = {c: rng.choice([None, "", " "]) for c in columns} | {c: rng.choice(["v1", "v2", " v1 ", "", None]) for c in scenes.FIELDS.values()}
+        r |= {"title": " ".join(rng.sample(words, 2)).upper(), "tags": "#" + rng.choice(words), "quote_refs": rng.choice(["q", "", None]), "id": i, "start": rng.choice([None, rng.randrange(2000)]), "time": rng.choice([None, "1", "10"])}
+        data.append(r | {"end": None if r["start"] is None else r["start"] + 3})
+    rows = spark.createDataFrame(data, ", ".join(f"{c} string" for c in [*columns, "time"]) + ", id long, start long, end long")
+    said = [(q, k, v) for q in range(20) for k, v in {(rng.choice([*kinds, "terms", "terms", "tag_terms"]), rng.choice(["v1", "v2", *words])) for _ in range(12)}]
+    spans = [(q, rng.choice(["v1", None]), "v2", s, s + 3) for q in range(22) for s in (rng.randrange(2000), rng.randrange(2000))]
+    terms = [(q, "STEEL") for q in range(21)]
+    signals_ = spark.createDataFrame(said, "request long, kind string, value string")
+    asked = signals_, spark.createDataFrame(spans, "request long, window_id string, window_title string, start long, end long"), spark.createDataFrame(terms, "request long, term string")
+    t = lambda v: (v or "").strip()
+    want = {}
+    for q in range(22):
+        mine = [(k, v) for p, k, v in said if p == q]
+        for r in data:
+            text, tagged = ("\n".join(t(r[c]).lower() for c in names) for names in (scenes.TEXT, scenes.TAG_TEXT))
+            score = sum(3 for w in [*(v.lower() for k, v in mine if k == "terms"), *(["steel"] if q < 21 else [])] if w in text)
+            score += sum(scenes.POINTS[k] for k, v in mine if k in kinds and t(r[scenes.FIELDS[k]]) == v) + 4 * any(k == "tag_terms" and v in tagged for k, v in mine) + (q < 21 and t(r["quote_refs"]) != "")
+            near = any(p == q and r["start"] is not None and ((t(w) and t(w) == t(r["window_id"])) or v == t(r["window_title"])) and not (z + 96 < r["start"] or r["end"] + 96 < a) for p, w, v, a, z in spans)
+            if score + 12 * near:
+                want[q, r["id"]] = score + 12 * near
+    found = scenes.scored(rows, *asked)
+    assert {(r.request, r.id): r.score for r in found.collect()} == want and found.count() == len(want) > 3000
+    assert "Aggregate" not in plan(found).split("FlatMapGroupsInArrow")[0]  # pairs are not grouped
+    of = {r["id"]: next((t(r[c]) for c in ("topic_labels", "track_id", "title") if t(r[c])), "") for r in data}
+    best = set()
+    for q in range(22):
+        groups = {}
+        for (p, i), s in want.items():
+            if p == q:
+                groups.setdefault(of[i], []).append((-s, data[i]["time"] or "", i))
+        ranked = sorted((sum(s for s, *_ in xs), g) for g, xs in groups.items())[: scenes.GROUPS]
+        best |= {(q, g, n, len(groups[g]), -total, i, m, -s) for n, (total, g) in enumerate(ranked, 1) for m, (s, _, i) in enumerate(sorted(groups[g])[: scenes.GROUP_ROWS], 1)}
+    assert {tuple(r) for r in scenes.packets(rows, *asked).collect()} == best
