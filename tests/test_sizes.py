@@ -6,8 +6,8 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from threadloom.functions import text
-from threadloom.operators import pair_blocks, recall, relations, review, scenes, score_blocks, signals, snippets
+from threadloom.functions import nested, text
+from threadloom.operators import contract, pair_blocks, recall, relations, review, scenes, score_blocks, signals, snippets
 from threadloom.plans.registry import QUERIES
 
 
@@ -169,3 +169,25 @@ def test_prepared_snippets_leave_a_block_as_its_best(spark, monkeypatch):
     found = snippets.prepared_snippets(spark.createDataFrame(list(said), "request long, kind string, value string"), chunks, entries)
     assert {(r.request, r["rank"]): (r.id, r.score, r.topic) for r in found.collect()} == want
     assert len(calls) == 1  # no pair of request and chunk is a row
+
+
+def test_rules_of_a_bundle_take_few_passes(spark, sf_dir):
+    nodes = nested.walk(spark.range(1).select("id", F.concat(F.lit('{"a":['), "id", F.lit("]}")).alias("json")), "id", "json")
+    passes = {f.__name__: plan(df).count("Range (") for f, df in ((f, f(nodes, "id", *more)) for f, more in ((contract.shape_violations, ["s"]), (contract.source_violations, []), (contract.whole_violations, [])))}
+    assert passes == {"shape_violations": 5, "source_violations": 3, "whole_violations": 1}
+    assert "RepartitionByExpression [conv_id" in plan(contract.assembled(spark.range(1).selectExpr("id AS conv_id", "0 AS place", "'hold' AS state", *(f"'' AS {c}" for c in ("reason", "title", "speaker", "excerpt", "source_file", "window"))), "conv_id"))
+
+
+def test_items_of_roots_are_made_in_many_tasks(spark, sf_dir):
+    found = plan(QUERIES["root_evidence"](spark, sf_dir))
+    assert found.count("RepartitionByExpression [root") == 9
+
+
+def test_facts_of_a_row_are_made_in_many_tasks(spark, sf_dir):
+    assert "RepartitionByExpression [event_id" in plan(QUERIES["derived_facts"](spark, sf_dir))
+
+
+def test_nested_values_are_walked_in_many_tasks(spark, sf_dir):
+    assert "RepartitionByExpression [event_id" in plan(QUERIES["nested_privacy"](spark, sf_dir))
+    deep = spark.createDataFrame([(1, '{"a":[{"b":"[[[["}]}'), (2, '[{"c":"\\"]"},2]'), (3, "{{{{"), (4, None)], "id long, json string")
+    assert {(r.id, r.path) for r in nested.walk(deep, "id", "json").collect()} == {(1, "$"), (1, "$.a"), (1, "$.a[0]"), (1, "$.a[0].b"), (2, "$"), (2, "$[0]"), (2, "$[0].c"), (2, "$[1]")}

@@ -50,7 +50,15 @@ def edited(v: Column, edits: dict[tuple[str, ...], Column | None]) -> Column:
 
 def nesting(c: Column) -> Column:
     """How deep brackets of a JSON text are nested."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
+    return _depth(brackets(c))
+
+
+def brackets(c: Column) -> Column:
+    """The brackets of a JSON text, without what is inside strings."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]+", "")
+
+
+def _depth(bare: Column) -> Column:
     step = lambda s, x: F.struct((s["now"] + F.when(x.isin("[", "{"), 1).when(x.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(x.isin("[", "{"), 1).otherwise(0)).alias("most"))
     return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
 
@@ -60,9 +68,10 @@ def walk(rows: DataFrame, id_: str, json: str) -> DataFrame:
 
     ``path`` is like ``$.a[0].b``, ``shape`` the same without indexes (``$.a[].b``); ``text`` is a scalar's text; ``size`` counts
     elements or keys; ``value`` is the VARIANT. JSON that cannot be read gives no rows. The deepest nesting is measured first (one
-    number); levels then unfold inside each row, so nothing is shuffled.
+    number, of each different row of brackets); levels then unfold inside each row, so nothing else is shuffled.
     """
-    deepest = rows.agg(F.max(F.when(F.try_parse_json(json).isNotNull(), nesting(F.col(json))))).first()[0] or 0
+    shapes = rows.where(F.try_parse_json(json).isNotNull()).select(brackets(F.col(json)).alias("bare")).distinct()
+    deepest = shapes.agg(F.max(_depth(F.col("bare")))).first()[0] or 0
 
     def node(path, parent, shape, key, place, value) -> Column:
         return F.struct(path.alias("path"), parent.alias("parent"), shape.alias("shape"), key.alias("key"), place.alias("place"), value.alias("value"))

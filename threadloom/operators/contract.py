@@ -14,6 +14,7 @@ from threadloom.functions.ids import digest
 from threadloom.functions.nested import canonical, edited, json_text, walk
 from threadloom.functions.text import safe_text, utf16_length
 from threadloom.sources.shared import held as kept
+from threadloom.sources.shared import spread
 
 #: The fields of a bundle, their kind, and what they must keep: ``!`` there, ``~`` may be blank, ``+`` not
 #: empty, ``*`` texts that are not blank, not over 512 characters and not repeated, ``#`` a digest, ``=`` equal to.
@@ -180,6 +181,12 @@ def _rule(rows: DataFrame, id_: str, path: Column | str, rule: str, broken: Colu
     return rows.where(F.coalesce(broken, F.lit(False))).select(id_, (F.col(path) if isinstance(path, str) else path).alias("path"), F.lit(rule).alias("rule"))
 
 
+def _rules(rows: DataFrame, id_: str, rules: list[tuple[Column, str, Column]]) -> DataFrame:
+    """What ``_rule`` gives for each (path, rule, broken), in one pass over the rows."""
+    each = F.array(*(F.when(F.coalesce(broken, F.lit(False)), F.struct(path.alias("path"), F.lit(rule).alias("rule"))) for path, rule, broken in rules))
+    return rows.select(id_, F.inline(F.array_compact(each)))
+
+
 def _under(name: str) -> Column:
     return F.concat("path", F.lit(f".{name}"))
 
@@ -193,74 +200,66 @@ def shape_violations(nodes: DataFrame, id_: str, schema: str) -> DataFrame:
         F.when(F.col("wanted") == "any", True).when(F.col("wanted") == "integer", (F.col("kind") == "number") & (value >= 0) & (value == F.floor(value))).otherwise(F.col("kind") == F.col("wanted"))
     )
     blank = (F.col("wanted") == "string") & (F.col("kind") == "string") & (safe_text("text") == "")
-    part = lambda rows, rule, broken: _rule(rows, id_, "path", rule, broken)
-    listed = lambda mine, rule: met.where("kind = 'object' AND known IS NOT NULL").select(id_, "path", F.explode(mine).alias("k")).select(id_, F.concat("path", F.lit("."), "k").alias("path"), F.lit(rule).alias("rule"))
+    here = F.col("path")
+    listed = lambda mine, rule: F.transform(mine, lambda k: F.struct(F.concat(here, F.lit("."), k).alias("path"), F.lit(rule).alias("rule")))
     items = nodes.where("shape LIKE '%[]'").withColumn("list", F.expr("left(shape, length(shape) - 2)")).join(known.where("texts").select(F.col("shape").alias("list")), "list")
     said = items.withColumn("said", safe_text("text"))
     first = said.where("kind = 'string' AND said <> ''").groupBy(id_, "parent", "said").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
     again = said.join(first, [id_, "parent", "said"]).where("place > first").select(id_, "path", F.lit("not_unique").alias("rule"))
-    found = [
-        part(met, "wrong_kind", ~right), part(met, "blank", blank & ~F.col("blank_ok")), part(met, "empty", F.col("filled") & (F.col("kind") == "array") & (F.col("size") == 0)),
-        part(met, "must_be", (F.col("wanted") != "boolean") & (F.col("text") != F.col("equal"))), part(met, "must_be", (F.col("kind") == "boolean") & (F.col("text") != F.col("equal"))),
-        part(met, "bad_digest", F.col("digest") & ((F.col("kind") != "string") | ~F.col("text").rlike(DIGEST))),
-        listed(F.array_except("keys", "known"), "unknown_field"), listed(F.array_except("needed", "keys"), "required"),
-        part(said, "wrong_kind", F.col("kind") != "string"), part(said, "blank", (F.col("kind") == "string") & (F.col("said") == "")), part(said, "too_long", utf16_length("said") > MOST_CHARS), again,
-        _rule(nodes, id_, "path", "not_object", (F.col("path") == "$") & (F.col("kind") != "object")),
-        _rule(nodes, id_, "path", "must_be_empty", (F.col("shape") == "$.projection_roundtrip.notion.candidate_id_map") & (F.col("kind") == "array") & (F.col("size") > 0)),
+    none = F.array().cast("array<struct<path:string,rule:string>>")
+    own = F.coalesce(F.when((F.col("kind") == "object") & F.col("known").isNotNull(), F.concat(F.coalesce(listed(F.array_except("keys", "known"), "unknown_field"), none), F.coalesce(listed(F.array_except("needed", "keys"), "required"), none))), none)
+    plain = [
+        (here, "wrong_kind", ~right), (here, "blank", blank & ~F.col("blank_ok")), (here, "empty", F.col("filled") & (F.col("kind") == "array") & (F.col("size") == 0)),
+        (here, "must_be", (F.col("wanted") != "boolean") & (F.col("text") != F.col("equal"))), (here, "must_be", (F.col("kind") == "boolean") & (F.col("text") != F.col("equal"))),
+        (here, "bad_digest", F.col("digest") & ((F.col("kind") != "string") | ~F.col("text").rlike(DIGEST))), (here, "not_object", (here == "$") & (F.col("kind") != "object")),
+        (here, "must_be_empty", (F.col("shape") == "$.projection_roundtrip.notion.candidate_id_map") & (F.col("kind") == "array") & (F.col("size") > 0)),
     ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    listed_ = [
+        (here, "wrong_kind", F.col("kind") != "string"), (here, "blank", (F.col("kind") == "string") & (F.col("said") == "")), (here, "too_long", utf16_length("said") > MOST_CHARS)
+    ]
+    return _rules(met, id_, plain).unionByName(met.select(id_, F.inline(own))).unionByName(_rules(said, id_, listed_)).unionByName(again)
 
 
 def source_violations(nodes: DataFrame, id_: str) -> DataFrame:
     """Occurrences: a file needs its digest and no folder, one of file and window must be there, the digest must match. Spans: digest of the
     excerpt, and bounds from 0 to its UTF-16 length. Ledgers: state and deterministic id."""
-    rows = lambda shape: nodes.where((F.col("shape") == shape) & (F.col("kind") == "object"))
+    rows = lambda *shapes: nodes.where(F.col("shape").isin(*shapes) & (F.col("kind") == "object"))
     has = lambda name: safe_text(field(name)) != ""
-    seen = rows("$.source_occurrences[]")
     sealed = digest(edited(F.col("value"), {("digest",): None}))
     path_like = field("source_file").contains("/") | field("source_file").contains("\\") | field("source_file").rlike(r"^[A-Za-z]:[\\/]")
-    spans = rows("$.source_spans[]")
     bound = lambda name: F.try_variant_get("value", f"$.bounds.{name}", "double")
     in_bounds = F.try_variant_get("value", "$.bounds", "map<string,variant>").isNotNull()
-    found = [
-        _rule(seen, id_, _under("source_file_digest"), "file_digest_missing", has("source_file") & ~has("source_file_digest")),
-        _rule(seen, id_, _under("source_file_digest"), "bad_digest", has("source_file_digest") & ~field("source_file_digest").rlike(DIGEST)),
-        _rule(seen, id_, _under("source_file"), "private_path", has("source_file") & path_like),
-        _rule(seen, id_, _under("source_file"), "no_source", ~has("source_file") & ~has("source_window")),
-        _rule(seen, id_, _under("digest"), "digest_mismatch", has("digest") & (field("digest") != sealed)),
-        _rule(spans, id_, _under("excerpt_digest"), "digest_mismatch", has("excerpt_text") & has("excerpt_digest") & (field("excerpt_digest") != digest(field("excerpt_text")))),
-        _rule(spans, id_, _under("bounds"), "bad_range", in_bounds & F.coalesce((bound("start") < 0) | (bound("end") < bound("start")), F.lit(True))),
-        _rule(spans, id_, _under("bounds.start"), "must_be", in_bounds & F.coalesce(bound("start") != 0, F.lit(True))),
-        _rule(spans, id_, _under("bounds.end"), "length_mismatch", in_bounds & has("excerpt_text") & F.coalesce(bound("end") != utf16_length(field("excerpt_text")), F.lit(True))),
+    seen = [
+        (_under("source_file_digest"), "file_digest_missing", has("source_file") & ~has("source_file_digest")), (_under("source_file_digest"), "bad_digest", has("source_file_digest") & ~field("source_file_digest").rlike(DIGEST)),
+        (_under("source_file"), "private_path", has("source_file") & path_like), (_under("source_file"), "no_source", ~has("source_file") & ~has("source_window")), (_under("digest"), "digest_mismatch", has("digest") & (field("digest") != sealed)),
+    ]
+    spans = [
+        (_under("excerpt_digest"), "digest_mismatch", has("excerpt_text") & has("excerpt_digest") & (field("excerpt_digest") != digest(field("excerpt_text")))),
+        (_under("bounds"), "bad_range", in_bounds & F.coalesce((bound("start") < 0) | (bound("end") < bound("start")), F.lit(True))), (_under("bounds.start"), "must_be", in_bounds & F.coalesce(bound("start") != 0, F.lit(True))),
+        (_under("bounds.end"), "length_mismatch", in_bounds & has("excerpt_text") & F.coalesce(bound("end") != utf16_length(field("excerpt_text")), F.lit(True))),
     ]
+    ledgers = []
     for shape, state, prefix, names in (("$.hold_ledger[]", "hold", "hold_", ("reason", "source_id", "source_kind", "title")), ("$.rejected_ledger[]", "rejected", "reject_", ("reason", "source_id", "source_kind"))):
-        own = rows(shape)
-        spelled = {"source_id": "sourceId", "source_kind": "sourceKind"}
+        spelled, own = {"source_id": "sourceId", "source_kind": "sourceKind"}, F.col("shape") == shape
         text = F.concat(F.lit("{"), *(p for k, n in enumerate(names) for p in (F.lit(f'{"," if k else ""}"{spelled.get(n, n)}":'), json_text(safe_text(field(n))))), F.lit("}"))
-        found += [
-            _rule(own, id_, _under("state"), "must_be", safe_text(field("state")) != state),
-            _rule(own, id_, _under("ledger_id"), "id_mismatch", has("ledger_id") & (field("ledger_id") != F.concat(F.lit(prefix), F.left(F.sha2(text, 256), F.lit(16))))),
+        ledgers += [
+            (_under("state"), "must_be", own & (safe_text(field("state")) != state)), (_under("ledger_id"), "id_mismatch", own & has("ledger_id") & (field("ledger_id") != F.concat(F.lit(prefix), F.left(F.sha2(text, 256), F.lit(16))))),
         ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    out = _rules(rows("$.source_occurrences[]"), id_, seen)
+    return out.unionByName(_rules(rows("$.source_spans[]"), id_, spans)).unionByName(_rules(rows("$.hold_ledger[]", "$.rejected_ledger[]"), id_, ledgers))
 
 
 def reference_violations(nodes: DataFrame, id_: str) -> DataFrame:
     """Ids that come twice; spans without occurrence; cards whose spans or occurrences are not there, or do not prove each other."""
-    out = None
-    for shape, name in IDS.items():
-        rows = nodes.where((F.col("shape") == shape) & (F.col("kind") == "object")).select(id_, "path", "place", safe_text(field(name)).alias("own")).where("own <> ''")
-        first = rows.groupBy(id_, "own").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = rows.join(first, [id_, "own"]).where("place > first").select(id_, F.concat("path", F.lit(f".{name}")).alias("path"), F.lit("not_unique").alias("rule"))
-        out = again if out is None else out.unionByName(again)
+    name = F.create_map(*(F.lit(x) for kv in IDS.items() for x in kv))[F.col("shape")]
+    own = F.coalesce(*(F.when(F.col("shape") == shape, safe_text(field(n))) for shape, n in IDS.items()))
     objects = lambda shape: nodes.where((F.col("shape") == shape) & (F.col("kind") == "object"))
-    occurrences = objects("$.source_occurrences[]").select(id_, safe_text(field("source_occurrence_id")).alias("occurrence")).where("occurrence <> ''").distinct()
-    spans = objects("$.source_spans[]").select(id_, "path", "place", safe_text(field("source_span_id")).alias("span"), safe_text(field("source_occurrence_id")).alias("occurrence"))
+    known = kept(nodes.where(F.col("shape").isin(*IDS) & (F.col("kind") == "object")).select(id_, "shape", "path", "place", own.alias("own"), name.alias("name"), F.when(F.col("shape") == "$.source_spans[]", safe_text(field("source_occurrence_id"))).alias("occurrence")))
+    rows = known.where("own <> ''")
+    first = rows.groupBy(id_, "shape", "own").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    out = rows.join(first, [id_, "shape", "own"]).where("place > first").select(id_, F.concat("path", F.lit("."), "name").alias("path"), F.lit("not_unique").alias("rule"))
+    occurrences = rows.where("shape = '$.source_occurrences[]'").select(id_, F.col("own").alias("occurrence")).distinct()
+    spans = known.where("shape = '$.source_spans[]'").select(id_, "path", "place", F.col("own").alias("span"), "occurrence")
     lost = spans.where("occurrence <> ''").join(occurrences, [id_, "occurrence"], "left_anti").select(id_, F.concat("path", F.lit(".source_occurrence_id")).alias("path"), F.lit("no_occurrence").alias("rule"))
     proof = spans.where("span <> ''").groupBy(id_, "span").agg(F.max_by("occurrence", "place").alias("occurrence"))
     cited = lambda name: nodes.where(F.col("shape") == f"$.warm_cards[].source_refs.{name}[]").select(id_, "path", "parent", F.regexp_extract("path", r"^(\$\.warm_cards\[\d+\])", 1).alias("card"), safe_text("text").alias("ref"))
@@ -293,16 +292,13 @@ def whole_violations(nodes: DataFrame, id_: str) -> DataFrame:
     listed = lambda path: F.coalesce(F.to_json(F.try_variant_get("value", path, "array<variant>")), F.lit("[]"))
     sources = digest(F.concat(F.lit('{"source_occurrences":'), listed("$.source_occurrences"), F.lit(',"source_spans":'), listed("$.source_spans"), F.lit("}")))
     told = lambda path: safe_text(F.try_variant_get("value", path, "string"))
-    found = [_rule(top, id_, F.lit(path), "count_mismatch", good(path) != size(list_)) for path, list_ in COUNTS.items()]
+    found = [(F.lit(path), "count_mismatch", good(path) != size(list_)) for path, list_ in COUNTS.items()]
     found += [
-        _rule(top, id_, F.lit("$.conservation.input_rows"), "sum_mismatch", (inputs != total("input_growth_draft_rows", "input_reviewed_rows")) | (inputs != total("accepted_rows", "rejected_rows", "hold_rows"))),
-        _rule(top, id_, F.lit("$.source_manifest.source_digest"), "digest_mismatch", (told("$.source_manifest.source_digest") != "") & (F.try_variant_get("value", "$.source_manifest.source_digest", "string") != sources)),
-        _rule(top, id_, F.lit("$.manifest.manifest_digest"), "digest_mismatch", (told("$.manifest.manifest_digest") != "") & (F.try_variant_get("value", "$.manifest.manifest_digest", "string") != manifest_digest(F.col("value")))),
+        (F.lit("$.conservation.input_rows"), "sum_mismatch", (inputs != total("input_growth_draft_rows", "input_reviewed_rows")) | (inputs != total("accepted_rows", "rejected_rows", "hold_rows"))),
+        (F.lit("$.source_manifest.source_digest"), "digest_mismatch", (told("$.source_manifest.source_digest") != "") & (F.try_variant_get("value", "$.source_manifest.source_digest", "string") != sources)),
+        (F.lit("$.manifest.manifest_digest"), "digest_mismatch", (told("$.manifest.manifest_digest") != "") & (F.try_variant_get("value", "$.manifest.manifest_digest", "string") != manifest_digest(F.col("value")))),
     ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return _rules(top, id_, found)
 
 
 def manifest_digest(v: Column) -> Column:
@@ -312,7 +308,12 @@ def manifest_digest(v: Column) -> Column:
 
 def contract_violations(bundles: DataFrame, id_: str, json: str, schema: str = "bundle_v0", forbidden: list[str] | None = None) -> DataFrame:
     """(id, path, rule) once for each broken rule; a text that is no JSON object breaks ``not_object`` at ``$``."""
-    nodes = kept(walk(bundles, id_, json))
+    bundles = kept(spread(bundles.select(id_, json), id_))
+    return _violations(bundles, kept(walk(bundles, id_, json)), id_, json, schema, forbidden)
+
+
+def _violations(bundles: DataFrame, nodes: DataFrame, id_: str, json: str, schema: str, forbidden: list[str] | None) -> DataFrame:
+    """``contract_violations`` of bundles and their walk, both held."""
     lost = bundles.where(F.try_parse_json(json).isNull()).select(id_, F.lit("$").alias("path"), F.lit("not_object").alias("rule"))
     keys = forbidden_keys(nodes, id_, forbidden).select(id_, "path", F.lit("forbidden_key").alias("rule"))
     parts = [lost, keys, shape_violations(nodes, id_, schema), source_violations(nodes, id_), reference_violations(nodes, id_), whole_violations(nodes, id_)]
@@ -329,9 +330,9 @@ def read_normalised(bundles: DataFrame, id_: str, json: str, old_field: str, sch
     faults are those fields loses them, if each is a sound import policy, gets a new manifest digest and is validated again
     (``legacy_read_only``); any other fault makes it ``legacy_rejected``, and its text stays.
     """
-    bundles = kept(bundles.select(id_, json))
-    nodes = walk(bundles, id_, json)
-    before = kept(contract_violations(bundles, id_, json, schema, forbidden))
+    bundles = kept(spread(bundles.select(id_, json), id_))
+    nodes = kept(walk(bundles, id_, json))
+    before = kept(_violations(bundles, nodes, id_, json, schema, forbidden))
     held = nodes.where(F.col("shape") == f"$.warm_cards[].{old_field}").select(id_, "path", "kind", "value", "keys")
     allowed = F.array(*map(F.lit, ("direct_write_allowed", "state", "reason")))
     typed = lambda name, kind: F.schema_of_variant(F.try_variant_get("value", f"$.{name}", "variant")) == kind
@@ -402,7 +403,7 @@ def assembled(rows: DataFrame, id_: str, schema: str = "bundle_v0") -> DataFrame
         "ledger_id": F.concat(F.when(held, "hold_").otherwise("reject_"), F.left(F.sha2(identity, 256), F.lit(16))), "state": F.col("state"), "reason": F.col("reason"), "source_kind": F.lit("message"), "source_id": ref,
         "title": F.col("title"), "row_digest": digest(F.concat_ws("|", ref, "reason", "title")),
     }
-    made = rows.select(id_, "place", "state", *(canonical(as_json(d)).alias(n) for n, d in (("occurrence", occurrence), ("span", span), ("card", card), ("ledger", ledger))))
+    made = spread(rows, id_).select(id_, "place", "state", *(canonical(as_json(d)).alias(n) for n, d in (("occurrence", occurrence), ("span", span), ("card", card), ("ledger", ledger))))
     listed = made.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("place", "state", "occurrence", "span", "card", "ledger"))).alias("r"))
     part = lambda state, name: F.transform(F.filter("r", lambda x: x["state"] == state), lambda x: x[name])
     text = lambda state, name: F.concat(F.lit("["), F.array_join(part(state, name), ","), F.lit("]"))

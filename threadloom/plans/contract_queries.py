@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.nested import edited, json_text, walk
 from threadloom.operators import contract
 from threadloom.sources import outputs
-from threadloom.sources.shared import held, shared_dir
+from threadloom.sources.shared import held, shared_dir, spread
 from threadloom.sources.tables import table
 
 from .registry import query
@@ -20,7 +20,7 @@ DEEP = """'{"a":[{"b":{"' || CASE event_id % 4 WHEN 0 THEN 'Vine' WHEN 1 THEN 'h
 
 
 def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.expr(DEEP.replace("\\", "\\\\")).alias("json"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"), "event_id").select("event_id", F.expr(DEEP.replace("\\", "\\\\")).alias("json"))
 
 
 @query(f"""WITH d AS (SELECT event_id, {DEEP} AS j FROM events) SELECT event_id, t.fullkey AS path, t.key AS key FROM d, json_tree(d.j) t WHERE lower(t.key) IN ({', '.join(f"'{k}'" for k in contract.FORBIDDEN)})""")
