@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.nested import walk
 from threadloom.functions.text import clip_note, compact, compact_words, distinct_exact, first_text, let, safe_text
-from threadloom.sources.shared import held
+from threadloom.sources.shared import held, spread
 
 from .contract import read_normalised
 from .recall import PLAIN_TAGS, kind_of, person_like
@@ -112,7 +112,8 @@ def evidence_items(roots: DataFrame, facts: DataFrame, stable: DataFrame, famili
         (roots.drop("anchor_type").withColumn("place", F.lit(0)), one("root_name", "canonical_name")), (stable, one("stable_fact", "text")), (facts, fact), (updates, one("update_summary", "summary")),
         (families, one("family_anchor", "title", person("title", PERSON_FAMILY, "family_anchor"))), (personas, persona), (type_hints, hint("type_hint")), (leaf_hints, hint("leaf_hint")), (related, one("related_root", "title")),
     ]
-    found = [df.join(kinds, "root").select("root", F.col("place").cast("long").alias("place"), F.inline(xs)) for df, xs in parts]
+    kinds = held(kinds)
+    found = [spread(df, "root").join(kinds, "root").select("root", F.col("place").cast("long").alias("place"), F.inline(xs)) for df, xs in parts]
     return reduce(DataFrame.unionByName, found).where("text <> ''").select("root", "kind", "text", F.col("weight").cast("double").alias("weight"), "place")
 
 
