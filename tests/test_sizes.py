@@ -84,6 +84,40 @@ def test_questions_that_are_put_alike_are_met_once(spark):
     assert "Aggregate [question" in plan(touched)
 
 
+def _asked_and_tagged(spark):
+    rng = random.Random(4)
+    words, tags = ["steel", "old", "bolt", "gear_"], ["#回顾", " #时间", "#人物", "#关系规则", "#生活"]
+    data = [(i, rng.choice(words), rng.choice(["", None, "big"]), "", rng.choice(["f1", "f2", "", None]), None, rng.choice(["", "f3"]), "", "s", i, [rng.choice(["Root", "x", ""])], rng.sample(tags, 2)) for i in range(150)]
+    rows = spark.createDataFrame(data, "id long, title string, summary string, anchor_name string, family_id string, family_anchor_id string, family_title string, source_ref string, source_file string, row_no long, identities array<string>, tags array<string>")
+    said = [(q, f"{rng.choice(['名字', 'what'])} {rng.choice(words)}", rng.choice(["root", "ig", ""]), rng.choice([["f1"], ["f3", "f2"], [], None])) for q in range(40)]
+    want = {}
+    for q, question, name, families in said:
+        tokens = {question, name, *question.split(" ")} - {""}
+        for i, title, summary, _, family, _, kin, _, _, _, names, marks in data:
+            text = "\n".join(x for x in (title, summary or "", kin, *(t.strip() for t in marks)) if x)
+            if any(t in text for t in tokens) or {family, kin} & {*(families or [])} - {""} or (name and name == names[0].lower()):
+                want.setdefault(q, {})[i] = {t.strip() for t in marks} & {"#回顾", "#时间", "#关系规则"}
+    return spark.createDataFrame(said, "asked long, question string, root_name string, families array<string>"), rows, said, want
+
+
+def test_rows_that_questions_touch_are_pairs_at_the_end_only(spark, monkeypatch):
+    monkeypatch.setattr(recall, "LIST", 7)
+    monkeypatch.setattr(recall, "PAIRS", 10)
+    questions, rows, _, want = _asked_and_tagged(spark)
+    touched = recall.routed(questions, rows)[0]
+    assert plan(touched).startswith("MapInArrow")  # no join, shuffle or group after the pairs are made
+    found = [tuple(r) for r in touched.collect()]
+    assert {*found} == {(q, i) for q, ids in want.items() for i in ids} and len(found) == len({*found}) > 1000
+
+
+def test_routes_are_told_without_pairs(spark):
+    questions, rows, said, want = _asked_and_tagged(spark)
+    routes = recall.routed(questions, rows)[1]
+    assert "RepartitionByExpression" not in plan(routes)  # no row that is touched is held
+    hints = {q: set().union(*want.get(q, {0: set()}).values()) for q, *_ in said}
+    assert {(r.asked, r.n_touched, r.n_hints, r.used) for r in routes.collect()} == {(q, len(want.get(q, {})), len(hints[q]), bool(hints[q]) and "名字" in question) for q, question, *_ in said}
+
+
 def test_entries_that_score_alike_are_met_once(spark):
     entries = spark.createDataFrame([(i, f"t{i % 2}", "w", "src1_2025-01.json") for i in range(5, 400)], "id long, topic_id string, window_id string, file string")
     hints = spark.createDataFrame([(1, "topic", "t0"), (2, "window", "w")], "request long, kind string, value string")
