@@ -66,6 +66,11 @@ def test_terms_of_a_root_are_held_in_many_tasks(spark, sf_dir):
     assert below.lstrip().split("\n")[1].strip().startswith("+- RepartitionByExpression [root")
 
 
+def test_kinds_of_roots_are_never_broadcast(spark, sf_dir):
+    said = QUERIES["root_query_terms"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in said and said.count("SortMergeJoin") == 5
+
+
 def test_hints_of_a_row_are_told_apart_in_many_tasks(spark, sf_dir):
     found = QUERIES["tag_hints"](spark, sf_dir)
     assert "RepartitionByExpression [source_file" in plan(found) and "distinct" not in plan(found)
