@@ -181,6 +181,13 @@ def test_scenes_are_scored_in_blocks_without_joining_pairs(spark, monkeypatch):
     assert {tuple(r) for r in scenes.packets(rows, *asked).collect()} == best
 
 
+def test_a_row_is_sent_once_for_many_requests(spark):
+    asked = spark.range(9000).selectExpr("id AS request", "0 AS channel", "'x' AS feature", "1.0 AS weight", "NULL AS lo", "NULL AS hi")
+    rows = spark.range(100).selectExpr("id", "'' AS group", "'' AS time", "NULL AS lo", "NULL AS hi")
+    sent = score_blocks._pairs(asked, rows, rows.selectExpr("id", "0 AS channel", "'x' AS feature", "1.0 AS value"))._df
+    assert sent.where("side = 1").count() == 100
+
+
 def test_prepared_snippets_leave_a_block_as_its_best(spark, monkeypatch):
     for name, n in (("ROWS", 30), ("REQUESTS", 5), ("CELLS", 100), ("DENSE", 300)):
         monkeypatch.setattr(score_blocks, name, n)
