@@ -44,6 +44,50 @@ def test_edges_are_counted_in_blocks_without_joining_pairs(spark, monkeypatch):
     assert {(r.root, r.other, r.score, r["rank"]) for r in relations.adjacency(few, 3).collect()} == best and few.count() < len(want)
 
 
+def _near_and_far(spark, lonely):
+    """Roots that share windows and topics with those of their ten only, and personas with all; the last ten may share less."""
+    rng = random.Random(5)
+    rows = [(r, k, r // 10 * 1000 + rng.randrange(12)) for r in range(60) for k in ("windows", "topics") for _ in range(8) if r < 50 or not lonely]
+    rows += [(r, "personas", rng.randrange(40)) for r in range(60) for _ in range(15)]
+    by, n, of = {}, Counter(), {}
+    for r, k, m in set(rows):
+        by.setdefault((k, m), []).append(r)
+    for (k, _), rs in by.items():
+        n.update((a, b, k) for a, b in combinations(sorted(rs), 2))
+    want = {}
+    for a, b in {x[:2] for x in n}:
+        w, t, p = (min(n[a, b, k], 8) for k in relations.POINTS)
+        if max(w, t, p) >= 2 or (w and t + p) or 3 * w + 2 * t + p >= 4:
+            want[a, b] = 3 * w + 2 * t + p
+            of.setdefault(a, []).append((-want[a, b], b))
+            of.setdefault(b, []).append((-want[a, b], a))
+    best = {(r, o, -s, i) for r, xs in of.items() for i, (s, o) in enumerate(sorted(xs)[:3], 1)}
+    return spark.createDataFrame(rows, "root long, kind string, member long"), want, best
+
+
+def test_blocks_that_hold_no_better_edge_are_not_met(spark, monkeypatch):
+    monkeypatch.setattr(pair_blocks, "ROOTS", 10)
+    calls, whole = [], pair_blocks._met
+    monkeypatch.setattr(pair_blocks, "_met", lambda *a: calls.append(len(a[2])) or whole(*a))
+    for lonely, met in ((False, [6]), (True, [6, 5])):
+        calls.clear()
+        members, _, best = _near_and_far(spark, lonely)
+        assert {(r.root, r.other, r.score, r["rank"]) for r in relations.adjacency(relations.overlap_edges(members, best=3), 3).collect()} == best
+        assert calls == met
+
+
+def test_blocks_are_sent_without_kinds_that_lie_apart(spark, monkeypatch):
+    monkeypatch.setattr(pair_blocks, "ROOTS", 10)
+    members, want, _ = _near_and_far(spark, True)
+    sent, whole = [], pair_blocks._sent
+    monkeypatch.setattr(pair_blocks, "_sent", lambda group, to: sent.extend(to) or whole(group, to))
+    assert {(r.from_root, r.to_root): r.score for r in relations.overlap_edges(members).collect()} == want
+    assert len(sent) == 21 and all(of == [False, False, True] for i, j, of in sent if i < j)
+    monkeypatch.setattr(pair_blocks, "FEW", 2)
+    sent.clear()
+    assert relations.overlap_edges(members).count() == len(want) and len(sent) == 3  # three blocks travel together: a block is sent twice, not six times
+
+
 def test_names_and_their_cuts_are_not_broadcast(spark):
     names = spark.createDataFrame([(1, "Brand#1"), (2, "Brand#1 xyz"), (3, "ab brand#1"), (4, "Brand#1abcde"), (5, None), (6, "brand#1")], "id long, name string")
     found = signals.affix_matches(names, spark.createDataFrame([(9, "Brand#1")], "token_id long, token string"))
